@@ -1,14 +1,17 @@
-"""Shared folder, tables cut out of the lineage, and small file helpers for the operators of this package."""
+"""Shared folder, tables cut out of the lineage, and small helpers for the operators of this package."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: What separates words, as a Java / RE2 / Python character class.
+#: What separates words, and a word, as patterns of Java, RE2 and Python.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,14 +21,14 @@ _local: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Unset, a temporary folder stands in for it, and only where everything runs in this one process's machine (local[*]).
+    Unset, a temporary folder stands in for it, and only where everything runs on this one machine (local[*]).
     """
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="proofloom-"))
+        base = _local.get(app) or _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="proofloom-"))
     return f"{base.rstrip('/')}/proofloom-{app}"
 
 
@@ -35,10 +38,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(spark: SparkSession, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df written as a table in the shared folder and read again: its lineage ends there, and a lost executor costs no earlier work."""
+    """df written as a table in the shared folder and read again.
+
+    Its lineage ends there: a lost executor costs no earlier work. Shuffle files that only df needed go once the JVM collects garbage,
+    which is asked for here, since nothing else makes it happen in time.
+    """
     path = new_folder(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers of a local session import this package wherever it was started; a cluster is given the package as usual."""
+    if spark.sparkContext.master.startswith("local["):
+        root = str(Path(__file__).resolve().parents[2])
+        paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if root not in paths:
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
 def file_system(uri: str):
@@ -52,19 +70,24 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_once(uri: str, parts) -> None:
-    """Write bytes to uri through a file of this attempt's own that then takes the name: retried and speculative tasks are harmless."""
-    fs, path = file_system(uri)
-    fs.create_dir(os.path.dirname(path), recursive=True)
-    own = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(own) as out:
-        for part in parts:
-            out.write(part)
-    fs.move(own, path)
+def running_start(df: DataFrame, keys: list[str], order: list[Column], amount: str, out: str, span: Column) -> DataFrame:
+    """df with the exclusive running sum of amount within keys, in the order of (span, *order).
 
-
-def total_bytes(df: DataFrame, column: str = "text") -> int:
-    """UTF-8 bytes in a text column, over all rows."""
-    from pyspark.sql import functions as F
-
-    return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    span is a bucket number that rises with the order and holds a bounded number of rows: sums run within a bucket, and the buckets'
+    totals are summed once more. So no key, however frequent, meets in one task but for one row a bucket.
+    """
+    df = df.withColumn("__span", span)
+    totals = df.groupBy(*keys, "__span").agg(F.sum(amount).alias("__total"))
+    before = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+        F.col("__span").alias("__s"),
+        F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__base"),
+    )
+    within = Window.partitionBy(*keys, "__span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("__before", F.coalesce(F.sum(amount).over(within), F.lit(0)))
+    same = F.col("__span") == F.col("__s")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    df = df.join(totals, same).withColumn(out, F.col("__base") + F.col("__before"))
+    return df.drop("__span", "__s", "__base", "__before", *[f"__k{i}" for i in range(len(keys))])
