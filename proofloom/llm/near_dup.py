@@ -8,7 +8,7 @@ left out; the others are compared on their full sets.
 
 Groups of candidates are never expanded into pairs: in each round, a few members of a bucket, its pivots, are held against the other
 members that aren't yet in the same component. A bucket is done when all its members are in one component or have been pivots, and the number
-of pivots grows fourfold a round; so no link between components is lost, and large groups of copies are done after the first rounds.
+of pivots grows sixteenfold a round; so no link between components is lost, and large groups of copies are done after the first rounds.
 """
 
 from __future__ import annotations
@@ -192,7 +192,7 @@ def find_links(spark: SparkSession, reps: DataFrame, docs: DataFrame, cfg: NearD
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     active = cut(spark, keys.join(shared, "key"), "buckets", "lz4")
     links, comps, tried = None, None, None
-    pivots_each = 1
+    pivots_each = 16
     while True:
         first = comps is None
         here = active.withColumn("comp", F.col("id")) if first else active.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
@@ -217,14 +217,15 @@ def find_links(spark: SparkSession, reps: DataFrame, docs: DataFrame, cfg: NearD
         maybe = pairs.join(ra, "a").join(rb, "b").mapInArrow(partial(estimate, cfg=cfg), "a long, b long")
         pairs = cut(spark, pairs, "pairs", "lz4") if not first else pairs
         found = check(spark, cut(spark, maybe, "maybe", "lz4"), docs, cfg)
-        links = found if links is None else links.union(found)
-        comps = components(spark, links)
+        if not found.isEmpty() or first:
+            links = found if links is None else links.union(found)
+            comps = components(spark, links)
         if first:
             continue
         tried = pairs if tried is None else tried.union(pairs)
         # Pivots have been held against all others of their bucket that they weren't yet with.
         active = cut(spark, here.select("key", "id").join(pivots.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti"), "buckets", "lz4")
-        pivots_each *= 4
+        pivots_each *= 16
 
 
 def check(spark: SparkSession, pairs: DataFrame, docs: DataFrame, cfg: NearDup) -> DataFrame:
