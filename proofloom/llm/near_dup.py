@@ -6,9 +6,10 @@ the maxima of registers). Bands of registers that agree make two sets candidates
 6e-11 at a similarity of 0.85 and 5e-8 at 0.8. Candidates of which the registers say by likelihood that they are less similar are
 left out; the others are compared on their full sets.
 
-Groups of candidates are never expanded into pairs: in each round, a few members of a bucket, its pivots, are held against the other
-members that aren't yet in the same component. A bucket is done when all its members are in one component or have been pivots, and the number
-of pivots grows sixteenfold a round; so no link between components is lost, and large groups of copies are done after the first rounds.
+Buckets of candidates are never expanded into pairs. First each member is held against one pivot of its buckets, the smallest, which
+brings groups of copies together. Buckets whose members are then still in different components are compared by registers, members of the
+smaller components against all others, in blocks of bounded size; only pairs that the registers leave open are written and
+compared on full sets. So no candidate pair between components is left out, and none within a component is looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from proofloom.llm import words
 from proofloom.llm.shared import cut, find_package
@@ -41,9 +41,10 @@ class NearDup:
     base: float = 1.001
     top: int = 65535
     #: A pair is left out unread if the likelihood of the wanted similarity is e^-slack of the best one's or less.
-    slack: float = 20.0
-    #: Members that one task holds against a pivot at a time.
+    slack: float = 14.0
+    #: Members that one task holds against a pivot at a time, and members of a bucket that one task compares.
     group: int = 128
+    block: int = 1024
 
     @property
     def registers(self) -> int:
@@ -121,6 +122,8 @@ def band_keys(batches: Iterator[pa.RecordBatch], cfg: NearDup) -> Iterator[pa.Re
         key = np.broadcast_to(np.arange(1, cfg.bands + 1, dtype=U64), r.shape[:2]).copy()
         for i in range(cfg.rows):
             key = words.mix(key * U64(0xD6E8FEB86659FD93) + r[:, :, i])
+        key -= key % U64(cfg.bands)  # a key says of which band it is
+        key += np.arange(cfg.bands, dtype=U64)
         ids = np.repeat(batch.column("id").to_numpy(), cfg.bands)
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
 
@@ -138,11 +141,10 @@ def likely(ru: np.ndarray, rv: np.ndarray, nu: np.ndarray, nv: np.ndarray, cfg:
         return sum(np.where(n > 0, n * np.log(np.maximum(q, 1e-12)), 0) for n, q in parts)
 
     most = np.minimum(u / v, v / u)  # no similarity is larger than the ratio of the sizes
-    grid = np.linspace(0, 1, 51)
-    best = np.max([log_likelihood(np.minimum(j, most)) for j in grid], axis=0)
     wanted = cfg.percent / 100
-    at_least = np.max([log_likelihood(np.clip(j, 0, most)) for j in np.linspace(wanted, 1, 16)], axis=0)
-    return (100 * np.minimum(nu, nv) >= cfg.percent * np.maximum(nu, nv)) & (at_least >= best - cfg.slack)
+    best = np.max([log_likelihood(np.minimum(j, most)) for j in np.linspace(0, 1, 21)], axis=0)
+    at_least = np.max([log_likelihood(np.clip(j, 0, most)) for j in np.linspace(wanted, 1, 7)], axis=0)
+    return (100 * np.minimum(nu, nv) >= cfg.percent * np.maximum(nu, nv)) & (at_least >= np.maximum(best, at_least) - cfg.slack)
 
 
 def estimate(batches: Iterator[pa.RecordBatch], cfg: NearDup) -> Iterator[pa.RecordBatch]:
@@ -185,47 +187,84 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
+def compare_blocks(table: pa.Table, cfg: NearDup) -> pa.Table:
+    """Pairs (a, b) of different components that may be similar enough, from rows (key, part, id, comp, n, regs, home, minor).
+
+    Within a (key, part), minor members are held against those at home there. A pair is judged in the first band that both share.
+    """
+    table = table.combine_chunks()
+    key, part, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "part", "id", "comp", "n"))
+    home, minor = (table.column(c).to_numpy(zero_copy_only=False) for c in ("home", "minor"))
+    regs = _matrix(table.column("regs"), cfg)
+    band = (key.view(U64) % U64(cfg.bands)).astype(np.int64)
+    order = np.lexsort((part, key))
+    runs = np.flatnonzero(np.append(True, (np.diff(key[order]) != 0) | (np.diff(part[order]) != 0)))
+    out_a, out_b = [], []
+
+    def judge(x: np.ndarray, y: np.ndarray) -> None:
+        ok = (comp[x] != comp[y]) & ~(minor[y] & (ids[x] > ids[y])) & (100 * np.minimum(n[x], n[y]) >= cfg.percent * np.maximum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        for i in range(0, len(x), 20_000):
+            u, v = x[i : i + 20_000], y[i : i + 20_000]
+            agree = (regs[u] == regs[v]).reshape(len(u), cfg.bands, cfg.rows).all(2)
+            first = agree.argmax(1) == band[u]
+            u, v = u[first], v[first]
+            if len(u):
+                ok = likely(regs[u], regs[v], n[u], n[v], cfg)
+                out_a.append(np.minimum(ids[u], ids[v])[ok])
+                out_b.append(np.maximum(ids[u], ids[v])[ok])
+
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for lo, hi in zip(runs, np.append(runs[1:], len(order)), strict=True):
+        rows = order[lo:hi]
+        x, y = rows[minor[rows]], rows[home[rows]]
+        for some in np.array_split(x, max(1, len(x) * len(y) // 200_000)):
+            waiting.append((np.repeat(some, len(y)), np.tile(y, len(some))))
+            size += len(some) * len(y)
+            if size > 200_000:
+                judge(*map(np.concatenate, zip(*waiting, strict=True)))
+                waiting, size = [], 0
+    if waiting:
+        judge(*map(np.concatenate, zip(*waiting, strict=True)))
+    a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def open_pairs(spark: SparkSession, active: DataFrame, comps: DataFrame, reps: DataFrame, cfg: NearDup) -> DataFrame:
+    """Candidate pairs (a, b) of different components that the registers leave open."""
+    here = active.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    sizes = here.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("comps")).where("comps > 1")
+    here = cut(spark, here.join(mixed.select("key", "main", "total"), "key"), "mixed", "lz4")
+    parts = F.ceil(F.col("total") / cfg.block)
+    rows = here.join(reps, "id").withColumn("minor", F.col("comp") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("id"), parts))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("own"))))
+    rows = rows.select("key", F.col("part").cast("long").alias("part"), "id", "comp", "n", "regs", (F.col("own") == F.col("part")).alias("home"), "minor")
+    groups = max(1, here.count() // (4 * cfg.block))
+
+    def compared(group: pa.Table) -> pa.Table:
+        return compare_blocks(group, cfg)
+
+    return rows.groupBy(F.pmod(F.xxhash64("key", "part"), F.lit(groups)).alias("g")).applyInArrow(compared, "a long, b long")
+
+
 def find_links(spark: SparkSession, reps: DataFrame, docs: DataFrame, cfg: NearDup) -> DataFrame | None:
     """(id, comp) of reps (id, n, regs) that are linked with others; docs (doc_id, text) has their texts. None: no links."""
-    keys = reps.select("id", "regs").mapInArrow(partial(band_keys, cfg=cfg), "key long, id long")
-    keys = cut(spark, keys, "bands", "lz4")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keys = cut(spark, reps.select("id", "regs").mapInArrow(partial(band_keys, cfg=cfg), "key long, id long"), "bands", "lz4")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("a")).where("size > 1").select("key", "a")
     active = cut(spark, keys.join(shared, "key"), "buckets", "lz4")
-    links, comps, tried = None, None, None
-    pivots_each = 16
-    while True:
-        first = comps is None
-        here = active.withColumn("comp", F.col("id")) if first else active.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        if not first:
-            mixed = here.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-            here = cut(spark, here.join(mixed, "key"), "buckets", "lz4")
-        if here.isEmpty():
-            return comps
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        if first:
-            pivots = here.groupBy("key").agg(F.min("id").alias("a"), F.min_by("comp", "id").alias("comp_a"))
-        else:
-            pivots = here.withColumn("rank", rank).where(F.col("rank") <= pivots_each).select("key", F.col("id").alias("a"), F.col("comp").alias("comp_a"))
-        pairs = here.join(pivots, "key").where("a <> id and comp_a <> comp")
-        if first:  # one pair for each member: most groups of copies come together by these
-            pairs = pairs.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-        else:
-            pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        ra, rb = (reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
-        maybe = pairs.join(ra, "a").join(rb, "b").mapInArrow(partial(estimate, cfg=cfg), "a long, b long")
-        pairs = cut(spark, pairs, "pairs", "lz4") if not first else pairs
-        found = check(spark, cut(spark, maybe, "maybe", "lz4"), docs, cfg)
-        if not found.isEmpty() or first:
-            links = found if links is None else links.union(found)
-            comps = components(spark, links)
-        if first:
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        # Pivots have been held against all others of their bucket that they weren't yet with.
-        active = cut(spark, here.select("key", "id").join(pivots.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti"), "buckets", "lz4")
-        pivots_each *= 16
+    if active.isEmpty():
+        return None
+    pairs = active.where("a <> id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    ra, rb = (reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
+    maybe = pairs.join(ra, "a").join(rb, "b").mapInArrow(partial(estimate, cfg=cfg), "a long, b long")
+    links = check(spark, cut(spark, maybe, "maybe", "lz4"), docs, cfg)
+    comps = components(spark, links)
+    more = cut(spark, open_pairs(spark, active.select("key", "id"), comps, reps, cfg), "maybe", "lz4")
+    if more.isEmpty():
+        return comps
+    return components(spark, links.union(check(spark, more, docs, cfg)))
 
 
 def check(spark: SparkSession, pairs: DataFrame, docs: DataFrame, cfg: NearDup) -> DataFrame:
