@@ -18,4 +18,18 @@ c AS (SELECT a AS doc_id, min(c) AS component_id FROM r GROUP BY a)
 SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c USING (doc_id)
 """
 
-ORACLES = {"op7_near_duplicates": OP7}
+OP4 = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM w, unnest(range(1, len(w) - 11)) AS t(i)),
+r AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS m FROM x) WHERE m < doc_id),
+c AS (SELECT DISTINCT doc_id, i + k AS j FROM r, unnest(range(13)) AS t(k)),
+l AS (SELECT doc_id, list(j) AS l FROM c GROUP BY doc_id),
+k AS (SELECT w.doc_id, len(w) AS n_words, coalesce(len(l), 0) AS n_removed,
+        CASE WHEN l IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(l, i)) END AS kept FROM w LEFT JOIN l USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+"""
+
+ORACLES = {
+    "op4_repeated_passages": OP4,
+    "op7_near_duplicates": OP7,
+}
