@@ -29,7 +29,46 @@ k AS (SELECT w.doc_id, len(w) AS n_words, coalesce(len(l), 0) AS n_removed,
 SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
 
+OP3 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+        [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+c AS (SELECT *, 2 * source_size AS stop,
+        coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+        sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free
+      FROM s WINDOW o AS (ORDER BY 2.0 * source_size / w, source NULLS LAST)),
+x AS (SELECT *, (1.5 * (SELECT sum(size) FROM d) - below) / free AS level FROM c),
+v AS (SELECT arg_min(level, 1.0 * stop / w) FILTER (1.0 * stop / w >= level) AS level FROM x),
+t AS (SELECT source, source_size, stop, least(stop::DOUBLE, level * w) AS target FROM c, v),
+q AS (SELECT *, least(round(target), stop)::BIGINT AS quota FROM t),
+a AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM d)
+SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target,
+  (greatest(0, least(a + size, quota) - a) + greatest(0, least(a + size, quota - source_size) - a))::BIGINT AS taken
+FROM a JOIN q ON a.source IS NOT DISTINCT FROM q.source
+"""
+
+OP6 = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w, coalesce(text, '') AS t,
+             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM x) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, unnest(range(3)) AS u(k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_capitals, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+        coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 100 * n_dup_lines > 40 * n_lines OR 100 * n_symbols > 20 * n_words
+    OR 100 * n_capitals > 40 * word_chars OR 10 * word_chars < 20 * n_words OR 10 * word_chars > 150 * n_words
+    OR 100 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) < 60 * n_words OR 100 * len(list_distinct(w)) < 5 * n_words) AS kept
+FROM b
+"""
+
 ORACLES = {
+    "op3_mixed_sources": OP3,
+    "op6_quality_rules": OP6,
     "op4_repeated_passages": OP4,
     "op7_near_duplicates": OP7,
 }

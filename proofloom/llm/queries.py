@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofloom.llm.mixing import mix
+
+    mixed, sized, goals = mix(table(spark, sf_dir, "documents"))
+    taken = mixed.groupBy(F.col("doc_id").alias("d")).agg(F.sum("n").alias("taken"))
+    goals = goals.select(F.col("source").alias("s"), "source_size", "target")
+    rows = sized.join(goals, sized.source.eqNullSafe(goals.s)).join(taken, F.col("doc_id") == F.col("d"), "left")
+    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proofloom.llm.repeats import remove_repeats
 
@@ -21,14 +31,36 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofloom.llm.quality_rules import quality
+
+    return quality(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("n_lines")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proofloom.llm.near_dup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofloom.llm.url_rules import judge
+
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_repeated_passages, op7_near_duplicates)}
+    return {f.__name__: f for f in ALL}
+
+
+#: In the order of the operators.
+ALL = (op3_mixed_sources, op4_repeated_passages, op5_packed_sequences, op6_quality_rules, op7_near_duplicates, op9_url_rules)
 
 
 def oracle_sql() -> dict[str, str]:
