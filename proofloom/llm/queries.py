@@ -14,6 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofloom.llm.tokens import read_documents, token_files
+
+    return read_documents(token_files(table(spark, sf_dir, "documents")))
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofloom.llm.media import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op3_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proofloom.llm.mixing import mix
 
@@ -49,18 +61,41 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofloom.llm.tokens import section_tokens
+
+    return section_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proofloom.llm.url_rules import judge
 
     return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in ALL}
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from proofloom.llm.quality_model import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 #: In the order of the operators.
-ALL = (op3_mixed_sources, op4_repeated_passages, op5_packed_sequences, op6_quality_rules, op7_near_duplicates, op9_url_rules)
+ALL = (
+    op1_token_files,
+    op2_media_columns,
+    op3_mixed_sources,
+    op4_repeated_passages,
+    op5_packed_sequences,
+    op6_quality_rules,
+    op7_near_duplicates,
+    op8_section_tokens,
+    op9_url_rules,
+    op10_quality_model,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,8 +102,8 @@ class Encoder:
     """Ids of texts by a byte-level vocabulary file of the tokenizers library, without special tokens added."""
 
     #: Words remembered from batch to batch, and bytes of a batch.
-    remembered = 300_000
-    batch_bytes = 4 << 20
+    remembered = 1_200_000
+    batch_bytes = 8 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -110,37 +111,52 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, tuple[list[int], list[int]]] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # a character of a token stands for a byte
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.first, self.count, self.ids = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _known(self, distinct: pa.Array) -> np.ndarray:
+        """The place of each word among the remembered ones; new words are encoded by the library."""
+        if len(self.words) > self.remembered:
+            self._forget()
+        place = pc.index_in(distinct, value_set=self.words)
+        new = distinct.filter(place.is_null())
+        if not len(new):
+            return place.to_numpy()
+        e = self.tokenizer.encode(new.to_pylist(), is_pretokenized=True, add_special_tokens=False)
+        count = np.bincount(np.array(e.word_ids, np.int64), minlength=len(new))
+        self.first = np.append(self.first, len(self.ids) + np.cumsum(count) - count)
+        self.count = np.append(self.count, count)
+        self.ids = np.append(self.ids, np.array(e.ids, np.int64))
+        fresh = np.arange(len(self.words), len(self.words) + len(new))
+        self.words = pa.concat_arrays([self.words, new])
+        place = place.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = fresh
+        return place
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of rows of UTF-8: the ids, the byte where each begins, and the number of ids of each row."""
         starts = word_starts(data, off, self.special)
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off) - 1, np.int64)
-        ends = np.append(starts[1:], len(data))
         spans = np.append(starts, len(data)).astype(np.int64)
         split = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(spans), pa.py_buffer(data.tobytes())]).dictionary_encode()
-        distinct = split.dictionary.to_pylist()
-        if len(self.known) > self.remembered:
-            self.known = {}
-        new = [w for w in distinct if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = (e.ids, [len(t) for t in e.tokens])  # a character of a token stands for a byte
-        found = [self.known[w] for w in distinct]
-        n = np.array([len(i) for i, _ in found])
-        flat = np.fromiter(chain.from_iterable(i for i, _ in found), np.int64, n.sum())
-        lengths = np.fromiter(chain.from_iterable(x for _, x in found), np.int64, n.sum())
-        within = np.cumsum(lengths) - lengths
-        first = np.cumsum(n) - n
-        within -= np.repeat(within[first], n)  # byte of a token in its word
-        codes = split.indices.to_numpy()
-        each = n[codes]
+        place = self._known(split.dictionary)[split.indices.to_numpy()]
+        each = self.count[place]
         total = np.cumsum(each)
-        pick = np.arange(total[-1]) + np.repeat(first[codes] - (total - each), each)
-        rows = np.diff(np.searchsorted(starts, off))
-        per_row = np.diff(np.append(0, total)[np.append(0, np.cumsum(rows))])
-        assert len(ends) == rows.sum()
-        return flat[pick], within[pick] + np.repeat(starts, each), per_row
+        pick = np.arange(total[-1])
+        pick += np.repeat(self.first[place] - (total - each), each)
+        ids = self.ids[pick]
+        lengths = self.bytes_of[ids]
+        at = np.cumsum(lengths) - lengths  # tokens cover the text without gaps
+        rows = np.searchsorted(starts, off)
+        return ids, at, np.diff(np.append(0, total)[rows])
 
 
 _encoder = cache(Encoder)
@@ -262,7 +278,7 @@ def token_files(docs: DataFrame, cfg: TokenFiles | None = None, folder: str | No
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ordered = docs.repartitionByRange(max(1, -(-size // cfg.file_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
     folder = folder or new_folder(spark, "tokens")
-    files = cut(spark, ordered.mapInArrow(partial(write_tokens, folder=folder, cfg=cfg), "part int, uri string, docs long, tokens long"), "files")
+    files = cut(spark, ordered.mapInArrow(partial(write_tokens, folder=folder, cfg=cfg), "part long, uri string, docs long, tokens long"), "files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return files.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
