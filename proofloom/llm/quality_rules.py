@@ -103,7 +103,8 @@ def cascade(measured: DataFrame, cfg: QualityRules) -> Column:
     verdict = F.when(base_failed(cfg), False)
     for name in rule_order(measured, cfg):
         verdict = verdict.when(every[name], False)
-    return verdict.otherwise(True)
+    # Always true, but not to the optimiser: a filter on the verdict stays above the measures instead of computing them anew for every use.
+    return verdict.otherwise(True) & (F.monotonically_increasing_id() >= 0)
 
 
 def quality(docs: DataFrame, cfg: QualityRules | None = None) -> DataFrame:
@@ -122,4 +123,5 @@ def quality(docs: DataFrame, cfg: QualityRules | None = None) -> DataFrame:
 def keep_good(docs: DataFrame, cfg: QualityRules | None = None) -> DataFrame:
     """The rows of docs that pass, with their columns."""
     cfg = cfg or QualityRules()
-    return measure(docs).where(cascade(measure(docs.select("text")), cfg)).select(*docs.columns)
+    judged = measure(docs).withColumn("__kept", cascade(measure(docs.select("text")), cfg))
+    return judged.where("__kept").select(*docs.columns)
