@@ -18,7 +18,7 @@ def fold(x: Column) -> Column:
 def spanish_number(x: Column) -> Column:
     """The first number of a text with points for thousands and a decimal comma; null if there is none."""
     found = F.regexp_extract(x, r"(-?\d{1,3}(?:\.\d{3})+(?:,\d+)?|-?\d+(?:,\d+)?)", 1)
-    return F.expr("null") if x is None else F.replace(F.replace(found, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("decimal(18,4)")
+    return F.replace(F.replace(found, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("decimal(18,4)")
 
 
 def plain_decimal(x: Column) -> Column:
