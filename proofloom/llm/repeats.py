@@ -19,6 +19,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +102,8 @@ def _settle(key: np.ndarray, ids: np.ndarray, block: np.ndarray) -> tuple[np.nda
 
     A hit follows a reference block of an earlier document or is one that a later document holds too.
     """
+    if not len(key):
+        return np.zeros(0, bool), np.zeros(0, bool)
     order = np.argsort(key, kind="stable")
     starts = _runs(key[order])
     n = _lengths(starts, len(order))
@@ -128,19 +131,25 @@ def anchors(batches: Iterator[pa.RecordBatch], cfg: Repeats, buckets: int) -> It
             bucket = ((g >> U64(32)) % U64(buckets)).astype(np.int32)
             low = g.astype(np.uint32)
             rows = [(b, _PROBE, d, c, v["low"], v["block"]) for b, d, c, v in _packed(bucket[on], ids[on], low=low[on], block=block[on])]
-            rows += [(0, _HIT, d, c, v["low"], b"") for _, d, c, v in _packed(np.zeros(int(hits.sum()), np.int32), ids[hits], low=low[hits])]
+            rows += [(int(ids[0] % buckets), _HIT, d, c, v["low"], b"") for _, d, c, v in _packed(np.zeros(int(hits.sum()), np.int32), ids[hits], low=low[hits])]
             yield _sent(rows)
 
 
-def match_anchors(table: pa.Table) -> pa.Table:
-    """A bucket's probes to the hits among them: (ids, counts, hashes)."""
+def _with_settled(table: pa.Table, rows: list[tuple]) -> pa.Table:
+    """Found rows (ids, counts, hashes), and those of the table that were settled before."""
+    found = pa.table({k: pa.array([r[i] for r in rows], pa.binary()) for i, k in enumerate(("ids", "counts", "hashes"))})
+    return pa.concat_tables([found, table.filter(pc.equal(table.column("kind"), _HIT)).select(["ids", "counts", "hashes"])])
+
+
+def match_anchors(whole: pa.Table) -> pa.Table:
+    """A bucket's probes to the hits among them: (ids, counts, hashes). Settled hits pass."""
+    table = whole.filter(pc.equal(whole.column("kind"), _PROBE))
     ids = _ids(table.column("ids"), table.column("counts"))
     low, block = _values(table.column("hashes"), np.uint32), _values(table.column("extra"), bool)
     hits, _ = _settle(low, ids, block)
     own, low = ids[hits], low[hits]
     order = np.argsort(own, kind="stable")
-    rows = [(d, c, v["low"]) for _, d, c, v in _packed(np.zeros(len(own), np.int32), own[order], low=low[order])]
-    return pa.table({k: pa.array([r[i] for r in rows], pa.binary()) for i, k in enumerate(("ids", "counts", "hashes"))})
+    return _with_settled(whole, [(d, c, v["low"]) for _, d, c, v in _packed(np.zeros(len(own), np.int32), own[order], low=low[order])])
 
 
 def by_document(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -201,19 +210,21 @@ def extend(batches: Iterator[pa.RecordBatch], cfg: Repeats, buckets: int) -> Ite
             later, on = ids > least, ids == least
             bucket = (words.mix(w + U64(1)) >> U64(32)) % U64(buckets)
             rows = [(b, _PROBE, d, c, v["w"], v["pos"]) for b, d, c, v in _packed(bucket[on].astype(np.int32), ids[on], w=w[on], pos=pos[on].astype(np.uint32))]
-            rows += [(0, _HIT, d, c, v, b"") for d, c, v in _run_rows(ids[later], pos[later], cfg)]
+            rows += [(int(ids[0] % buckets), _HIT, d, c, v, b"") for d, c, v in _run_rows(ids[later], pos[later], cfg)]
             yield _sent(rows)
 
 
-def match_windows(table: pa.Table, cfg: Repeats) -> pa.Table:
-    """A bucket's windows to the runs of those that an earlier document holds."""
+def match_windows(whole: pa.Table, cfg: Repeats) -> pa.Table:
+    """A bucket's windows to the runs of those that an earlier document holds. Settled runs pass."""
+    table = whole.filter(pc.equal(whole.column("kind"), _PROBE))
     ids = _ids(table.column("ids"), table.column("counts"))
     w, pos = _values(table.column("hashes"), np.uint64), _values(table.column("extra"), np.uint32).astype(np.int64)
+    if not len(w):
+        return _with_settled(whole, [])
     order = np.argsort(w, kind="stable")
     groups = _runs(w[order])
     later = ids[order] > np.repeat(np.minimum.reduceat(ids[order], groups), _lengths(groups, len(w)))
-    rows = _run_rows(ids[order][later], pos[order][later], cfg)
-    return pa.table({k: pa.array([r[i] for r in rows], pa.binary()) for i, k in enumerate(("ids", "counts", "hashes"))})
+    return _with_settled(whole, _run_rows(ids[order][later], pos[order][later], cfg))
 
 
 def keep_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,15 +263,11 @@ def repeated_runs(docs: DataFrame, cfg: Repeats) -> DataFrame:
 
     packed = "ids binary, counts binary, hashes binary"
     sent = docs.mapInArrow(partial(anchors, cfg=cfg, buckets=buckets), _SENT)
-    sent = cut(spark, sent, "anchors", "lz4")
-    hits = sent.where(F.col("kind") == _PROBE).groupBy("bucket").applyInArrow(anchors_matched, packed)
-    hits = sent.where(F.col("kind") == _HIT).select("ids", "counts", "hashes").union(hits)
+    hits = sent.groupBy("bucket").applyInArrow(anchors_matched, packed)
     hits = cut(spark, hits.mapInArrow(partial(by_document, width=4), "doc_id long, values binary"), "hits", "lz4")
     hits = hits.groupBy("doc_id").agg(F.collect_list("values").alias("hits"))
     sent = docs.join(hits, "doc_id").mapInArrow(partial(extend, cfg=cfg, buckets=buckets), _SENT)
-    sent = cut(spark, sent, "windows", "lz4")
-    runs = sent.where(F.col("kind") == _PROBE).groupBy("bucket").applyInArrow(windows_matched, packed)
-    runs = sent.where(F.col("kind") == _HIT).select("ids", "counts", "hashes").union(runs)
+    runs = sent.groupBy("bucket").applyInArrow(windows_matched, packed)
     return cut(spark, runs.mapInArrow(partial(by_document, width=8), "doc_id long, values binary"), "runs", "lz4")
 
 
