@@ -9,7 +9,7 @@ left out; the others are compared on their full sets.
 Buckets of candidates are never expanded into pairs. First each member is held against one pivot of its buckets, the smallest, which
 brings groups of copies together. Buckets whose members are then still in different components are compared by registers, members of the
 smaller components against all others, in blocks of bounded size; only pairs that the registers leave open are written and
-compared on full sets. So no candidate pair between components is left out, and none within a component is looked at.
+compared on full sets: at first the likeliest pair of each member, which joins most components, then all that still are between components. So no candidate pair between components is left out, and none within a component is looked at.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ class NearDup:
     #: Members that one task holds against a pivot at a time, and members of a bucket that one task compares.
     group: int = 128
     block: int = 1024
+    #: Rounds in which each member of a mixed bucket is held against its likeliest partner only, before all open pairs are.
+    best_rounds: int = 2
 
     @property
     def registers(self) -> int:
@@ -187,8 +189,10 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
-def compare_blocks(table: pa.Table, cfg: NearDup) -> pa.Table:
-    """Pairs (a, b) of different components that may be similar enough, from rows (key, part, id, comp, n, regs, home, minor).
+def compare_blocks(table: pa.Table, cfg: NearDup, best: bool) -> pa.Table:
+    """Pairs (a, b, same) of different components that may be similar enough, from rows (key, part, id, comp, n, regs, home, minor).
+
+    same is the number of equal registers. best: for each id only its pair with most of them, and that with the id as b.
 
     Within a (key, part), minor members are held against those at home there. A pair is judged in the first band that both share.
     """
@@ -199,7 +203,7 @@ def compare_blocks(table: pa.Table, cfg: NearDup) -> pa.Table:
     band = (key.view(U64) % U64(cfg.bands)).astype(np.int64)
     order = np.lexsort((part, key))
     runs = np.flatnonzero(np.append(True, (np.diff(key[order]) != 0) | (np.diff(part[order]) != 0)))
-    out_a, out_b = [], []
+    out_a, out_b, out_same = [], [], []
 
     def judge(x: np.ndarray, y: np.ndarray) -> None:
         ok = (comp[x] != comp[y]) & ~(minor[y] & (ids[x] > ids[y])) & (100 * np.minimum(n[x], n[y]) >= cfg.percent * np.maximum(n[x], n[y]))
@@ -211,8 +215,10 @@ def compare_blocks(table: pa.Table, cfg: NearDup) -> pa.Table:
             u, v = u[first], v[first]
             if len(u):
                 ok = likely(regs[u], regs[v], n[u], n[v], cfg)
-                out_a.append(np.minimum(ids[u], ids[v])[ok])
-                out_b.append(np.maximum(ids[u], ids[v])[ok])
+                u, v = u[ok], v[ok]
+                out_a.append(np.minimum(ids[u], ids[v]))
+                out_b.append(np.maximum(ids[u], ids[v]))
+                out_same.append((regs[u] == regs[v]).sum(1))
 
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -227,12 +233,17 @@ def compare_blocks(table: pa.Table, cfg: NearDup) -> pa.Table:
                 waiting, size = [], 0
     if waiting:
         judge(*map(np.concatenate, zip(*waiting, strict=True)))
-    a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    a, b, same = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b, out_same))
+    if best and len(a):
+        a, b, same = np.append(a, b), np.append(b, a), np.append(same, same)
+        order = np.lexsort((a, -same, b))
+        first = np.append(True, np.diff(b[order]) != 0)
+        a, b, same = a[order][first], b[order][first], same[order][first]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "same": pa.array(same, pa.int64())})
 
 
-def open_pairs(spark: SparkSession, active: DataFrame, comps: DataFrame, reps: DataFrame, cfg: NearDup) -> DataFrame:
-    """Candidate pairs (a, b) of different components that the registers leave open."""
+def open_pairs(spark: SparkSession, active: DataFrame, comps: DataFrame, reps: DataFrame, cfg: NearDup, best: bool) -> DataFrame:
+    """Candidate pairs (a, b) of different components that the registers leave open; best: for each id the likeliest one."""
     here = active.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     sizes = here.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("comps")).where("comps > 1")
@@ -244,9 +255,13 @@ def open_pairs(spark: SparkSession, active: DataFrame, comps: DataFrame, reps: D
     groups = max(1, here.count() // (4 * cfg.block))
 
     def compared(group: pa.Table) -> pa.Table:
-        return compare_blocks(group, cfg)
+        return compare_blocks(group, cfg, best)
 
-    return rows.groupBy(F.pmod(F.xxhash64("key", "part"), F.lit(groups)).alias("g")).applyInArrow(compared, "a long, b long")
+    pairs = rows.groupBy(F.pmod(F.xxhash64("key", "part"), F.lit(groups)).alias("g")).applyInArrow(compared, "a long, b long, same long")
+    if not best:
+        return pairs.select("a", "b")
+    pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def find_links(spark: SparkSession, reps: DataFrame, docs: DataFrame, cfg: NearDup) -> DataFrame | None:
@@ -261,10 +276,15 @@ def find_links(spark: SparkSession, reps: DataFrame, docs: DataFrame, cfg: NearD
     maybe = pairs.join(ra, "a").join(rb, "b").mapInArrow(partial(estimate, cfg=cfg), "a long, b long")
     links = check(spark, cut(spark, maybe, "maybe", "lz4"), docs, cfg)
     comps = components(spark, links)
-    more = cut(spark, open_pairs(spark, active.select("key", "id"), comps, reps, cfg), "maybe", "lz4")
-    if more.isEmpty():
-        return comps
-    return components(spark, links.union(check(spark, more, docs, cfg)))
+    for best in [True] * cfg.best_rounds + [False]:
+        more = cut(spark, open_pairs(spark, active.select("key", "id"), comps, reps, cfg, best), "maybe", "lz4")
+        if more.isEmpty():
+            return comps
+        found = check(spark, more, docs, cfg)
+        if not found.isEmpty():
+            links = links.union(found)
+            comps = components(spark, links)
+    return comps
 
 
 def check(spark: SparkSession, pairs: DataFrame, docs: DataFrame, cfg: NearDup) -> DataFrame:
