@@ -76,11 +76,11 @@ def rules(cfg: QualityRules) -> dict[str, Column]:
     }
 
 
-def rule_order(measured: DataFrame, cfg: QualityRules) -> list[str]:
+def rule_order(docs: DataFrame, cfg: QualityRules) -> list[str]:
     """Rule names by rejected share per second, largest first, as measured on a sample of the documents."""
-    spark = measured.sparkSession
-    rows = measured.count()
-    sample = measured.sample(min(1.0, cfg.sample_rows / max(rows, 1)), seed=7)
+    spark = docs.sparkSession
+    rows = docs.count()
+    sample = measure(docs.sample(min(1.0, cfg.sample_rows / max(rows, 1)), seed=7))
     sample = cut(spark, sample.select(*[c for c in sample.columns if c.startswith("__")]).drop("__lines", "__three", "__placed", "__at"), "sample")
 
     def run(rejects: Column) -> tuple[int, float]:
@@ -97,11 +97,11 @@ def rule_order(measured: DataFrame, cfg: QualityRules) -> list[str]:
     return sorted(score, key=lambda k: -score[k])
 
 
-def cascade(measured: DataFrame, cfg: QualityRules) -> Column:
-    """Whether a document passes the base limits and all rules, judged in the order of ``rule_order``."""
+def cascade(docs: DataFrame, cfg: QualityRules) -> Column:
+    """Of ``measure``'s rows, whether a document of docs passes the base limits and all rules, judged in the order of ``rule_order``."""
     every = rules(cfg)
     verdict = F.when(base_failed(cfg), False)
-    for name in rule_order(measured, cfg):
+    for name in rule_order(docs, cfg):
         verdict = verdict.when(every[name], False)
     # Always true, but not to the optimiser: a filter on the verdict stays above the measures instead of computing them anew for every use.
     return verdict.otherwise(True) & (F.monotonically_increasing_id() >= 0)
@@ -116,12 +116,12 @@ def quality(docs: DataFrame, cfg: QualityRules | None = None) -> DataFrame:
     new = [*MEASURES, "base_failed", "kept"]
     rest = [c for c in docs.columns if c not in (*new, "text")]
     measured = measure(docs.select(*rest, "text"))
-    kept = cascade(measure(docs.select("text")), cfg)
+    kept = cascade(docs.select("text"), cfg)
     return measured.select(*rest, *[F.col(f"__{m}").alias(m) for m in MEASURES], base_failed(cfg).alias("base_failed"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, cfg: QualityRules | None = None) -> DataFrame:
     """The rows of docs that pass, with their columns."""
     cfg = cfg or QualityRules()
-    judged = measure(docs).withColumn("__kept", cascade(measure(docs.select("text")), cfg))
+    judged = measure(docs).withColumn("__kept", cascade(docs.select("text"), cfg))
     return judged.where("__kept").select(*docs.columns)
