@@ -14,7 +14,7 @@ from proofloom.llm.near_dup import NearDup, near_duplicates
 from proofloom.llm.packing import pack
 from proofloom.llm.quality_rules import keep_good
 from proofloom.llm.repeats import remove_repeats
-from proofloom.llm.shared import SPACE, cut
+from proofloom.llm.shared import SPACE, cut, with_rows
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -39,12 +39,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reads them, a row for each time; where the mix ends within one, only its words up to there."""
-    mixed, sized, _ = mix(docs)
-    turns = mixed.groupBy("doc_id", "round").agg(F.sum("n").alias("n")).join(sized.select("doc_id", "size"), "doc_id")
+    docs = with_rows(spark, docs.select(*COLUMNS))
+    mixed, sized, _ = mix(docs, row="row")
+    turns = mixed.groupBy("row", "round").agg(F.sum("n").alias("n")).join(sized.select("row", "size"), "row")
     turns = cut(spark, turns, "turns")
     words = F.filter(F.split("text", f"{SPACE}+"), lambda x: x != "")
     part = F.when(F.col("n") < F.col("size"), F.array_join(F.slice(words, 1, F.col("n").cast("int")), " ")).otherwise(F.col("text"))
-    rows = docs.join(turns, "doc_id").withColumn("text", part)
+    rows = docs.join(turns, "row").withColumn("text", part)
     return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 

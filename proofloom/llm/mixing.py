@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,8 +31,8 @@ class Mixing:
     span_rows: int = 50_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+def sizes(docs: DataFrame, *more: str | Column) -> DataFrame:
+    return docs.select(*more, "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame, cfg: Mixing) -> DataFrame:
@@ -80,22 +80,24 @@ def schedule(goals: DataFrame, cfg: Mixing) -> DataFrame:
     return ranked.union(short.select((F.lit(slots) + F.col("rank")).alias("slot"), "source", "rank"))
 
 
-def mix(docs: DataFrame, cfg: Mixing | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, cfg: Mixing | None = None, row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix, the sized documents and the targets.
 
     Mix: (slot, source, doc_id, round, first, n): in this slot, n words of the document from word first on, read for the round-th time (0 or
     more). Documents without words, null texts included, are in no slot. Null is a source. The order within a source is that of md5(doc_id),
-    then doc_id and size, so reruns agree; rows that repeat a doc_id are documents of their own.
+    then doc_id, size and text, so reruns agree; rows without doc_id come last. Rows that repeat a doc_id or have none are documents of their
+    own: ``row`` names a column of docs that tells all rows apart, which mix and sized documents then have too.
     """
     cfg = cfg or Mixing()
     spark = docs.sparkSession
-    sized = cut(spark, sizes(docs), "sizes")
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    sized = cut(spark, sizes(docs, number.alias("__row"), F.xxhash64("text").alias("__tie")), "sizes")
     goals = cut(spark, targets(sized, cfg), "targets")
     rows = sized.count()
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    spans = max(1, -(-rows // cfg.span_rows))
-    span = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * spans / 2**32)
-    placed = running_start(sized.withColumn("__key", key), ["source"], [F.col("__key"), F.col("doc_id"), F.col("size")], "size", "at", span)
+    order = [F.col("__key").asc_nulls_last(), *map(F.col, ("doc_id", "size", "__tie", "__row"))]
+    placed = sized.withColumn("__key", F.md5(F.col("doc_id").cast("string"))).repartitionByRange(max(1, -(-rows // cfg.span_rows)), *order)
+    placed = cut(spark, placed.withColumn("__part", F.spark_partition_id()), "spans")  # ranges of rows: no doc_id, null neither, fills a span alone
+    placed = running_start(placed, ["source"], order, "size", "at", F.col("__part"))
     g = goals.select(F.col("source").alias("s"), "source_size", "quota")
     placed = placed.join(g, placed.source.eqNullSafe(g.s)).where("size > 0")
     rounds = F.sequence(F.lit(0), F.floor((F.col("quota") - F.col("at") - 1) / F.col("source_size")))
@@ -103,7 +105,8 @@ def mix(docs: DataFrame, cfg: Mixing | None = None) -> tuple[DataFrame, DataFram
     turns = turns.withColumn("hi", F.least(F.col("lo") + F.col("size"), "quota"))
     parts = turns.withColumn("rank", F.explode(F.sequence(F.floor(F.col("lo") / cfg.block), F.floor((F.col("hi") - 1) / cfg.block))))
     begin = F.greatest("lo", F.col("rank") * cfg.block)
-    parts = parts.select(F.col("source").alias("s"), F.col("rank").alias("r"), "doc_id", "round", (begin - F.col("lo")).alias("first"), (F.least("hi", (F.col("rank") + 1) * cfg.block) - begin).alias("n"))
+    parts = parts.select(F.col("source").alias("s"), F.col("rank").alias("r"), "__row", "doc_id", "round", (begin - F.col("lo")).alias("first"), (F.least("hi", (F.col("rank") + 1) * cfg.block) - begin).alias("n"))
     slots = schedule(goals, cfg)
-    mixed = parts.join(slots, F.col("s").eqNullSafe(slots.source) & (F.col("r") == slots.rank)).select("slot", "source", "doc_id", "round", "first", "n")
+    mixed = parts.join(slots, F.col("s").eqNullSafe(slots.source) & (F.col("r") == slots.rank)).select("slot", "source", "__row", "doc_id", "round", "first", "n")
+    mixed, sized = (df.withColumnRenamed("__row", row) if row else df.drop("__row") for df in (mixed, sized.drop("__tie")))
     return mixed, sized, goals

@@ -50,6 +50,11 @@ def cut(spark: SparkSession, df: DataFrame, name: str, compression: str = "zstd"
     return out
 
 
+def with_rows(spark: SparkSession, df: DataFrame, out: str = "row") -> DataFrame:
+    """df with a number for each row, written so that it stays: doc_ids may be null or repeat, row numbers don't."""
+    return cut(spark, df.withColumn(out, F.monotonically_increasing_id()), "rows")
+
+
 def find_package(spark: SparkSession) -> None:
     """Let Python workers of a local session import this package wherever it was started; a cluster is given the package as usual."""
     if spark.sparkContext.master.startswith("local["):

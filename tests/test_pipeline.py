@@ -1,0 +1,63 @@
+"""Each stage of the pipeline against plain Python, on documents of which some have no doc_id and some repeat one."""
+
+import random
+from collections import Counter
+
+import corpus_pipeline as P
+import pytest
+
+from tests.llm.test_operators import SCHEMA, brute_components, measured, without_repeats, words
+
+
+def prose(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 8))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rnd = random.Random(4)
+    a, b, c, d, e, f = (prose(rnd, n) for n in (90, 120, 100, 80, 150, 110))
+    near = " ".join([*c.split()[:-1], "NEU"])
+    texts = [(1, a), (1, a), (2, b), (2, d), (None, c), (None, c), (None, near), (5, near), (None, e), (6, e + " more"), (None, f), (None, prose(rnd, 70)), (7, "too short"), (8, prose(rnd, 60) + " " + f)]
+    return [(i, t, "en", "xy"[k % 2], len(t)) for k, (i, t) in enumerate(texts)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+def listed(df):
+    return sorted((tuple(r) for r in df.select(*P.COLUMNS).collect()), key=str)
+
+
+def grouped(rows):
+    """The groups of rows (0.8) by text, as lists of rows."""
+    found = brute_components([(i, r[1]) for i, r in enumerate(rows)], 80)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(found[i][1], []).append(r)
+    return list(groups.values())
+
+
+def test_mixing_has_every_row_as_often_as_the_mix_reads_it(spark, rows):
+    found = listed(P.mixed_sources(spark, frame(spark, rows), ""))
+    n = sum(len(words(r[1])) for r in rows)
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len(words(r[1]))
+    target = {"x": min(2 * size["x"], 1.5 * n * 3 / 4), "y": min(2 * size["y"], 1.5 * n / 4)}
+    if 1.5 * n * 3 / 4 > 2 * size["x"]:
+        target["y"] = min(2 * size["y"], 1.5 * n - target["x"])
+    got, often, cut_off = Counter(), Counter(), Counter()
+    whole = Counter((r[0], r[1], r[3]) for r in rows)
+    for i, t, _, s, n_chars in found:
+        got[s] += len(words(t))
+        assert n_chars == len(t)
+        if (i, t, s) in whole:
+            often[i, t, s] += 1
+        else:
+            assert any(i == r[0] and s == r[3] and r[1].startswith(t + " ") for r in rows)
+            cut_off[s] += 1
+    assert all(abs(got[s] - target[s]) <= 1 and cut_off[s] <= 1 for s in "xy")
+    assert all(often[k] <= 2 * v for k, v in whole.items())
+    assert any(i is None for i, *_ in found)
