@@ -29,10 +29,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from proofloom.llm.mixing import mix
 
-    mixed, sized, goals = mix(table(spark, sf_dir, "documents"))
-    taken = mixed.groupBy(F.col("doc_id").alias("d")).agg(F.sum("n").alias("taken"))
+    mixed, sized, goals = mix(table(spark, sf_dir, "documents").withColumn("row", F.monotonically_increasing_id()), row="row")
+    taken = mixed.groupBy("row").agg(F.sum("n").alias("taken"))
     goals = goals.select(F.col("source").alias("s"), "source_size", "target")
-    rows = sized.join(goals, sized.source.eqNullSafe(goals.s)).join(taken, F.col("doc_id") == F.col("d"), "left")
+    rows = sized.join(goals, sized.source.eqNullSafe(goals.s)).join(taken, "row", "left")
     return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
