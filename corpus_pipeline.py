@@ -25,9 +25,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similarity 0.8 or more hold together: that of the smallest doc_id. Rows without doc_id stay."""
-    gone = near_duplicates(docs, NearDup(percent=80)).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group that links of similarity 0.8 or more hold together: that of the smallest doc_id, none being the largest."""
+    docs = with_rows(spark, docs.select(*COLUMNS))
+    groups = near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), NearDup(percent=80)).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "tie", "row")
+    kept = groups.join(docs.select("row", "doc_id", F.xxhash64("text").alias("tie")), "row").groupBy("component_id").agg(F.min_by("row", order).alias("row"))
+    return docs.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,14 @@ def test_mixing_has_every_row_as_often_as_the_mix_reads_it(spark, rows):
     assert all(abs(got[s] - target[s]) <= 1 and cut_off[s] <= 1 for s in "xy")
     assert all(often[k] <= 2 * v for k, v in whole.items())
     assert any(i is None for i, *_ in found)
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark, rows):
+    found = listed(P.near_dedup(spark, frame(spark, rows), ""))
+    least = lambda g: min((r[0] is None, r[0] or 0) for r in g)
+    groups = grouped(rows)
+    assert len(found) == len(groups) < len(rows)
+    for g in groups:
+        (kept,) = [r for r in found if r[1] in {x[1] for x in g}]
+        assert kept in g and (kept[0] is None, kept[0] or 0) == least(g)
+    assert None in {r[0] for r in found} and [r[0] for r in found].count(2) == 2
