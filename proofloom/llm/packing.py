@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofloom.llm.shared import WORD, cut, find_package
+from proofloom.llm.near_dup import NearDup, near_duplicates
+from proofloom.llm.shared import WORD, cut, find_package, with_rows
 
 
 @dataclass(frozen=True)
@@ -67,18 +68,34 @@ def pack_block(table: pa.Table, cfg: Packing) -> pa.Table:
     )
 
 
+def _size() -> Column:
+    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+
+
 def pack(docs: DataFrame, cfg: Packing | None = None) -> DataFrame:
     """(doc_id, piece, first, n_words, bin, offset): words first to first + n_words of the document stand in a sequence from offset on.
 
     Documents without words, null texts included, have one row with no bin. Copies are documents of equal text, or of equal ``cluster``
     if docs has such a column; null is a source. Rows that repeat a doc_id are packed each. Further columns are ignored.
     """
-    cfg = cfg or Packing()
-    spark = docs.sparkSession
-    find_package(spark)
     cluster = F.xxhash64("cluster") if "cluster" in docs.columns else F.xxhash64("text")
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    sized = cut(spark, docs.select("doc_id", "source", size.alias("size"), cluster.alias("cluster")), "sizes")
+    return pack_sizes(docs.select("doc_id", "source", _size().alias("size"), cluster.alias("cluster")), cfg or Packing())
+
+
+def pack_apart(docs: DataFrame, cfg: Packing | None = None, near: NearDup | None = None) -> DataFrame:
+    """pack, with the rows of a near-duplicate component (similarity 0.8 unless told) as copies of each other."""
+    docs = with_rows(docs.sparkSession, docs.select("doc_id", "source", "text"))
+    groups = near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), near or NearDup(percent=80))
+    groups = groups.select(F.col("doc_id").alias("row"), F.xxhash64("component_id").alias("cluster"))
+    sized = docs.select("row", "doc_id", "source", _size().alias("size")).join(groups, "row")
+    return pack_sizes(sized.select("doc_id", "source", "size", "cluster"), cfg or Packing())
+
+
+def pack_sizes(sized: DataFrame, cfg: Packing) -> DataFrame:
+    """pack for documents (doc_id, source, size, cluster) whose words are counted and whose copies are known."""
+    spark = sized.sparkSession
+    find_package(spark)
+    sized = cut(spark, sized, "sizes")
     pieces = sized.where("size > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / cfg.capacity))))
     pieces = pieces.withColumn("first", F.col("piece") * cfg.capacity)
     pieces = pieces.withColumn("n_words", F.least(F.lit(cfg.capacity).cast("long"), F.col("size") - F.col("first")))

@@ -44,9 +44,9 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from proofloom.llm.packing import pack
+    from proofloom.llm.packing import pack_apart
 
-    return pack(table(spark, sf_dir, "documents"))
+    return pack_apart(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,25 @@ def test_mixed_sources(spark, tmp_path):
     assert sorted(((r.doc_id, r.size, r.source_size, r.taken) for r in found), key=str) == sorted(want, key=str)
     for s in "ab":
         assert sum(r.taken for r in found if r.source_size == source[s]) == pytest.approx(target[s], abs=1)
+
+
+def test_packing_keeps_near_copies_apart(spark, tmp_path):
+    from proofloom.llm.queries import op5_packed_sequences
+    from tests.llm.test_operators import brute_components
+
+    rnd = random.Random(7)
+    base, rows = [f"w{i}" for i in range(100)], [(None, "a b c", "en", "n", None), (1, "d e f", "en", "n", None), (1, "", "en", "n", None)]
+    for d in range(2, 30):
+        own = list(base)
+        own[rnd.randrange(100)] = f"n{d}"
+        rows.append((d, " ".join(own), "en", f"s{d}", None))
+    rows += [(d, " ".join(f"x{d}y{i}" for i in range(50)), "en", f"s{d}", None) for d in range(30, 40)]
+    found = op5_packed_sequences(spark, saved(spark, rows, tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_words) for r in found) == sorted((str(d), len(words(t))) for d, t, *_ in rows)
+    comp = {d: c for d, (_, c, _) in brute_components([r for r in rows if r[0] is not None and r[1]], 80).items()}
+    bins = {}
+    for r in found:
+        if r.bin is not None and r.doc_id is not None:
+            bins.setdefault(r.bin, []).append(comp[r.doc_id])
+    assert len(set(comp.values())) < len(comp) - 20
+    assert all(len(set(own)) == len(own) for own in bins.values())
