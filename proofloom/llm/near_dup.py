@@ -92,7 +92,8 @@ def registers(g: np.ndarray, off: np.ndarray, cfg: NearDup) -> np.ndarray:
         x += b[i]
         least[i] = np.minimum.reduceat(x, off[:-1])
     exponential = -np.log1p(-(least.T.astype(np.float64) + 0.5) / 2.0**64)
-    return np.clip(np.floor(1 - np.log(exponential) / np.log(cfg.base)), 0, cfg.top).astype(np.uint16)
+    lift = np.ceil(np.log(44) / np.log(cfg.base))  # a double's largest is below 44: registers of small sets are told apart too
+    return np.clip(np.floor(1 + lift - np.log(np.clip(exponential, 1e-300, 44)) / np.log(cfg.base)), 0, cfg.top).astype(np.uint16)
 
 
 def sketch(batches: Iterator[pa.RecordBatch], cfg: NearDup) -> Iterator[pa.RecordBatch]:
@@ -190,15 +191,16 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 
 def compare_blocks(table: pa.Table, cfg: NearDup, best: bool) -> pa.Table:
-    """Pairs (a, b, same) of different components that may be similar enough, from rows (key, part, id, comp, n, regs, home, minor).
+    """Pairs (a, b, same) of different components that may be similar enough, from rows (key, part, id, comp, n, regs, left, right).
 
     same is the number of equal registers. best: for each id only its pair with most of them, and that with the id as b.
 
-    Within a (key, part), minor members are held against those at home there. A pair is judged in the first band that both share.
+    Within a (key, part), members on the left are held against those on the right. A pair is judged in the first band that both share.
     """
     table = table.combine_chunks()
     key, part, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "part", "id", "comp", "n"))
-    home, minor = (table.column(c).to_numpy(zero_copy_only=False) for c in ("home", "minor"))
+    left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
+    both = left & right
     regs = _matrix(table.column("regs"), cfg)
     band = (key.view(U64) % U64(cfg.bands)).astype(np.int64)
     order = np.lexsort((part, key))
@@ -206,7 +208,7 @@ def compare_blocks(table: pa.Table, cfg: NearDup, best: bool) -> pa.Table:
     out_a, out_b, out_same = [], [], []
 
     def judge(x: np.ndarray, y: np.ndarray) -> None:
-        ok = (comp[x] != comp[y]) & ~(minor[y] & (ids[x] > ids[y])) & (100 * np.minimum(n[x], n[y]) >= cfg.percent * np.maximum(n[x], n[y]))
+        ok = (comp[x] != comp[y]) & ~(both[x] & both[y] & (ids[x] > ids[y])) & (100 * np.minimum(n[x], n[y]) >= cfg.percent * np.maximum(n[x], n[y]))
         x, y = x[ok], y[ok]
         for i in range(0, len(x), 20_000):
             u, v = x[i : i + 20_000], y[i : i + 20_000]
@@ -224,7 +226,7 @@ def compare_blocks(table: pa.Table, cfg: NearDup, best: bool) -> pa.Table:
     size = 0
     for lo, hi in zip(runs, np.append(runs[1:], len(order)), strict=True):
         rows = order[lo:hi]
-        x, y = rows[minor[rows]], rows[home[rows]]
+        x, y = rows[left[rows]], rows[right[rows]]
         for some in np.array_split(x, max(1, len(x) * len(y) // 200_000)):
             waiting.append((np.repeat(some, len(y)), np.tile(y, len(some))))
             size += len(some) * len(y)
@@ -242,17 +244,36 @@ def compare_blocks(table: pa.Table, cfg: NearDup, best: bool) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "same": pa.array(same, pa.int64())})
 
 
+def deal(here: DataFrame, reps: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Members (key, id, comp, main, total, most) of buckets, with n and regs of reps, dealt into cells, and in how many groups of bounded size the cells fit.
+
+    most is the number of members of the main component. A cell (key, part) holds about one block of minor members on the left and one block of
+    members on the right, so that any two members that are not both of the main component meet in one cell. A bucket of one block is one cell.
+    """
+    minors, mains = (F.ceil(x / block) for x in (F.col("total") - F.col("most"), F.col("most")))
+    here = here.withColumn("minor", F.col("comp") != F.col("main")).withColumn("minors", minors).withColumn("mains", mains)
+    here = here.withColumn("small", F.col("total") <= block)
+    here = here.withColumn("own", F.pmod(F.xxhash64("id", "key"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("mains"))))
+    cell = lambda part, left, right: F.struct(part.cast("long").alias("part"), left.alias("left"), right.alias("right"))
+    yes, no, own, zero = F.lit(True), F.lit(False), F.col("own"), F.lit(0).cast("long")
+    to = lambda n: F.sequence(zero, F.col(n) - 1)
+    against_main = F.transform(to("mains"), lambda j: cell(own * F.col("mains") + j, yes, no))
+    among_minor = F.transform(to("minors"), lambda j: cell(-1 - F.least(own, j) * F.col("minors") - F.greatest(own, j), own <= j, own >= j))
+    by_minor = F.transform(to("minors"), lambda i: cell(i * F.col("mains") + own, no, yes))
+    cells = F.when(F.col("small"), F.array(cell(zero, F.col("minor"), yes))).when(F.col("minor"), F.concat(against_main, among_minor)).otherwise(by_minor)
+    copies = F.when(F.col("small"), 1).when(F.col("minor"), F.col("mains") + F.col("minors")).otherwise(F.col("minors"))
+    n = here.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
+    rows = here.join(reps, "id").withColumn("cell", F.explode(cells))
+    return rows.select("key", "cell.part", "id", "comp", "n", "regs", "cell.left", "cell.right"), max(1, n // (4 * block))
+
+
 def open_pairs(spark: SparkSession, active: DataFrame, comps: DataFrame, reps: DataFrame, cfg: NearDup, best: bool) -> DataFrame:
     """Candidate pairs (a, b) of different components that the registers leave open; best: for each id the likeliest one."""
     here = active.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     sizes = here.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("comps")).where("comps > 1")
-    here = cut(spark, here.join(mixed.select("key", "main", "total"), "key"), "mixed", "lz4")
-    parts = F.ceil(F.col("total") / cfg.block)
-    rows = here.join(reps, "id").withColumn("minor", F.col("comp") != F.col("main")).withColumn("own", F.pmod(F.xxhash64("id"), parts))
-    rows = rows.withColumn("part", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("own"))))
-    rows = rows.select("key", F.col("part").cast("long").alias("part"), "id", "comp", "n", "regs", (F.col("own") == F.col("part")).alias("home"), "minor")
-    groups = max(1, here.count() // (4 * cfg.block))
+    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    here = cut(spark, here.join(mixed.select("key", "main", "total", "most"), "key"), "mixed", "lz4")
+    rows, groups = deal(here, reps, cfg.block)
 
     def compared(group: pa.Table) -> pa.Table:
         return compare_blocks(group, cfg, best)
