@@ -72,3 +72,30 @@ def test_near_dedup_keeps_one_row_of_each_group(spark, rows):
         (kept,) = [r for r in found if r[1] in {x[1] for x in g}]
         assert kept in g and (kept[0] is None, kept[0] or 0) == least(g)
     assert None in {r[0] for r in found} and [r[0] for r in found].count(2) == 2
+
+
+def test_quality_rules_drop_rows_only_by_their_text(spark, rows):
+    assert listed(P.quality_rules(spark, frame(spark, rows), "")) == sorted((r for r in rows if not measured(r[1])[-1]), key=str)
+
+
+def test_substring_dedup_strips_later_documents(spark, rows):
+    """Rows without doc_id stay as they are, as remove_repeats says; the rows of doc_id 2 have nothing to lose."""
+    rows = [r for r in rows if r[0] != 1]
+    want = without_repeats([r for r in rows if r[0] is not None and r[0] != 2])
+    text = lambda r: want[r[0]][2] if r[0] in want and want[r[0]][1] else r[1]
+    assert listed(P.substring_dedup(spark, frame(spark, rows), "")) == sorted(((r[0], text(r), r[2], r[3], len(text(r))) for r in rows), key=str)
+
+
+def test_run_packs_the_words_of_the_mix(spark, rows, tmp_path):
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = P.run(spark, str(tmp_path)).collect()
+    kept = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in grouped([r for r in rows if not measured(r[1])[-1]])]
+    size = Counter()
+    stripped = without_repeats([r for r in kept if r[0] is not None and r[0] != 2])
+    for r in kept:
+        size[r[3]] += len(words(r[1])) - (stripped[r[0]][1] if r[0] in stripped else 0)
+    n = 1.5 * sum(size.values())
+    x, y = (min(2 * size[s], n * w / 4) for s, w in (("x", 3), ("y", 1)))
+    x, y = (x, min(2 * size["y"], n - x)) if n * 3 / 4 > 2 * size["x"] else (min(2 * size["x"], n - y), y)
+    assert abs(sum(r.n_words for r in found) - (x + y)) <= 2
+    assert None in {r.doc_id for r in found} and 7 not in {r.doc_id for r in found}
