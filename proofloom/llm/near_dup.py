@@ -8,8 +8,13 @@ left out; the others are compared on their full sets.
 
 Buckets of candidates are never expanded into pairs. First each member is held against one pivot of its buckets, the smallest, which
 brings groups of copies together. Buckets whose members are then still in different components are compared by registers, members of the
-smaller components against all others, in blocks of bounded size; only pairs that the registers leave open are written and
-compared on full sets: at first the likeliest pair of each member, which joins most components, then all that still are between components. So no candidate pair between components is left out, and none within a component is looked at.
+smaller components against all others, in cells of bounded size: at first only the likeliest partner of each member is compared
+on full sets, which joins most components. At last every pair between components that the registers leave open is: a cell's open
+pairs stay one packed row, the texts of its members come to it, and only links that join components leave it. So no candidate pair between
+components is left out, none within a component is looked at, and no row is made for a pair.
+
+Texts are read twice: for the sketches, and once more for those in buckets with others, which are written as the table that all
+comparisons read.
 """
 
 from __future__ import annotations
@@ -42,9 +47,10 @@ class NearDup:
     top: int = 65535
     #: A pair is left out unread if the likelihood of the wanted similarity is e^-slack of the best one's or less.
     slack: float = 14.0
-    #: Members that one task holds against a pivot at a time, and members of a bucket that one task compares.
+    #: Members that one task holds against a pivot at a time, and members of a bucket that one task compares, and shingles of them.
     group: int = 128
     block: int = 1024
+    block_shingles: int = 1 << 20
     #: Rounds in which each member of a mixed bucket is held against its likeliest partner only, before all open pairs are.
     best_rounds: int = 2
 
@@ -97,7 +103,11 @@ def registers(g: np.ndarray, off: np.ndarray, cfg: NearDup) -> np.ndarray:
 
 
 def sketch(batches: Iterator[pa.RecordBatch], cfg: NearDup) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n_shingles, digest of the set, registers); digest and registers are null for an empty set."""
+    """(doc_id, of, text) to (doc_id, n_shingles, digest of the set, registers, of); digest and registers are null for an empty set."""
+    yield from words.tidy(_sketched(batches, cfg))
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], cfg: NearDup) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, g, off in shingle_sets(batch.column("text"), cfg.shingle):
             n = np.diff(off)
@@ -108,8 +118,8 @@ def sketch(batches: Iterator[pa.RecordBatch], cfg: NearDup) -> Iterator[pa.Recor
                 for k, row in enumerate(full.tolist()):
                     digests[row] = blake2b(g[off[row] : off[row + 1]].tobytes(), digest_size=16).digest()
                     regs[row] = r[k].tobytes()
-            ids = batch.column("doc_id").slice(i, len(n))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "digest", "regs"])
+            ids, of = (batch.column(c).slice(i, len(n)) for c in ("doc_id", "of"))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary()), of], ["doc_id", "n_shingles", "digest", "regs", "of"])
 
 
 def _matrix(column: pa.Array, cfg: NearDup) -> np.ndarray:
@@ -117,7 +127,7 @@ def _matrix(column: pa.Array, cfg: NearDup) -> np.ndarray:
 
 
 def band_keys(batches: Iterator[pa.RecordBatch], cfg: NearDup) -> Iterator[pa.RecordBatch]:
-    """(id, regs) to (key, id), a row for each band."""
+    """(id, n, regs) to (key, id, n), a row for each band."""
     for batch in batches:
         if not len(batch):
             continue
@@ -127,8 +137,8 @@ def band_keys(batches: Iterator[pa.RecordBatch], cfg: NearDup) -> Iterator[pa.Re
             key = words.mix(key * U64(0xD6E8FEB86659FD93) + r[:, :, i])
         key -= key % U64(cfg.bands)  # a key says of which band it is
         key += np.arange(cfg.bands, dtype=U64)
-        ids = np.repeat(batch.column("id").to_numpy(), cfg.bands)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
+        ids, n = (np.repeat(batch.column(x).to_numpy(), cfg.bands) for x in ("id", "n"))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids), pa.array(n)], ["key", "id", "n"])
 
 
 def likely(ru: np.ndarray, rv: np.ndarray, nu: np.ndarray, nv: np.ndarray, cfg: NearDup) -> np.ndarray:
@@ -190,14 +200,11 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return labels
 
 
-def compare_blocks(table: pa.Table, cfg: NearDup, best: bool) -> pa.Table:
-    """Pairs (a, b, same) of different components that may be similar enough, from rows (key, part, id, comp, n, regs, left, right).
+def open_in_cells(table: pa.Table, cfg: NearDup) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (key, part, id, comp, n, regs, left, right): row numbers x, y of pairs of different components that may be similar enough, how many registers are equal, and the pair's cell.
 
-    same is the number of equal registers. best: for each id only its pair with most of them, and that with the id as b.
-
-    Within a (key, part), members on the left are held against those on the right. A pair is judged in the first band that both share.
+    Within a cell (key, part), members on the left are held against those on the right. A pair is judged in the first band that both share.
     """
-    table = table.combine_chunks()
     key, part, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "part", "id", "comp", "n"))
     left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
     both = left & right
@@ -205,7 +212,9 @@ def compare_blocks(table: pa.Table, cfg: NearDup, best: bool) -> pa.Table:
     band = (key.view(U64) % U64(cfg.bands)).astype(np.int64)
     order = np.lexsort((part, key))
     runs = np.flatnonzero(np.append(True, (np.diff(key[order]) != 0) | (np.diff(part[order]) != 0)))
-    out_a, out_b, out_same = [], [], []
+    cell = np.empty(len(order), np.int64)
+    cell[order] = np.repeat(np.arange(len(runs)), np.diff(np.append(runs, len(order))))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def judge(x: np.ndarray, y: np.ndarray) -> None:
         ok = (comp[x] != comp[y]) & ~(both[x] & both[y] & (ids[x] > ids[y])) & (100 * np.minimum(n[x], n[y]) >= cfg.percent * np.maximum(n[x], n[y]))
@@ -218,9 +227,7 @@ def compare_blocks(table: pa.Table, cfg: NearDup, best: bool) -> pa.Table:
             if len(u):
                 ok = likely(regs[u], regs[v], n[u], n[v], cfg)
                 u, v = u[ok], v[ok]
-                out_a.append(np.minimum(ids[u], ids[v]))
-                out_b.append(np.maximum(ids[u], ids[v]))
-                out_same.append((regs[u] == regs[v]).sum(1))
+                found.append((u, v, (regs[u] == regs[v]).sum(1)))
 
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -235,24 +242,89 @@ def compare_blocks(table: pa.Table, cfg: NearDup, best: bool) -> pa.Table:
                 waiting, size = [], 0
     if waiting:
         judge(*map(np.concatenate, zip(*waiting, strict=True)))
-    a, b, same = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b, out_same))
-    if best and len(a):
-        a, b, same = np.append(a, b), np.append(b, a), np.append(same, same)
-        order = np.lexsort((a, -same, b))
-        first = np.append(True, np.diff(b[order]) != 0)
-        a, b, same = a[order][first], b[order][first], same[order][first]
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "same": pa.array(same, pa.int64())})
+    x, y, same = map(np.concatenate, zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 3
+    return x, y, same, cell[x]
 
 
-def deal(here: DataFrame, reps: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """Members (key, id, comp, main, total, most) of buckets, with n and regs of reps, dealt into cells, and in how many groups of bounded size the cells fit.
+def best_partners(table: pa.Table, cfg: NearDup) -> pa.Table:
+    """Of each id its open pair with most equal registers: (a, b, same) with the id as b."""
+    table = table.combine_chunks()
+    x, y, same, _ = open_in_cells(table, cfg)
+    ids = table.column("id").to_numpy()
+    a, b, same = np.append(ids[x], ids[y]), np.append(ids[y], ids[x]), np.append(same, same)
+    order = np.lexsort((a, -same, b))
+    first = order[np.append(True, np.diff(b[order]) != 0)] if len(order) else order
+    return pa.table({"a": pa.array(a[first], pa.int64()), "b": pa.array(b[first], pa.int64()), "same": pa.array(same[first], pa.int64())})
+
+
+_CELLS = "key long, part long, ids array<long>, comps array<long>, pairs binary"
 
-    most is the number of members of the main component. A cell (key, part) holds about one block of minor members on the left and one block of
-    members on the right, so that any two members that are not both of the main component meet in one cell. A bucket of one block is one cell.
+
+def open_cells(table: pa.Table, cfg: NearDup) -> pa.Table:
+    """A row for each cell with open pairs: its members in them, their components, and the pairs as places among those members, packed."""
+    table = table.combine_chunks()
+    x, y, _, cell = open_in_cells(table, cfg)
+    key, part, ids, comp = (table.column(c).to_numpy() for c in ("key", "part", "id", "comp"))
+    order = np.argsort(cell, kind="stable")
+    out: list[list] = [[], [], [], [], []]
+    for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []:
+        rows, place = np.unique(np.append(x[own], y[own]), return_inverse=True)
+        pairs = place.reshape(2, -1).T.astype(np.uint32)
+        values = (key[rows[0]], part[rows[0]], ids[rows], comp[rows], pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))].tobytes())
+        for column, value in zip(out, values, strict=True):
+            column.append(value)
+    longs = pa.list_(pa.int64())
+    return pa.table({k: pa.array(v, t) for k, v, t in zip(("key", "part", "ids", "comps", "pairs"), out, (pa.int64(), pa.int64(), longs, longs, pa.binary()), strict=True)})
+
+
+def verify_cells(table: pa.Table, cfg: NearDup) -> pa.Table:
+    """Cells' members (key, part, id, comp, text) and rows of pairs (key, part, ids, pairs) to links (a, b) that join components within a cell."""
+    table = table.combine_chunks()
+    given = table.column("pairs").is_valid().to_numpy(zero_copy_only=False)
+    members = table.filter(pa.array(~given))
+    key, part, ids, comp = (members.column(c).to_numpy() for c in ("key", "part", "id", "comp"))
+    sets: list[np.ndarray] = []
+    for _, g, off in shingle_sets(members.column("text"), cfg.shingle):
+        sets += [g[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    of = {k: i for i, k in enumerate(zip(key.tolist(), part.tolist(), ids.tolist(), strict=True))}
+    out_a, out_b = [], []
+    for row in table.filter(pa.array(given)).select(["key", "part", "ids", "pairs"]).to_pylist():
+        at = [of[row["key"], row["part"], i] for i in row["ids"]]
+        pairs = np.frombuffer(row["pairs"], np.uint32).reshape(-1, 2)
+        roots: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while (up := roots.get(i, i)) != i:  # noqa: B023
+                i = up
+            return i
+
+        for own in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1):
+            pivot = at[own[0, 0]]
+            others = [j for j in (at[p] for p in own[:, 1].tolist()) if root(int(comp[j])) != root(int(comp[pivot]))]
+            if not others:
+                continue
+            mine, theirs = sets[pivot], [sets[j] for j in others]
+            n = np.array([len(x) for x in theirs])
+            g = np.concatenate(theirs)
+            hit = mine[np.minimum(np.searchsorted(mine, g), len(mine) - 1)] == g
+            shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
+            for j in np.flatnonzero(100 * shared >= cfg.percent * (n + len(mine) - shared)).tolist():
+                ra, rb = root(int(comp[pivot])), root(int(comp[others[j]]))
+                if ra != rb:
+                    roots[max(ra, rb)] = min(ra, rb)
+                    out_a.append(min(int(ids[pivot]), int(ids[others[j]])))
+                    out_b.append(max(int(ids[pivot]), int(ids[others[j]])))
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
+def deal(here: DataFrame, reps: DataFrame, cfg: NearDup) -> tuple[DataFrame, int]:
+    """Members (key, id, n, comp, main, minors, mains) of buckets, with regs of reps, dealt into cells, and in how many groups of bounded size the cells fit.
+
+    mains and minors are the numbers of blocks of the main component and of all others. A cell (key, part) holds one block of minor members on
+    the left and one block of members on the right, so that any two members that are not both of the main component meet in one cell.
     """
-    minors, mains = (F.ceil(x / block) for x in (F.col("total") - F.col("most"), F.col("most")))
-    here = here.withColumn("minor", F.col("comp") != F.col("main")).withColumn("minors", minors).withColumn("mains", mains)
-    here = here.withColumn("small", F.col("total") <= block)
+    here = here.withColumn("minor", F.col("comp") != F.col("main"))
+    here = here.withColumn("small", (F.col("mains") <= 1) & (F.col("minors") <= 1))
     here = here.withColumn("own", F.pmod(F.xxhash64("id", "key"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("mains"))))
     cell = lambda part, left, right: F.struct(part.cast("long").alias("part"), left.alias("left"), right.alias("right"))
     yes, no, own, zero = F.lit(True), F.lit(False), F.col("own"), F.lit(0).cast("long")
@@ -263,57 +335,87 @@ def deal(here: DataFrame, reps: DataFrame, block: int) -> tuple[DataFrame, int]:
     cells = F.when(F.col("small"), F.array(cell(zero, F.col("minor"), yes))).when(F.col("minor"), F.concat(against_main, among_minor)).otherwise(by_minor)
     copies = F.when(F.col("small"), 1).when(F.col("minor"), F.col("mains") + F.col("minors")).otherwise(F.col("minors"))
     n = here.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
-    rows = here.join(reps, "id").withColumn("cell", F.explode(cells))
-    return rows.select("key", "cell.part", "id", "comp", "n", "regs", "cell.left", "cell.right"), max(1, n // (4 * block))
+    rows = here.join(reps.select("id", "regs").hint("merge"), "id").withColumn("cell", F.explode(cells))
+    return rows.select("key", "cell.part", "id", "comp", "n", "regs", "cell.left", "cell.right"), max(1, n // (4 * cfg.block))
+
+
+def mixed_buckets(spark: SparkSession, active: DataFrame, comps: DataFrame, cfg: NearDup) -> DataFrame:
+    """Members (key, id, n, comp, main, minors, mains) of buckets that hold more than one component."""
+    here = active.join(comps, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    sizes = here.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("shingles"))
+    most = F.max(F.struct("n", "comp", "shingles"))
+    sizes = sizes.groupBy("key").agg(most.alias("m"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda n, shingles: F.greatest(F.ceil(n / cfg.block), F.ceil(shingles / cfg.block_shingles))
+    sizes = sizes.select("key", F.col("m.comp").alias("main"), blocks(F.col("m.n"), F.col("m.shingles")).alias("mains"), blocks(F.col("n") - F.col("m.n"), F.col("shingles") - F.col("m.shingles")).alias("minors"))
+    return cut(spark, here.join(cut(spark, sizes, "sizes", "lz4"), "key"), "mixed", "lz4")
 
 
-def open_pairs(spark: SparkSession, active: DataFrame, comps: DataFrame, reps: DataFrame, cfg: NearDup, best: bool) -> DataFrame:
-    """Candidate pairs (a, b) of different components that the registers leave open; best: for each id the likeliest one."""
-    here = active.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    sizes = here.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
-    here = cut(spark, here.join(mixed.select("key", "main", "total", "most"), "key"), "mixed", "lz4")
-    rows, groups = deal(here, reps, cfg.block)
+def likeliest(spark: SparkSession, here: DataFrame, reps: DataFrame, cfg: NearDup) -> DataFrame:
+    """For each member of mixed buckets its likeliest open partner: pairs (a, b)."""
+    rows, groups = deal(here, reps, cfg)
 
     def compared(group: pa.Table) -> pa.Table:
-        return compare_blocks(group, cfg, best)
+        return best_partners(group, cfg)
 
     pairs = rows.groupBy(F.pmod(F.xxhash64("key", "part"), F.lit(groups)).alias("g")).applyInArrow(compared, "a long, b long, same long")
-    if not best:
-        return pairs.select("a", "b")
     pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def check_cells(spark: SparkSession, here: DataFrame, reps: DataFrame, texts: DataFrame, cfg: NearDup) -> DataFrame:
+    """Links (a, b) among all open pairs of mixed buckets, as many as join the components of a cell."""
+    rows, groups = deal(here, reps, cfg)
+
+    def opened(group: pa.Table) -> pa.Table:
+        return open_cells(group, cfg)
+
+    def verified(group: pa.Table) -> pa.Table:
+        return verify_cells(group, cfg)
+
+    cells = cut(spark, rows.groupBy(F.pmod(F.xxhash64("key", "part"), F.lit(groups)).alias("g")).applyInArrow(opened, _CELLS), "cells", "lz4")
+    members = cells.select("key", "part", F.explode(F.arrays_zip("ids", "comps")).alias("m")).select("key", "part", F.col("m.ids").alias("id"), F.col("m.comps").alias("comp"))
+    most = members.join(reps.select("id", "n"), "id").agg(F.coalesce(F.count("*"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    groups = max(1, most[0] // (2 * cfg.block), most[1] // cfg.block_shingles)
+    none = lambda t: F.lit(None).cast(t)
+    members = members.join(texts.hint("merge"), "id").select("key", "part", "id", "comp", "text", none("array<long>").alias("ids"), none("binary").alias("pairs"))
+    pairs = cells.select("key", "part", none("long").alias("id"), none("long").alias("comp"), none("string").alias("text"), "ids", "pairs")
+    linked = members.union(pairs).groupBy(F.pmod(F.xxhash64("key", "part"), F.lit(groups)).alias("g")).applyInArrow(verified, "a long, b long")
+    return cut(spark, linked, "linked", "lz4")
+
+
 def find_links(spark: SparkSession, reps: DataFrame, docs: DataFrame, cfg: NearDup) -> DataFrame | None:
-    """(id, comp) of reps (id, n, regs) that are linked with others; docs (doc_id, text) has their texts. None: no links."""
-    keys = cut(spark, reps.select("id", "regs").mapInArrow(partial(band_keys, cfg=cfg), "key long, id long"), "bands", "lz4")
-    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("a")).where("size > 1").select("key", "a")
+    """(id, comp) of reps (id, n, regs, of) that are linked with others; docs (doc_id, of, text) has their texts, told apart by of. None: no links."""
+    keys = cut(spark, reps.select("id", "n", "regs").mapInArrow(partial(band_keys, cfg=cfg), "key long, id long, n long"), "bands", "lz4")
+    shared = cut(spark, keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("a")).where("size > 1").select("key", "a"), "shared", "lz4")
     active = cut(spark, keys.join(shared, "key"), "buckets", "lz4")
     if active.isEmpty():
         return None
+    used = active.select("id").distinct().join(reps.select("id", "of"), "id")
+    texts = docs.select(F.col("doc_id").alias("id"), "of", "text").join(used.hint("merge"), ["id", "of"], "left_semi")
+    texts = cut(spark, texts.groupBy("id", "of").agg(F.max("text").alias("text")).select("id", "text"), "texts")
     pairs = active.where("a <> id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
     ra, rb = (reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}")) for x in "ab")
     maybe = pairs.join(ra, "a").join(rb, "b").mapInArrow(partial(estimate, cfg=cfg), "a long, b long")
-    links = check(spark, cut(spark, maybe, "maybe", "lz4"), docs, cfg)
+    links = check(spark, cut(spark, maybe, "maybe", "lz4"), texts, cfg)
     comps = components(spark, links)
+    active = active.select("key", "id", "n")
     for best in [True] * cfg.best_rounds + [False]:
-        more = cut(spark, open_pairs(spark, active.select("key", "id"), comps, reps, cfg, best), "maybe", "lz4")
-        if more.isEmpty():
-            return comps
-        found = check(spark, more, docs, cfg)
+        here = mixed_buckets(spark, active, comps, cfg)
+        if here.isEmpty():
+            break
+        found = check(spark, cut(spark, likeliest(spark, here, reps, cfg), "maybe", "lz4"), texts, cfg) if best else check_cells(spark, here, reps, texts, cfg)
         if not found.isEmpty():
             links = links.union(found)
             comps = components(spark, links)
     return comps
 
 
-def check(spark: SparkSession, pairs: DataFrame, docs: DataFrame, cfg: NearDup) -> DataFrame:
+def check(spark: SparkSession, pairs: DataFrame, texts: DataFrame, cfg: NearDup) -> DataFrame:
     """The pairs (a, b) that are linked. A pivot's members are dealt into groups, to each of which its text goes once."""
-    size = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    size = cut(spark, pairs.groupBy("a").agg(F.count("*").alias("n")), "sizes", "lz4")
     pairs = pairs.join(size, "a").select("a", "b", (F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / cfg.group))).cast("int").alias("part"))
     every = pairs.union(pairs.select("a", F.col("a").alias("b"), "part").distinct())
-    rows = every.join(docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "part", "b", "text")
+    rows = every.join(texts.select(F.col("id").alias("b"), "text").hint("merge"), "b").select("a", "part", "b", "text")
 
     def verified(group: pa.Table) -> pa.Table:
         return verify(group, cfg)
@@ -331,14 +433,15 @@ def near_duplicates(docs: DataFrame, cfg: NearDup | None = None) -> DataFrame:
     cfg = cfg or NearDup()
     spark = docs.sparkSession
     find_package(spark)
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    sketches = docs.mapInArrow(partial(sketch, cfg=cfg), "doc_id long, n_shingles long, digest binary, regs binary")
-    sketches = sketches.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "digest", "regs")).alias("s")).select("doc_id", "s.*")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("of"), "text").where("doc_id is not null")
+    sketches = docs.mapInArrow(partial(sketch, cfg=cfg), "doc_id long, n_shingles long, digest binary, regs binary, of long")
+    sketches = sketches.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "digest", "regs", "of")).alias("s")).select("doc_id", "s.*")
     sketches = cut(spark, sketches, "sketches")
     sets = sketches.where("n_shingles > 0")
     classes = cut(spark, sets.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     members = sets.select("doc_id", "digest").join(classes, "digest").select("doc_id", "id")
-    reps = cut(spark, sets.join(classes.select(F.col("id").alias("doc_id"), F.col("digest")), ["doc_id", "digest"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "regs"), "reps")
+    reps = sets.join(classes.select(F.col("id").alias("doc_id"), F.col("digest")), ["doc_id", "digest"])
+    reps = cut(spark, reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "regs", "of"), "reps")
     comps = find_links(spark, reps, docs, cfg)
     if comps is not None:
         members = members.join(comps, "id", "left").select("doc_id", F.coalesce("comp", "id").alias("component_id"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -26,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _local.get(app) or _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="proofloom-"))
     return f"{base.rstrip('/')}/proofloom-{app}"
@@ -40,16 +42,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def cut(spark: SparkSession, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df written as a table in the shared folder and read again.
 
-    Its lineage ends there: a lost executor costs no earlier work. Shuffle files that only df needed go once the JVM collects garbage,
-    which is asked for here, since nothing else makes it happen in time.
+    Its lineage ends there: a lost executor costs no earlier work. Shuffle files that only df needed go once the driver's JVM collects
+    garbage, which is asked for here now and then, since nothing else makes it happen in time.
     """
     path = new_folder(spark, name)
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    collect_garbage(spark)
     return out
 
 
+_collected = [0.0]
+
+
+def collect_garbage(spark: SparkSession, every: float = 5.0) -> None:
+    """Let Spark's cleaner see which shuffles nobody needs any more, at most once in so many seconds. Nothing where the driver's JVM is out of reach."""
+    jvm = getattr(getattr(spark, "_sc", None), "_jvm", None)
+    if jvm is not None and time.monotonic() - _collected[0] >= every:
+        jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
 def with_rows(spark: SparkSession, df: DataFrame, out: str = "row") -> DataFrame:
     """df with a number for each row, written so that it stays: doc_ids may be null or repeat, row numbers don't."""
     return cut(spark, df.withColumn(out, F.monotonically_increasing_id()), "rows")

@@ -6,6 +6,7 @@ Hashes are 64 bits: a polynomial over a word's bytes, mixed, and a polynomial ov
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +21,18 @@ _LOWER = _BYTE.copy()
 _LOWER[65:91] += U64(32)
 #: Multipliers of the two polynomials (odd, so that the first has an inverse modulo 2^64).
 _P, _Q = 0x9E3779B97F4A7C15 | 3, 0xD6E8FEB86659FD93
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+#: Bytes that are hashed at a time; the powers beyond follow from those of the first ones.
+_CHUNK = 1 << 16
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, p in enumerate((_P, pow(_P, -1, 1 << 64))):
-            t = np.full(max(n, 1 << 16), p, U64)
-            t[0] = 1
-            _powers[k] = np.multiply.accumulate(t)
-    return _powers[0], _powers[1]
+def _first_powers(p: int) -> np.ndarray:
+    t = np.full(_CHUNK, p, U64)
+    t[0] = 1
+    return np.multiply.accumulate(t)
+
+
+_INVERSE = pow(_P, -1, 1 << 64)
+_UP, _DOWN = _first_powers(_P), _first_powers(_INVERSE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,13 +74,30 @@ def bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A hash for each word; lower: as if A-Z were a-z."""
-    power, inverse = _power_tables(len(data) + 1)
-    x = (_LOWER if lower else _BYTE)[data]
-    x *= power[: len(data)]
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(x, out=sums[1:])
-    return mix((sums[e] - sums[s]) * inverse[s])
+    """A hash for each word; lower: as if A-Z were a-z. Bytes are read in chunks, so memory grows with the words alone."""
+    letters = _LOWER if lower else _BYTE
+    step, back = pow(_P, _CHUNK, 1 << 64), pow(_INVERSE, _CHUNK, 1 << 64)
+    out = np.zeros(len(s), U64)
+    down = np.empty(len(s), U64)
+    sums = np.zeros(_CHUNK + 1, U64)
+    carry, scale, unscale = 0, 1, 1
+    i = j = 0
+    for lo in range(0, len(data), _CHUNK):
+        x = letters[data[lo : lo + _CHUNK]]
+        x *= _UP[: len(x)]
+        x *= U64(scale)
+        x[:1] += U64(carry)
+        np.cumsum(x, out=sums[1 : len(x) + 1])
+        sums[0] = carry
+        i2, j2 = np.searchsorted(s, lo + len(x)), np.searchsorted(e, lo + len(x), side="right")
+        at = s[i:i2] - lo
+        out[i:i2] -= sums[at]
+        down[i:i2] = _DOWN[at] * U64(unscale)
+        out[j:j2] += sums[e[j:j2] - lo]
+        i, j, carry = i2, j2, int(sums[len(x)])
+        scale, unscale = scale * step % (1 << 64), unscale * back % (1 << 64)
+    out *= down
+    return mix(out)
 
 
 def windows(h: np.ndarray, counts: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +115,16 @@ def windows(h: np.ndarray, counts: np.ndarray, k: int, seed: int = 0) -> tuple[n
     return mix(g[at] + U64(seed)), at
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one, what the task's arrays took goes back to the system, since its worker lives on for other tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def row_slices(counts: np.ndarray) -> np.ndarray:
     """Offsets of each row's words."""
     return np.concatenate(([0], np.cumsum(counts)))

@@ -6,14 +6,17 @@ import numpy as np
 
 
 def test_cells_of_near_duplicates_are_bounded_and_hold_every_pair_once(spark):
-    from proofloom.llm.near_dup import deal
+    from proofloom.llm.near_dup import NearDup, deal
 
     block, members = 8, [(1, i, 0 if i < 30 else i) for i in range(120)] + [(2, i, i) for i in range(90)] + [(3, i, i // 2) for i in range(6)]
     sizes = Counter((k, c) for k, _, c in members)
     main = {k: max((n, c) for (b, c), n in sizes.items() if b == k) for k in (1, 2, 3)}
-    rows = [(k, i, c, main[k][1], sum(x == k for x, *_ in members), main[k][0]) for k, i, c in members]
-    reps = spark.range(120).selectExpr("id", "1L as n", "cast('' as binary) as regs")
-    dealt, groups = deal(spark.createDataFrame(rows, "key long, id long, comp long, main long, total long, most long"), reps, block)
+    up = lambda n: -(-n // block)
+    total = Counter(k for k, *_ in members)
+    rows = [(k, i, 1, c, main[k][1], up(main[k][0]), up(total[k] - main[k][0])) for k, i, c in members]
+    reps = spark.range(120).selectExpr("id", "cast('' as binary) as regs")
+    here = spark.createDataFrame(rows, "key long, id long, n long, comp long, main long, mains long, minors long")
+    dealt, groups = deal(here, reps, NearDup(block=block))
     dealt, cells = dealt.collect(), {}
     for r in dealt:
         cells.setdefault((r.key, r.part), []).append(r)
