@@ -104,10 +104,6 @@ def registers(g: np.ndarray, off: np.ndarray, cfg: NearDup) -> np.ndarray:
 
 def sketch(batches: Iterator[pa.RecordBatch], cfg: NearDup) -> Iterator[pa.RecordBatch]:
     """(doc_id, of, text) to (doc_id, n_shingles, digest of the set, registers, of); digest and registers are null for an empty set."""
-    yield from words.tidy(_sketched(batches, cfg))
-
-
-def _sketched(batches: Iterator[pa.RecordBatch], cfg: NearDup) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, g, off in shingle_sets(batch.column("text"), cfg.shingle):
             n = np.diff(off)
@@ -434,7 +430,7 @@ def near_duplicates(docs: DataFrame, cfg: NearDup | None = None) -> DataFrame:
     spark = docs.sparkSession
     find_package(spark)
     docs = docs.select("doc_id", F.xxhash64("text").alias("of"), "text").where("doc_id is not null")
-    sketches = docs.mapInArrow(partial(sketch, cfg=cfg), "doc_id long, n_shingles long, digest binary, regs binary, of long")
+    sketches = docs.mapInArrow(words.tidied(sketch, cfg=cfg), "doc_id long, n_shingles long, digest binary, regs binary, of long")
     sketches = sketches.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "digest", "regs", "of")).alias("s")).select("doc_id", "s.*")
     sketches = cut(spark, sketches, "sketches")
     sets = sketches.where("n_shingles > 0")

@@ -3,27 +3,28 @@
 A window of 13 words that also starts in a document of smaller doc_id is a repeat. Every such window of the earlier document holds one
 of its non-overlapping blocks of 7 words whole (7 + 7 - 1 = 13). So the blocks of all documents are the index, and every rolling 7-word
 window of all documents probes it (``anchors``, ``match_anchors``). Hits are then extended: the 13-word windows around them are held
-against each other exactly, by 64-bit hashes in buckets that add more bits, and neighbours merge into maximal runs (``extend``,
-``match_windows``).
+against each other by two independent 64-bit hashes, and neighbours merge into maximal runs (``extend``, ``match_windows``).
 
-Hashes travel packed, a row for each bucket and batch of documents, and buckets grow in number with the corpus. A batch first settles what it
-can within itself and sends on the least document of each hash, its greatest, and what is still open: a passage that very many
-documents share costs a bucket a few entries a batch.
+Hashes travel packed, a row for each bucket and batch of documents; buckets grow in number with the corpus, and beyond a few thousand of them
+entries take two hops, so that rows hold many entries at every size. What is found goes back packed by buckets of documents, in which each
+document's part becomes one row. A batch first settles what it can within itself and sends on the least document of each hash, its
+greatest, and what is still open: a passage that very many documents share costs a bucket a few entries a batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from proofloom.llm import words
+from proofloom.llm.words import tidied
 from proofloom.llm.shared import cut, find_package
 
 U64 = np.uint64
@@ -35,8 +36,10 @@ class Repeats:
     #: Words of a window. Its anchor blocks have half as many, rounded up.
     window: int = 13
     #: Bytes of text that a batch takes at a time, and for which there is a bucket.
-    batch_bytes: int = 4 << 20
-    bucket_bytes: int = 20 << 20
+    batch_bytes: int = 2 << 20
+    bucket_bytes: int = 8 << 20
+    #: Buckets that one hop sends to; with more of them, entries take two hops and stay packed.
+    fan: int = 4096
 
     @property
     def block(self) -> int:
@@ -87,14 +90,62 @@ def _read(batch: pa.RecordBatch, cfg: Repeats) -> Iterator[tuple[int, np.ndarray
         yield i, doc_ids[i:j], h[np.repeat(used, counts)], np.where(used, counts, 0)
 
 
-_SENT = "bucket int, kind int, ids binary, counts binary, hashes binary, extra binary"
 _PROBE, _HIT = 0, 1
+#: Packed entries of a bucket: probes (a: hashes; b: block flags or positions), or hits and runs on their way to their documents (a: values).
+_SENT = "bucket long, kind int, ids binary, counts binary, a binary, b binary"
+_SENT_TYPES = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((k, pa.binary()) for k in ("ids", "counts", "a", "b"))])
 
 
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "kind", "ids", "counts", "hashes", "extra"])
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_SENT_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SENT_TYPES, strict=True)], schema=_SENT_TYPES)
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """How many there are, and how many neighbours travel together on the first of two hops (1: there is one hop)."""
+
+    n: int
+    together: int = 1
+
+    def of_hash(self, g: np.ndarray) -> np.ndarray:
+        return ((g >> U64(32)) % U64(self.n)).astype(np.int64)
+
+    def of_doc(self, ids: np.ndarray) -> np.ndarray:
+        """Some neighbouring ids share a bucket, since batches mostly hold neighbours."""
+        return self.of_hash(words.mix((ids >> 8).astype(U64)))
+
+
+def _probes(bucket: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple]:
+    return [(k, _PROBE, d, c, v["a"], v["b"]) for k, d, c, v in _packed(bucket, ids, a=a, b=b)]
+
+
+def _to_docs(ids: np.ndarray, values: np.ndarray, to: Buckets) -> list[tuple]:
+    """Values for documents, packed by the documents' buckets; ids ascend."""
+    return [(k, _HIT, d, c, v["a"], b"") for k, d, c, v in _packed(to.of_doc(ids) // to.together, ids, a=values)]
+
+
+def refine(batches: Iterator[pa.RecordBatch], to: Buckets, width: int) -> Iterator[pa.RecordBatch]:
+    """The second hop: entries packed by several buckets together to entries packed by each. Values of hits take width bytes."""
+    for batch in batches:
+        rows = []
+        for kind in (_PROBE, _HIT):
+            own = batch.filter(pc.equal(batch.column("kind"), kind))
+            if not len(own):
+                continue
+            ids = _ids(own.column("ids"), own.column("counts"))
+            if kind == _HIT:
+                values = _values(own.column("a"), np.dtype((np.void, width)))
+                order = np.argsort(ids, kind="stable")
+                rows += [(k, _HIT, d, c, v["a"], b"") for k, d, c, v in _packed(to.of_doc(ids[order]), ids[order], a=values[order])]
+            else:
+                a = _values(own.column("a"), U64)
+                a = a.reshape(len(ids), -1)
+                b = _values(own.column("b"), np.uint32 if a.shape[1] > 1 else bool)
+                low = a if a.shape[1] > 1 else a[:, 0].astype(np.uint32)
+                order = np.argsort(ids, kind="stable")
+                rows += _probes(to.of_hash(a[order, -1]), ids[order], low[order], b[order])
+        yield _sent(rows)
 
 
 def _settle(key: np.ndarray, ids: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +168,8 @@ def _settle(key: np.ndarray, ids: np.ndarray, block: np.ndarray) -> tuple[np.nda
     return hits, sends
 
 
-def anchors(batches: Iterator[pa.RecordBatch], cfg: Repeats, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to packed probes by bucket (hashes: 32 bits of each; extra: whether it is a reference block) and settled hits."""
+def anchors(batches: Iterator[pa.RecordBatch], cfg: Repeats, to: Buckets) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to packed probes (a: 32 bits of each hash, or all 64 on the first of two hops; b: whether it is a reference block) and settled hits."""
     for batch in batches:
         for _, doc_ids, h, counts in _read(batch, cfg):
             g, at = words.windows(h, counts, cfg.block)
@@ -128,39 +179,36 @@ def anchors(batches: Iterator[pa.RecordBatch], cfg: Repeats, buckets: int) -> It
             row = np.searchsorted(starts, at, side="right") - 1
             ids, block = doc_ids[row], (at - starts[row]) % cfg.block == 0
             hits, on = _settle(g, ids, block)
-            bucket = ((g >> U64(32)) % U64(buckets)).astype(np.int32)
-            low = g.astype(np.uint32)
-            rows = [(b, _PROBE, d, c, v["low"], v["block"]) for b, d, c, v in _packed(bucket[on], ids[on], low=low[on], block=block[on])]
-            rows += [(int(ids[0] % buckets), _HIT, d, c, v["low"], b"") for _, d, c, v in _packed(np.zeros(int(hits.sum()), np.int32), ids[hits], low=low[hits])]
-            yield _sent(rows)
+            sent = g[on] if to.together > 1 else g[on].astype(np.uint32)
+            rows = _probes(to.of_hash(g[on]) // to.together, ids[on], sent, block[on])
+            order = np.argsort(ids[hits], kind="stable")
+            yield _sent(rows + _to_docs(ids[hits][order], g[hits][order].astype(np.uint32), to))
 
 
-def _with_settled(table: pa.Table, rows: list[tuple]) -> pa.Table:
-    """Found rows (ids, counts, hashes), and those of the table that were settled before."""
-    found = pa.table({k: pa.array([r[i] for r in rows], pa.binary()) for i, k in enumerate(("ids", "counts", "hashes"))})
-    return pa.concat_tables([found, table.filter(pc.equal(table.column("kind"), _HIT)).select(["ids", "counts", "hashes"])])
+def _passed(whole: pa.Table, rows: list[tuple]) -> pa.Table:
+    """Rows found in a bucket, and those on their way to documents that came along."""
+    return pa.concat_tables([pa.Table.from_batches([_sent(rows)]), whole.filter(pc.equal(whole.column("kind"), _HIT)).select(_SENT_TYPES.names).cast(_SENT_TYPES)])
 
 
-def match_anchors(whole: pa.Table) -> pa.Table:
-    """A bucket's probes to the hits among them: (ids, counts, hashes). Settled hits pass."""
+def match_anchors(whole: pa.Table, to: Buckets) -> pa.Table:
+    """A bucket's probes to the hits among them, packed by document buckets. Settled hits pass."""
     table = whole.filter(pc.equal(whole.column("kind"), _PROBE))
     ids = _ids(table.column("ids"), table.column("counts"))
-    low, block = _values(table.column("hashes"), np.uint32), _values(table.column("extra"), bool)
+    low, block = _values(table.column("a"), np.uint32), _values(table.column("b"), bool)
     hits, _ = _settle(low, ids, block)
     own, low = ids[hits], low[hits]
     order = np.argsort(own, kind="stable")
-    return _with_settled(whole, [(d, c, v["low"]) for _, d, c, v in _packed(np.zeros(len(own), np.int32), own[order], low=low[order])])
+    return _passed(whole, _to_docs(own[order], low[order], to))
 
 
-def by_document(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Packed (ids, counts, hashes) to rows (doc_id, values), values of width bytes each."""
-    for batch in batches:
-        out_ids, out_values = [], []
-        for d, c, v in zip(*(batch.column(k).to_pylist() for k in ("ids", "counts", "hashes")), strict=True):
-            ends = np.cumsum(np.frombuffer(c, np.uint32).astype(np.int64)) * width
-            out_ids.append(np.cumsum(np.frombuffer(d, np.int64)))
-            out_values += [v[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids) if out_ids else np.zeros(0, np.int64)), pa.array(out_values, pa.binary())], ["doc_id", "values"])
+def by_document(table: pa.Table, width: int) -> pa.Table:
+    """A document bucket's packed values, of width bytes each, to a row (doc_id, values) for each document."""
+    ids = _ids(table.column("ids"), table.column("counts"))
+    order = np.argsort(ids, kind="stable")
+    values = _values(table.column("a"), np.dtype((np.void, width)))[order]
+    starts = _runs(ids[order])
+    ends = _ends(starts, len(ids))
+    return pa.table({"doc_id": pa.array(ids[order][starts], pa.int64()), "values": pa.array([values[i:j].tobytes() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
 
 def _merged(ids: np.ndarray, pos: np.ndarray, cfg: Repeats) -> tuple[np.ndarray, np.ndarray]:
@@ -173,13 +221,19 @@ def _merged(ids: np.ndarray, pos: np.ndarray, cfg: Repeats) -> tuple[np.ndarray,
     return ids[starts], np.stack((pos[starts], pos[ends] + cfg.window), axis=1).astype(np.uint32).reshape(-1, 2)
 
 
-def _run_rows(ids: np.ndarray, pos: np.ndarray, cfg: Repeats) -> list[tuple]:
-    own, runs = _merged(ids, pos, cfg)
-    return [(d, c, v["run"]) for _, d, c, v in _packed(np.zeros(len(own), np.int32), own, run=runs)]
+def _run_rows(ids: np.ndarray, pos: np.ndarray, cfg: Repeats, to: Buckets) -> list[tuple]:
+    return _to_docs(*_merged(ids, pos, cfg), to)
 
 
-def extend(batches: Iterator[pa.RecordBatch], cfg: Repeats, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, hits) to packed windows around the hits (hashes: 64 bits; extra: positions) and settled runs."""
+def _same_windows(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of windows, of two hashes each, and where runs of equal ones begin in it."""
+    order = np.lexsort((w[:, 1], w[:, 0]))
+    v = w[order]
+    return order, np.flatnonzero(np.append(True, (v[1:] != v[:-1]).any(1))) if len(v) else np.zeros(0, np.int64)
+
+
+def extend(batches: Iterator[pa.RecordBatch], cfg: Repeats, to: Buckets) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, hits) to packed windows around the hits (a: two hashes of 64 bits; b: positions) and settled runs."""
     for batch in batches:
         hit_lists = batch.column("hits").to_pylist()
         for i, doc_ids, h, counts in _read(batch, cfg):
@@ -188,7 +242,7 @@ def extend(batches: Iterator[pa.RecordBatch], cfg: Repeats, buckets: int) -> Ite
                 continue
             starts = words.row_slices(counts)
             row = np.searchsorted(starts, at, side="right") - 1
-            lows = [np.frombuffer(b"".join(x or []), np.uint32) for x in hit_lists[i : i + len(counts)]]
+            lows = [np.frombuffer(x, np.uint32) for x in hit_lists[i : i + len(counts)]]
             wanted = np.unique(np.repeat(np.arange(len(lows), dtype=U64), [len(x) for x in lows]) << U64(32) | np.concatenate(lows).astype(U64))
             if not len(wanted):
                 continue
@@ -196,35 +250,32 @@ def extend(batches: Iterator[pa.RecordBatch], cfg: Repeats, buckets: int) -> Ite
             hit = np.zeros(len(h) + 1, np.int64)
             hit[at + 1] = wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
             sums = np.cumsum(hit)  # hits before each word
-            w, first = words.windows(h, counts, cfg.window, seed=1)
+            first_hash, first = words.windows(h, counts, cfg.window, seed=1)
             near = sums[first + cfg.window - cfg.block + 1] > sums[first]
-            w, first = w[near], first[near]
+            w = np.stack((first_hash[near], words.windows(h, counts, cfg.window, seed=2)[0][near]), axis=1)
+            first = first[near]
             if not len(w):
                 continue
             row = np.searchsorted(starts, first, side="right") - 1
             ids, pos = doc_ids[row], first - starts[row]
-            order = np.argsort(w, kind="stable")
-            groups = _runs(w[order])
+            order, groups = _same_windows(w)
             least = np.empty(len(w), np.int64)
             least[order] = np.repeat(np.minimum.reduceat(ids[order], groups), _lengths(groups, len(w)))
             later, on = ids > least, ids == least
-            bucket = (words.mix(w + U64(1)) >> U64(32)) % U64(buckets)
-            rows = [(b, _PROBE, d, c, v["w"], v["pos"]) for b, d, c, v in _packed(bucket[on].astype(np.int32), ids[on], w=w[on], pos=pos[on].astype(np.uint32))]
-            rows += [(int(ids[0] % buckets), _HIT, d, c, v, b"") for d, c, v in _run_rows(ids[later], pos[later], cfg)]
-            yield _sent(rows)
+            rows = _probes(to.of_hash(w[on, 1]) // to.together, ids[on], w[on], pos[on].astype(np.uint32))
+            yield _sent(rows + _run_rows(ids[later], pos[later], cfg, to))
 
 
-def match_windows(whole: pa.Table, cfg: Repeats) -> pa.Table:
+def match_windows(whole: pa.Table, cfg: Repeats, to: Buckets) -> pa.Table:
     """A bucket's windows to the runs of those that an earlier document holds. Settled runs pass."""
     table = whole.filter(pc.equal(whole.column("kind"), _PROBE))
     ids = _ids(table.column("ids"), table.column("counts"))
-    w, pos = _values(table.column("hashes"), np.uint64), _values(table.column("extra"), np.uint32).astype(np.int64)
+    w, pos = _values(table.column("a"), U64).reshape(-1, 2), _values(table.column("b"), np.uint32).astype(np.int64)
     if not len(w):
-        return _with_settled(whole, [])
-    order = np.argsort(w, kind="stable")
-    groups = _runs(w[order])
+        return _passed(whole, [])
+    order, groups = _same_windows(w)
     later = ids[order] > np.repeat(np.minimum.reduceat(ids[order], groups), _lengths(groups, len(w)))
-    return _with_settled(whole, _run_rows(ids[order][later], pos[order][later], cfg))
+    return _passed(whole, _run_rows(ids[order][later], pos[order][later], cfg, to))
 
 
 def keep_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +287,7 @@ def keep_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_words.append(len(own))
             if runs:
                 keep = np.ones(len(own), bool)
-                for a, b in np.frombuffer(b"".join(runs), np.uint32).reshape(-1, 2).tolist():
+                for a, b in np.frombuffer(runs, np.uint32).reshape(-1, 2).tolist():
                     keep[a:b] = False
                 own = [own[i] for i in np.flatnonzero(keep).tolist()]
             n_removed.append(n_words[-1] - len(own))
@@ -253,22 +304,30 @@ def repeated_runs(docs: DataFrame, cfg: Repeats) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(1, -(-size // cfg.bucket_bytes))
+    n = max(1, -(-size // cfg.bucket_bytes))
+    to = Buckets(n, -(-n // cfg.fan))
 
     def anchors_matched(group: pa.Table) -> pa.Table:
-        return match_anchors(group)
+        return match_anchors(group, to)
 
     def windows_matched(group: pa.Table) -> pa.Table:
-        return match_windows(group, cfg)
+        return match_windows(group, cfg, to)
+
+    def hop(sent: DataFrame, width: int) -> DataFrame:
+        if to.together == 1:
+            return sent
+        return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(refine, to=to, width=width), _SENT)
+
+    def to_documents(sent: DataFrame, width: int) -> DataFrame:
+        def gathered(group: pa.Table) -> pa.Table:
+            return by_document(group, width)
+
+        return cut(spark, hop(sent, width).groupBy("bucket").applyInArrow(gathered, "doc_id long, values binary"), "runs", "lz4")
 
-    packed = "ids binary, counts binary, hashes binary"
-    sent = docs.mapInArrow(partial(anchors, cfg=cfg, buckets=buckets), _SENT)
-    hits = sent.groupBy("bucket").applyInArrow(anchors_matched, packed)
-    hits = cut(spark, hits.mapInArrow(partial(by_document, width=4), "doc_id long, values binary"), "hits", "lz4")
-    hits = hits.groupBy("doc_id").agg(F.collect_list("values").alias("hits"))
-    sent = docs.join(hits, "doc_id").mapInArrow(partial(extend, cfg=cfg, buckets=buckets), _SENT)
-    runs = sent.groupBy("bucket").applyInArrow(windows_matched, packed)
-    return cut(spark, runs.mapInArrow(partial(by_document, width=8), "doc_id long, values binary"), "runs", "lz4")
+    sent = hop(docs.mapInArrow(tidied(anchors, cfg=cfg, to=to), _SENT), 4)
+    hits = to_documents(sent.groupBy("bucket").applyInArrow(anchors_matched, _SENT), 4)
+    sent = docs.join(hits.withColumnRenamed("values", "hits").hint("merge"), "doc_id").mapInArrow(tidied(extend, cfg=cfg, to=to), _SENT)
+    return to_documents(hop(sent, 8).groupBy("bucket").applyInArrow(windows_matched, _SENT), 8)
 
 
 def remove_repeats(docs: DataFrame, cfg: Repeats | None = None) -> DataFrame:
@@ -280,9 +339,9 @@ def remove_repeats(docs: DataFrame, cfg: Repeats | None = None) -> DataFrame:
     """
     cfg = cfg or Repeats()
     find_package(docs.sparkSession)
-    runs = repeated_runs(docs, cfg).groupBy("doc_id").agg(F.collect_list("values").alias("runs"))
+    runs = repeated_runs(docs, cfg).withColumnRenamed("values", "runs").hint("merge")
     rest = docs.drop("n_words", "n_removed", "kept_text", "runs")
     schema = [f for f in rest.schema if f.name not in ("text", "doc_id")]
     rows = rest.select("doc_id", *[f.name for f in schema], "text").join(runs, "doc_id", "left")
-    out = ", ".join(["doc_id long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in schema], "n_words long, n_removed long, kept_text string"])
-    return rows.mapInArrow(keep_rest, out)
+    new = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())]
+    return rows.mapInArrow(tidied(keep_rest), StructType([docs.schema["doc_id"], *schema, *new]))

@@ -7,7 +7,7 @@ Hashes are 64 bits: a polynomial over a word's bytes, mixed, and a polynomial ov
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,14 +115,18 @@ def windows(h: np.ndarray, counts: np.ndarray, k: int, seed: int = 0) -> tuple[n
     return mix(g[at] + U64(seed)), at
 
 
-def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; after the last one, what the task's arrays took goes back to the system, since its worker lives on for other tasks."""
-    yield from batches
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
+def tidied(f: Callable[..., Iterator[pa.RecordBatch]], **given) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for ``mapInArrow``, given its further arguments. After the last batch, what its arrays took goes back to the system: workers live on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches, **given)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
 
 
 def row_slices(counts: np.ndarray) -> np.ndarray:

@@ -220,12 +220,12 @@ def without_repeats(rows, k=13):
     return out
 
 
-@pytest.mark.parametrize("batch,bucket", [(4 << 20, 20 << 20), (600, 2000)])
-def test_remove_repeats(docs, rows, empty, batch, bucket):
+@pytest.mark.parametrize("batch,bucket,fan", [(4 << 20, 20 << 20, 4096), (600, 2000, 4096), (600, 2000, 4)])
+def test_remove_repeats(docs, rows, empty, batch, bucket, fan):
     from proofloom.llm.repeats import Repeats, remove_repeats
 
-    cfg = Repeats(batch_bytes=batch, bucket_bytes=bucket)
-    clashing = docs.withColumn("n_words", F.lit("x")).withColumn("extra", F.lit(1))
+    cfg = Repeats(batch_bytes=batch, bucket_bytes=bucket, fan=fan)
+    clashing = docs.withColumn("n_words", F.lit("x")).withColumn("extra", F.struct(F.lit(1).alias("my-f")))
     found = remove_repeats(clashing, cfg)
     assert "extra" in found.columns and found.columns.count("n_words") == 1
     assert as_dict(found, "n_words", "n_removed", "kept_text") == without_repeats(rows)
