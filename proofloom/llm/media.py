@@ -1,8 +1,8 @@
 """Media columns: payloads in tar shards by content, their places in rows, and columns filled by range reads of the stored form.
 
-A payload is stored as a PNG of 8-bit grey samples, a row of pixels for each 192 bytes. Each task writes one shard and puts equal
-payloads into it once; of the places of a payload in several shards all rows take the first. Width and height come from range
-reads of the PNG's first 33 bytes, the other features from the samples that are read back.
+A payload is stored as a PNG of 8-bit grey samples, a row of pixels for each 192 bytes. Its digest says which it is: tasks compress a
+payload once each, equal ones meet by digest in compressed form, and one of them is written to one shard. Width and height come from
+range reads of the PNG's first 33 bytes, the other features from the samples that are read back.
 """
 
 from __future__ import annotations
@@ -15,15 +15,15 @@ import tarfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofloom.llm.shared import cut, file_system, find_package, new_folder
+from proofloom.llm.words import tidied
 
 _PNG = b"\x89PNG\r\n\x1a\n"
 
@@ -33,7 +33,7 @@ class Media:
     #: Bytes of a row of pixels, and what fills up the last one.
     width: int = 192
     fill: bytes = b" "
-    level: int = 1
+    level: int = 6
 
 
 def padded(data: bytes, cfg: Media) -> bytes:
@@ -75,40 +75,50 @@ def from_png(stored: bytes) -> np.ndarray:
     return rows[:, 1:]
 
 
-def write_shards(batches: Iterator[pa.RecordBatch], folder: str, cfg: Media) -> Iterator[pa.RecordBatch]:
-    """A partition's (doc_id, text) to one tar shard, and (doc_id, n_bytes, digest, shard, offset, length).
+def compress(batches: Iterator[pa.RecordBatch], cfg: Media) -> Iterator[pa.RecordBatch]:
+    """(text) to (digest, stored): each payload of a partition once. A null text is empty."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for i in range(0, len(texts), 1000):
+            rows = []
+            for text in texts[i : i + 1000]:
+                payload = padded((text or "").encode(), cfg)
+                digest = hashlib.sha256(payload).digest()
+                if digest not in seen:
+                    seen.add(digest)
+                    rows.append((digest, to_png(payload, cfg)))
+            digests, stored = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(stored, pa.binary())], ["digest", "stored"])
+
+
+def write_shards(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """A partition's (digest, stored), sorted, to one tar shard with each digest once, and (digest, shard, offset, length).
 
-    The shard takes its name when it is whole, so tasks may run twice. A null text is empty.
+    The shard takes its name when it is whole, so tasks may run twice.
     """
     task = TaskContext.get()
     shard = f"{folder}/shard-{task.partitionId():08d}.tar"
     fs, path = file_system(shard)
     fs.create_dir(os.path.dirname(path), recursive=True)
     own = f"{path}.{task.taskAttemptId()}"
-    places: dict[bytes, tuple[int, int]] = {}
-    at = 0
+    at, last = 0, None
     with fs.open_output_stream(own) as out:
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
-                data = (text or "").encode()
-                payload = padded(data, cfg)
-                digest = hashlib.sha256(payload).digest()
-                if digest not in places:
-                    stored = to_png(payload, cfg)
-                    info = tarfile.TarInfo(f"{digest.hex()}.png")
-                    info.size = len(stored)
-                    entry = info.tobuf()
-                    places[digest] = at + len(entry), len(stored)
-                    for part in (entry, stored, bytes(-len(stored) % 512)):
-                        out.write(part)
-                        at += len(part)
-                rows.append((len(data), digest, *places[digest]))
-            n, digests, offsets, lengths = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array([shard] * len(n), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
-                ["doc_id", "n_bytes", "digest", "shard", "offset", "length"],
-            )
+            for digest, stored in zip(batch.column("digest").to_pylist(), batch.column("stored").to_pylist(), strict=True):
+                if digest == last:
+                    continue
+                last = digest
+                info = tarfile.TarInfo(f"{digest.hex()}.png")
+                info.size = len(stored)
+                entry = info.tobuf()
+                rows.append((digest, at + len(entry), len(stored)))
+                for part in (entry, stored, bytes(-len(stored) % 512)):
+                    out.write(part)
+                    at += len(part)
+            digests, offsets, lengths = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([shard] * len(rows), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], ["digest", "shard", "offset", "length"])
         out.write(bytes(1024))
     fs.move(own, path)
 
@@ -129,6 +139,7 @@ def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     name, source = None, None
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
     kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
+    place = ["shard", "offset", "length"]
     for batch in batches:
         rows = []
         for digest, shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True):
@@ -141,7 +152,7 @@ def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             payload = samples.tobytes()
             rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), _feature(samples), width, height))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *(batch.column(c) for c in place)], [*names, *place])
 
 
 def read_file(uri: str) -> dict[str, bytes]:
@@ -151,21 +162,30 @@ def read_file(uri: str) -> dict[str, bytes]:
         return {m.name: tar.extractfile(m).read() for m in tar.getmembers()}
 
 
+def payload_columns(text: Column, cfg: Media) -> tuple[Column, Column]:
+    """n_bytes and digest of a text's payload, as ``padded`` makes it."""
+    data = F.coalesce(text, F.lit("")).cast("binary")
+    n = F.octet_length(data)
+    whole = F.greatest(F.ceil(n / cfg.width), F.lit(1)) * cfg.width
+    return n.cast("long"), F.unhex(F.sha2(F.rpad(data, whole.cast("int"), F.lit(cfg.fill)), 256))
+
+
 def media_columns(docs: DataFrame, cfg: Media | None = None, folder: str | None = None) -> DataFrame:
     """Store the texts of docs (doc_id, text); per row its place (shard, offset, length) and what the stored bytes say.
 
-    Null and empty texts are one row of blanks. Rows are stored and returned each, repeated ones and null doc_ids too; equal texts
-    have equal values, but for doc_id. Other columns are ignored.
+    Null and empty texts are one row of blanks. Every row is returned, repeated ones and those with null doc_ids too; equal texts
+    have one payload and equal values, but for doc_id. Other columns are ignored. Empty in, empty out.
+
+    A payload crosses the network once for each task that has it, compressed; one task reads all these copies one by one and keeps one.
     """
     cfg = cfg or Media()
     spark = docs.sparkSession
     find_package(spark)
     folder = folder or new_folder(spark, "media")
-    schema = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
-    rows = cut(spark, docs.select("doc_id", "text").mapInArrow(partial(write_shards, folder=folder, cfg=cfg), schema), "places")
-    places = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
-    shards = max(1, rows.select("shard").distinct().count())
-    by_shard = places.repartitionByRange(shards, "shard", "offset").sortWithinPartitions("shard", "offset")
-    read = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
-    found = cut(spark, by_shard.mapInArrow(read_shards, read).join(places, "digest"), "media")
-    return rows.select("doc_id", "n_bytes", "digest").join(found, "digest").drop("digest")
+    payloads = docs.select("text").mapInArrow(tidied(compress, cfg=cfg), "digest binary, stored binary").repartition("digest").sortWithinPartitions("digest")
+    places = cut(spark, payloads.mapInArrow(tidied(write_shards, folder=folder), "digest binary, shard string, offset long, length long"), "places")
+    by_shard = places.repartition("shard").sortWithinPartitions("shard", "offset")
+    read = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, shard string, offset long, length long"
+    found = by_shard.mapInArrow(tidied(read_shards), read)
+    n, digest = payload_columns(F.col("text"), cfg)
+    return docs.select("doc_id", n.alias("n_bytes"), digest.alias("digest")).join(found.hint("merge"), "digest").drop("digest")
