@@ -1,17 +1,19 @@
 """Token ids of whole texts with a public tokenizer: files of equal-length sequences, and counts by section.
 
-The vocabulary splits texts into short words first and merges bytes within words only. So a batch is split here, its distinct words
-go to the tokenizers library, and the ids are dealt back: the same ids as for whole texts, several times sooner. (``tests`` hold both
-against each other.) Vocabulary files stay where they are; their path is a parameter.
+A byte-level vocabulary with GPT-2's pattern splits texts into short words first and merges bytes within words only. So a batch is split
+here, its distinct words go to the tokenizers library, and the ids are dealt back: the same ids as for whole texts, several times sooner.
+(``tests`` hold both against each other.) A vocabulary file that says anything else of its normalizer, pre-tokenizer or added tokens gets
+the whole texts. Vocabulary files stay where they are; their path is a parameter.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cache, partial
+from dataclasses import dataclass, replace
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -20,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 from pyspark.sql.window import Window
 
 from proofloom.llm import words
@@ -98,18 +101,29 @@ def word_starts(data: np.ndarray, off: np.ndarray, special: tuple[bytes, ...] =
     return at[begins]
 
 
+def splits_by_word(said: dict) -> bool:
+    """Whether a vocabulary file describes byte-level words of GPT-2's pattern, merged each by itself, as ``word_starts`` finds them."""
+    pre, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    own = model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    added = said.get("added_tokens") or []
+    marks = not any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")) and not any(t.get("normalized") and said.get("normalizer") for t in added)
+    return bool(plain and own and marks and not said.get("normalizer") and not said.get("truncation") and not said.get("padding"))
+
+
 class Encoder:
     """Ids of texts by a byte-level vocabulary file of the tokenizers library, without special tokens added."""
 
     #: Words remembered from batch to batch, and bytes of a batch.
-    remembered = 1_200_000
-    batch_bytes = 8 << 20
+    remembered = 400_000
+    batch_bytes = 2 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = splits_by_word(json.loads(self.tokenizer.to_str()))
         self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -142,6 +156,8 @@ class Encoder:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of rows of UTF-8: the ids, the byte where each begins, and the number of ids of each row."""
+        if not self.by_word:
+            return self._encode_whole(data, off)
         starts = word_starts(data, off, self.special)
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off) - 1, np.int64)
@@ -159,6 +175,16 @@ class Encoder:
         return ids, at, np.diff(np.append(0, total)[rows])
 
 
+    def _encode_whole(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        texts = [data[a:b].tobytes().decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        n = np.array([len(e.ids) for e in found], np.int64)
+        ids = np.array([i for e in found for i in e.ids], np.int64)
+        chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        first = np.array([a for e in found for a, _ in e.offsets], np.int64) + np.repeat(np.searchsorted(chars, off[:-1]), n)
+        return ids, chars[first], n
+
+
 _encoder = cache(Encoder)
 
 
@@ -172,8 +198,9 @@ class TokenFiles:
     end_id: int = 0
     length: int = 2048
     batch: int = 256
-    #: Bytes of text of a file.
+    #: Bytes of text of a file, unless that makes more files than so many.
     file_bytes: int = 16 << 20
+    most_files: int = 50_000
 
 
 class _SequenceWriter:
@@ -271,14 +298,14 @@ def token_files(docs: DataFrame, cfg: TokenFiles | None = None, folder: str | No
     doc_id stand in the order of their texts. Other columns are ignored.
     """
     cfg = cfg or TokenFiles()
-    cfg = cfg if cfg.vocabulary else TokenFiles(default_vocabulary(), cfg.end_id, cfg.length, cfg.batch, cfg.file_bytes)
+    cfg = cfg if cfg.vocabulary else replace(cfg, vocabulary=default_vocabulary())
     spark = docs.sparkSession
     find_package(spark)
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ordered = docs.repartitionByRange(max(1, -(-size // cfg.file_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.repartitionByRange(min(cfg.most_files, max(1, -(-size // cfg.file_bytes))), "doc_id").sortWithinPartitions("doc_id", "text")
     folder = folder or new_folder(spark, "tokens")
-    files = cut(spark, ordered.mapInArrow(partial(write_tokens, folder=folder, cfg=cfg), "part long, uri string, docs long, tokens long"), "files")
+    files = cut(spark, ordered.mapInArrow(words.tidied(write_tokens, folder=folder, cfg=cfg), "part long, uri string, docs long, tokens long"), "files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return files.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
@@ -286,7 +313,7 @@ def token_files(docs: DataFrame, cfg: TokenFiles | None = None, folder: str | No
 def read_documents(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of all documents in the files; start counts the ids of all documents before."""
     files = files.select("uri", "base")
-    return files.repartition(max(1, files.count())).mapInArrow(read_tokens, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartition(max(1, files.count())).mapInArrow(words.tidied(read_tokens), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 # ---- counts by section
@@ -311,6 +338,20 @@ def allocate(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> tu
     return out, crosses
 
 
+def _sections(column: pa.Array, chars: np.ndarray) -> tuple[np.ndarray, list, np.ndarray, np.ndarray]:
+    """(row, name, first, end) of the sections that count, in order, clipped to the texts' characters and to where the one before ends."""
+    rows = []
+    for r, own in enumerate(column.to_pylist()):
+        spans = [(x["first"], x["end"], k, x["section"]) for k, x in enumerate(own or []) if x and x["first"] is not None and x["end"] is not None]
+        done = 0
+        for first, end, _, name in sorted(spans, key=lambda x: x[:3]):
+            end = max(done, min(end, int(chars[r])))
+            rows.append((r, name, min(max(first, done), end), end))
+            done = end
+    row, name, lo, hi = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
+    return np.array(row, np.int64), name, np.array(lo, np.int64), np.array(hi, np.int64)
+
+
 def count_sections(batches: Iterator[pa.RecordBatch], cfg: SectionCounts, given: bool) -> Iterator[pa.RecordBatch]:
     """(doc_id, text[, sections]) to (doc_id, section, first_char, end_char, n_tokens, n_crossing)."""
     encoder = _encoder(cfg.vocabulary)
@@ -322,19 +363,19 @@ def count_sections(batches: Iterator[pa.RecordBatch], cfg: SectionCounts, given:
             chars = np.flatnonzero((data & 0xC0) != 0x80)
             base = np.searchsorted(chars, off)  # character where each row begins
             if given:
-                rows = [(r, x["section"], x["first"], x["end"]) for r, own in enumerate(batch.column("sections").slice(i, j - i).to_pylist()) for x in own or []]
-                row, name, lo, hi = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
-                row = np.array(row, np.int64)
+                row, name, lo, hi = _sections(batch.column("sections").slice(i, j - i), np.diff(base))
                 to = np.append(chars, len(data))
-                sa, sb = (to[np.minimum(np.array(x, np.int64) + base[row], base[row + 1])] for x in (lo, hi))
+                sa, sb = to[lo + base[row]], to[hi + base[row]]
             else:  # lines, each with the line end that follows it
                 breaks = np.flatnonzero(data == 10) + 1
-                full = off[:-1][np.diff(off) > 0]
-                sa = np.unique(np.concatenate((full, breaks[~np.isin(breaks, off)])))
+                begin = off[:-1][np.diff(off) > 0]
+                sa = np.unique(np.concatenate((begin, breaks[~np.isin(breaks, off)])))
                 sb = np.append(sa[1:], len(data))[: len(sa)]
                 row = np.searchsorted(off, sa, side="right") - 1
                 name = (np.arange(len(sa)) - np.searchsorted(row, row)).astype(str).tolist()
-            place, crosses = allocate(a, b, sa, sb)
+            full = np.flatnonzero(sa < sb)
+            place, crosses = allocate(a, b, sa[full], sb[full])
+            place = np.append(full, -1)[place]
             n = np.bincount(place[place >= 0], minlength=len(sa))
             cross = np.bincount(place[crosses], minlength=len(sa))
             outside = np.bincount(np.repeat(np.arange(j - i), per_row)[place < 0], minlength=j - i)
@@ -349,14 +390,18 @@ def count_sections(batches: Iterator[pa.RecordBatch], cfg: SectionCounts, given:
 def section_tokens(docs: DataFrame, cfg: SectionCounts | None = None) -> DataFrame:
     """Tokens of each document by section: (doc_id, section, first_char, end_char, n_tokens, n_crossing).
 
-    Sections are those in the column ``sections`` (array of section string, first and end int: characters, in order, apart from each other), else
-    the lines, numbered from 0, each with its line end. Documents are encoded whole, once; a token's span is joined to the sections that it
-    meets, and one that crosses a boundary counts (also in n_crossing) for the section with most of its bytes, of equals the first. Tokens in no
+    Sections are those in the column ``sections`` (array of structs of section string, first and end: characters), else the lines, numbered
+    from 0, each with its line end; a column of that name and another type is ignored. Sections are taken in the order of their first characters; of
+    two that overlap, the later one begins where the earlier ends; bounds beyond the text are clipped, null sections and those with
+    null bounds don't count, and sections without characters have no tokens. Documents are encoded whole, once; a token's span is joined to the sections that it meets, and one that crosses a boundary counts (also in n_crossing) for the section with most of its bytes, of equals the first. Tokens in no
     section, and documents without sections or text, have a row with a null section; so a document's rows sum to its tokens. Repeated rows
     are counted each; other columns are ignored.
     """
     cfg = cfg if cfg and cfg.vocabulary else SectionCounts(default_vocabulary())
     find_package(docs.sparkSession)
-    given = "sections" in docs.columns
-    rows = docs.select("doc_id", "text", *["sections"] * given)
-    return rows.mapInArrow(partial(count_sections, cfg=cfg, given=given), "doc_id long, section string, first_char long, end_char long, n_tokens long, n_crossing long")
+    kind = docs.schema["sections"].dataType if "sections" in docs.columns else None
+    given = isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) and {"section", "first", "end"} <= set(kind.elementType.names)
+    to_long = lambda s: F.struct(s["section"].cast("string").alias("section"), s["first"].cast("long").alias("first"), s["end"].cast("long").alias("end"))
+    sections = [F.transform("sections", lambda s: F.when(s.isNotNull(), to_long(s))).alias("sections")] if given else []
+    rows = docs.select("doc_id", "text", *sections)
+    return rows.mapInArrow(words.tidied(count_sections, cfg=cfg, given=given), "doc_id long, section string, first_char long, end_char long, n_tokens long, n_crossing long")

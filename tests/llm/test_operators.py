@@ -142,6 +142,79 @@ def test_given_sections(spark):
     assert found[(2, None)] == 1 and found[(3, "a")] == 0
 
 
+def brute_sections(rows):
+    """(doc_id, section) -> tokens, crossing tokens: each token of a whole encoding goes to the section with most of its bytes, of equals the first."""
+    from tokenizers import Tokenizer
+
+    from proofloom.llm.tokens import default_vocabulary
+
+    library, out = Tokenizer.from_file(default_vocabulary()), Counter()
+    crossing = Counter()
+    for d, text, sections in rows:
+        text = text or ""
+        at = [len(text[:i].encode()) for i in range(len(text) + 1)]
+        spans, done = [], 0
+        for first, end, k in sorted((s[1], s[2], k) for k, s in enumerate(sections or []) if s and s[1] is not None and s[2] is not None):
+            end = max(done, min(end, len(text)))
+            spans.append((at[min(max(first, done), end)], at[end], sections[k][0]))
+            done = end
+            out[d, sections[k][0]] += 0
+        begin = 0
+        encoded = library.encode(text, add_special_tokens=False)
+        for token in encoded.tokens:
+            end = begin + len(token)  # a character of a byte-level token stands for a byte
+            shares = [max(0, min(end, b) - max(begin, a)) for a, b, _ in spans]
+            best = max(range(len(spans)), key=lambda i: (shares[i], -i)) if any(shares) else None
+            out[d, spans[best][2] if best is not None else None] += 1
+            crossing[d, spans[best][2] if best is not None else None] += sum(x > 0 for x in shares) > 1
+            begin = end
+        if not spans:
+            out[d, None] += 0
+    return {k: (v, crossing[k]) for k, v in out.items()}
+
+
+def test_section_tokens_against_brute_force(spark):
+    from proofloom.llm.tokens import section_tokens
+
+    rnd = random.Random(11)
+    rows = [(1, "abc def", [None, ("a", None, 3), ("b", 4, None)]), (2, "overlap of sections here", [("x", 0, 12), ("y", 8, 30), ("z", 3, 5)]), (None, "no id", [("k", 0, 2)])]
+    for d in range(3, 40):
+        text = "".join(rnd.choice(["über", "token", " ", "\n", "🙂", "12"]) for _ in range(rnd.randint(0, 30)))
+        bounds = sorted(rnd.randint(0, len(text) + 3) for _ in range(2 * rnd.randint(0, 4)))
+        rows.append((d, text, [(f"s{i}", bounds[2 * i] - rnd.randint(0, 1), bounds[2 * i + 1]) for i in range(len(bounds) // 2)]))
+    rows = [(d, t, [s if s is None or s[1] is None else (s[0], max(s[1], 0), s[2]) for s in own]) for d, t, own in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sections array<struct<section string, first int, end int>>")
+    found = Counter(), Counter()
+    for r in section_tokens(df.withColumn("n_tokens", F.lit("x"))).collect():
+        found[0][r.doc_id, r.section] += r.n_tokens
+        found[1][r.doc_id, r.section] += r.n_crossing
+    assert {k: (v, found[1][k]) for k, v in found[0].items()} == brute_sections(rows)
+    strings = section_tokens(spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, sections string")).collect()
+    assert [(r.section, r.n_tokens) for r in strings] == [("0", 2)]
+    assert section_tokens(df.limit(0)).count() == 0
+
+
+def test_other_vocabularies_get_whole_texts():
+    import os
+
+    from proofloom.llm import tokens
+    from proofloom.llm.words import pieces
+
+    path = os.path.join(os.path.dirname(tokens.default_vocabulary()), "word_bpe_49k.json")
+    encoder = tokens.Encoder(path)
+    texts = ["Ein Text, don't!  äöü 🙂", "", "zwei  Wörter\n"]
+    from tokenizers import Tokenizer
+
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    (_, _, data, off), *_ = pieces(pa.array(texts))
+    ids, at, n = encoder.encode(data, off)
+    ends = np.cumsum(n)
+    assert [ids[e - k : e].tolist() for e, k in zip(ends.tolist(), n.tolist(), strict=True)] == want
+    assert tokens.Encoder(tokens.default_vocabulary()).by_word and (np.diff(at) >= 0).all()
+    plain = {"pre_tokenizer": {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}, "model": {"type": "BPE"}}
+    assert tokens.splits_by_word(plain) and not tokens.splits_by_word(plain | {"normalizer": {"type": "NFC"}})
+
+
 # ---- 2: media
 
 
