@@ -34,3 +34,143 @@ def names_code(reference: Column, code: Column) -> Column:
 def significant_terms(x: Column) -> Column:
     """Distinct folded terms of four letters or more."""
     return F.array_distinct(F.filter(F.split(fold(x), "[^a-z0-9]+"), lambda t: F.length(t) >= 4))
+
+
+def first_path(document: str, *paths: list[str]) -> Column:
+    """The first value that one of the paths (lists of keys) finds in a JSON text column."""
+    return F.coalesce(*[F.get_json_object(document, "$" + "".join(f"['{k}']" for k in keys)) for keys in paths])
+
+
+_ISO_DATE, _DAY_FIRST, _NUMBER = r"^\d{4}-\d\d-\d\d$", r"^\d\d/\d\d/\d{4}$", r"^-?\d+([.,]\d+)?$"
+
+
+def inferred_type(x: Column) -> Column:
+    """boolean, list, date, number or text: what an undeclared value's text looks like."""
+    kind = F.when(x.isin("true", "false"), "boolean").when(x.startswith("["), "list")
+    return kind.when(x.rlike(_ISO_DATE), "date").when(x.rlike(_NUMBER), "number").otherwise("text")
+
+
+def decimal_of(x: Column) -> Column:
+    """A number with a decimal point or comma, else null."""
+    return F.when(x.rlike(_NUMBER), F.replace(x, F.lit(","), F.lit(".")).try_cast("decimal(18,4)"))
+
+
+def typed(x: Column, kind: str) -> Column:
+    """x as its declared kind (decimal, date or text); null if it doesn't fit."""
+    if kind == "decimal":
+        return decimal_of(x)
+    if kind == "date":
+        return F.coalesce(F.when(x.rlike(_ISO_DATE), x.try_cast("date")), F.to_date(F.when(x.rlike(_DAY_FIRST), F.try_to_timestamp(x, F.lit("dd/MM/yyyy")))))
+    return x
+
+
+def unit_of(x: Column) -> Column:
+    """The unit after the first number of a text; null if there is none."""
+    return F.nullif(F.regexp_extract(x, r"(-?\d{1,3}(?:\.\d{3})+(?:,\d+)?|-?\d+(?:,\d+)?)[ ]?([A-Za-z%]+)", 2), F.lit(""))
+
+
+def serial_of(x: Column) -> Column:
+    """The first serial number: letters, a hyphen, letters or digits; in capitals."""
+    return F.nullif(F.regexp_extract(F.upper(x), r"([A-Z]{2,5}-[A-Z0-9]+(?:-[0-9]+)?)", 1), F.lit(""))
+
+
+def hash_of(x: Column) -> Column:
+    """The first run of 64 hexadecimal digits."""
+    return F.nullif(F.regexp_extract(x, r"([0-9a-f]{64})", 1), F.lit(""))
+
+
+def iso_date(x: Column) -> Column:
+    """A day written day/month/year as an ISO date, else null."""
+    part = lambda k: F.lpad(F.regexp_extract(x, r"(\d{1,2})/(\d{1,2})/(\d{4})", k), 2, "0")
+    year = F.regexp_extract(x, r"(\d{1,2})/(\d{1,2})/(\d{4})", 3)
+    return F.when(year != "", F.concat_ws("-", year, part(2), part(1)))
+
+
+def admitted_value(x: Column, admitted: list[str]) -> Column:
+    """The longest admitted value that the folded text holds."""
+    said, out = fold(x), F.lit(None).cast("string")
+    for value in sorted(admitted, key=len):
+        out = F.when(said.contains(value), value).otherwise(out)
+    return out
+
+
+#: Notations of an instant, in the order in which they are tried.
+INSTANTS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd-MM-yyyy HH:mm")
+
+
+def tolerant_instant(x: Column) -> Column:
+    """An instant in the first notation that fits, else null."""
+    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in INSTANTS])
+
+
+def instant_text(x: Column) -> Column:
+    """ISO 8601 with a Z, to the second."""
+    return F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def tolerant_decimal(x: Column) -> Column:
+    """A number whose decimal sign is the point or comma that stands last, unless it only sets thousands apart."""
+    comma, point = F.instr(F.reverse(x), ","), F.instr(F.reverse(x), ".")
+    comma_last = (comma > 0) & ((point == 0) | (comma < point))
+    plain = F.when(comma_last, F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(x, F.lit(","), F.lit("")))
+    return plain.try_cast("decimal(18,4)")
+
+
+def keywords(x: Column, stop: list[str]) -> Column:
+    """Distinct folded words outside of brackets that aren't stop words."""
+    words = F.split(F.regexp_replace(fold(x), r"\([^)]*\)", " "), "[^a-z0-9]+")
+    return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(stop)))
+
+
+def cites(x: Column, code: Column) -> Column:
+    """Whether a text holds code as an identifier of its own: nothing of ``0-9a-z-`` touches it."""
+    quoted = F.concat(F.lit(r"(^|[^0-9a-z-])\Q"), code, F.lit(r"\E($|[^0-9a-z-])"))
+    return F.regexp_like(x, quoted)
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """JSON with keys in order and no blanks; null fields are left out."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
+
+
+def tagged(x: Column, kind: str) -> Column:
+    """A value that JSON has no type for, as text under a tag."""
+    return F.struct(x.cast("string").alias(f"${kind}"))
+
+
+def name_id(namespace: str, name: Column) -> Column:
+    """A name-based id (version 5): the same name in the same namespace always has the same one."""
+    h = F.sha1(F.concat(F.lit(namespace), name))
+    part = lambda i, n: F.substring(h, i, n)
+    variant = F.element_at(F.array(*map(F.lit, "89ab")), (F.conv(part(17, 1), 16, 10).cast("int") % 4 + 1).cast("int"))
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def version_key(version: Column) -> Column:
+    """What versions are ordered by: their numbers."""
+    return F.transform(F.split(version, r"\."), lambda p: p.try_cast("int"))
+
+
+def in_force(day: Column, since: Column, until: Column) -> Column:
+    """Whether a day is in a closed interval; an open end is null."""
+    return (since.isNull() | (day >= since)) & (until.isNull() | (day <= until))
+
+
+def spanish_text(x: Column, places: int) -> Column:
+    """A number with points for thousands and a decimal comma."""
+    return F.translate(F.format_number(x, places), ",.", ".,")
+
+
+def markdown_cell(x: Column) -> Column:
+    """A text for a cell of a markdown table."""
+    return F.replace(F.replace(x, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+
+
+def comparable(x: Column) -> Column:
+    """What texts are compared by: capitals without accents, letters and digits only."""
+    return F.regexp_replace(F.upper(F.translate(F.trim(x), ACCENTED, FOLDED)), r"[^\p{L}\p{N}]", "")
+
+
+def criterion(x: Column) -> Column:
+    """The name of a criterion: folded, without signs."""
+    return F.trim(F.regexp_replace(fold(x), "[^a-z0-9 ]", ""))

@@ -10,6 +10,18 @@ from pyspark.sql.window import Window
 MOST_BROADCAST = 10_000
 
 
+def exact(rows: DataFrame, at: str, table: DataFrame, key: str) -> DataFrame:
+    """rows with the table's columns where its key is rows[at], else null."""
+    return rows.join(table, F.col(at) == F.col(key), "left").drop(key)
+
+
+def sanity(table: DataFrame, key: str, value: str) -> DataFrame:
+    """(n, not_rising, not_positive, not_monotone) of a reference table in the order of its key: one row a published value."""
+    w = Window.orderBy(key)
+    rows = table.select(F.col(key).alias("k"), F.col(value).alias("v"), F.lag(key).over(w).alias("k0"), F.lag(value).over(w).alias("v0"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("k") <= F.col("k0")).alias("not_rising"), F.count_if(F.col("v") <= 0).alias("not_positive"), F.count_if(F.col("v") < F.col("v0")).alias("not_monotone"))
+
+
 def interpolate(rows: DataFrame, at: str, table: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """rows with the table's value at rows[at]: exact, or linear between its two neighbours; null outside of the table's keys.
 

@@ -6,9 +6,6 @@ for documents, customers, nations and regions for who may see what.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,24 +16,10 @@ from proofloom.operators import log as L
 from proofloom.operators import lookup as U
 from proofloom.operators import series as S
 from proofloom.operators import verdict as V
+from proofloom.plans import casework, extraction  # noqa: F401  their queries join the catalogue
+from proofloom.plans.registry import ORACLES, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(f: Callable[..., DataFrame]) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        run.__doc__, run.__name__ = f.__doc__, f.__name__
-        QUERIES[f.__name__] = run
-        ORACLES[f.__name__] = sql
-        return run
-
-    return add
-
+__all__ = ["ORACLES", "QUERIES"]
 
 c, lit = F.col, F.lit
 MONEY = "decimal(18,4)"
