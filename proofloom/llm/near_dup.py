@@ -52,7 +52,7 @@ class NearDup:
     block: int = 1024
     block_shingles: int = 1 << 20
     #: Rounds in which each member of a mixed bucket is held against its likeliest partner only, before all open pairs are.
-    best_rounds: int = 2
+    best_rounds: int = 1
 
     @property
     def registers(self) -> int:
@@ -283,34 +283,34 @@ def verify_cells(table: pa.Table, cfg: NearDup) -> pa.Table:
     for _, g, off in shingle_sets(members.column("text"), cfg.shingle):
         sets += [g[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
     of = {k: i for i, k in enumerate(zip(key.tolist(), part.tolist(), ids.tolist(), strict=True))}
-    out_a, out_b = [], []
+    out: list[tuple[int, int]] = []
     for row in table.filter(pa.array(given)).select(["key", "part", "ids", "pairs"]).to_pylist():
-        at = [of[row["key"], row["part"], i] for i in row["ids"]]
+        at = np.array([of[row["key"], row["part"], i] for i in row["ids"]])
         pairs = np.frombuffer(row["pairs"], np.uint32).reshape(-1, 2)
-        roots: dict[int, int] = {}
-
-        def root(i: int) -> int:
-            while (up := roots.get(i, i)) != i:  # noqa: B023
-                i = up
-            return i
-
-        for own in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1):
-            pivot = at[own[0, 0]]
-            others = [j for j in (at[p] for p in own[:, 1].tolist()) if root(int(comp[j])) != root(int(comp[pivot]))]
-            if not others:
-                continue
-            mine, theirs = sets[pivot], [sets[j] for j in others]
-            n = np.array([len(x) for x in theirs])
-            g = np.concatenate(theirs)
-            hit = mine[np.minimum(np.searchsorted(mine, g), len(mine) - 1)] == g
-            shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
-            for j in np.flatnonzero(100 * shared >= cfg.percent * (n + len(mine) - shared)).tolist():
-                ra, rb = root(int(comp[pivot])), root(int(comp[others[j]]))
-                if ra != rb:
-                    roots[max(ra, rb)] = min(ra, rb)
-                    out_a.append(min(int(ids[pivot]), int(ids[others[j]])))
-                    out_b.append(max(int(ids[pivot]), int(ids[others[j]])))
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+        out += [(min(i, j), max(i, j)) for i, j in _joining([sets[i] for i in at], comp[at], pairs, cfg, ids[at])]
+    return pa.table({c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate("ab")})
+
+
+def _joining(sets: list[np.ndarray], comp: np.ndarray, pairs: np.ndarray, cfg: NearDup, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of pairs (places of two sets, in the order of the first), those ids that are linked and join components. Shingles count as small numbers; those of one set alone only by how many they are."""
+    n = np.array([len(x) for x in sets])
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[code] > 1
+    code, size = code[shared], np.add.reduceat(shared.astype(np.int64), np.cumsum(n) - n)
+    codes = np.split(code, np.cumsum(size)[:-1])
+    mark, comp = np.zeros(len(often), np.int64), comp.copy()
+    for own in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1):
+        pivot, others = own[0, 0], own[:, 1]
+        others = others[(comp[others] != comp[pivot]) & (size[others] > 0)]
+        if not len(others):
+            continue
+        mark[codes[pivot]] = 1
+        hits = np.add.reduceat(mark[np.concatenate([codes[j] for j in others])], np.cumsum(size[others]) - size[others])
+        mark[codes[pivot]] = 0
+        for j in others[100 * hits >= cfg.percent * (n[others] + n[pivot] - hits)]:
+            if comp[j] != comp[pivot]:
+                comp[comp == comp[j]] = comp[pivot]
+                yield int(ids[pivot]), int(ids[j])
 
 
 def deal(here: DataFrame, reps: DataFrame, cfg: NearDup) -> tuple[DataFrame, int]:
