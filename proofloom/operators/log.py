@@ -6,40 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from proofloom.operators import fold
+
 
 def chained(events: DataFrame, key: str, order: list[str], content: Column) -> DataFrame:
-    """(key, n_events, head): the head of the chain h(i) = sha256(h(i-1) | content(i)) from the empty text on. A log of one key is folded as a whole."""
-    log = F.array_sort(F.collect_list(F.struct(*order, content.alias("__c"))))
-    fold = F.aggregate(log, F.lit(""), lambda h, e: F.sha2(F.concat(h, F.lit("|"), e["__c"]), 256))
-    return events.groupBy(key).agg(F.count("*").alias("n_events"), fold.alias("head"))
+    """(key, n_events, head): the head of the chain h(i) = sha256(h(i-1) | content(i)) from the empty text on."""
+    return fold.heads(events, key, order, content).withColumnRenamed("n", "n_events")
+
 
+def linked(events: DataFrame, key: str, order: list[str], content: Column) -> DataFrame:
+    """events with seq (from 1), own and previous hash: an own hash covers the content and the one before."""
+    return fold.linked(events, key, order, content)
 
-def linked(events: DataFrame, key: str, order: list[str], own_hash: Column) -> DataFrame:
-    """events with seq (from 1), own and previous hash."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = events.withColumn("seq", F.row_number().over(w)).withColumn("own_hash", own_hash)
-    return rows.withColumn("prev_hash", F.lag("own_hash", 1, "").over(w))
 
+def broken_links(stored: DataFrame, key: str, content: Column) -> DataFrame:
+    """(key, first_broken): the first seq whose stored hash or link isn't what its content and predecessor say; only broken logs.
 
-def broken_links(stored: DataFrame, key: str, recomputed: Column) -> DataFrame:
-    """(key, first_broken): the first seq whose stored hash or link isn't what its content and predecessor say; only broken logs."""
+    Who alters a row consistently must alter all later ones and the head, which ``chained`` has told before.
+    """
     w = Window.partitionBy(key).orderBy("seq")
+    recomputed = F.sha2(F.concat("prev_hash", F.lit("|"), F.coalesce(content, F.lit(""))), 256)
     bad = (F.col("own_hash") != recomputed) | (F.col("prev_hash") != F.lag("own_hash", 1, "").over(w)) | (F.col("seq") != F.lag("seq", 1, 0).over(w) + 1)
     return stored.withColumn("bad", bad).where("bad").groupBy(key).agg(F.min("seq").alias("first_broken"))
 
 
 def replay(events: DataFrame, key: str, order: list[str], start: str, moves: dict[tuple[str, str], str], kind: str) -> DataFrame:
     """(key, state, rejected): events folded in order over a graph of moves (state, event type) -> state; others are counted as rejected."""
-    log = F.array_sort(F.collect_list(F.struct(*order, F.col(kind).alias("__t"))))
-    zero = F.struct(F.lit(start).alias("state"), F.lit(0).alias("rejected"))
+    states = sorted({start, *(a for a, _ in moves), *moves.values()})
 
-    def step(acc: Column, e: Column) -> Column:
+    def step(state: Column, e: Column) -> Column:
         to = F.lit(None).cast("string")
-        for (state, event), target in moves.items():
-            to = F.when((acc["state"] == state) & (e["__t"] == event), target).otherwise(to)
-        return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["rejected"] + F.when(to.isNull(), 1).otherwise(0)).alias("rejected"))
+        for (a, event), target in moves.items():
+            to = F.when((state == a) & (e["kind"] == event), target).otherwise(to)
+        return to
 
-    return events.groupBy(key).agg(F.aggregate(log, zero, step).alias("s")).select(key, "s.state", "s.rejected")
+    return fold.replay_spans(events, key, order, states, start, step, [F.col(kind).alias("kind")]).drop("error")
 
 
 def spread(marked: DataFrame, members: DataFrame, group: str, member: str) -> DataFrame:
@@ -56,3 +57,22 @@ def divergences(left: DataFrame, right: DataFrame, keys: list[str], values: list
     fields = F.array_compact(F.array(*[F.when(~F.col(f"a_{v}").eqNullSafe(F.col(f"b_{v}")), v) for v in values]))
     side = F.when(F.col("in_b").isNull(), "left").when(F.col("in_a").isNull(), "right").otherwise("both")
     return a.join(b, keys, "full").select(*keys, side.alias("side"), F.array_join(fields, ",").alias("fields")).where("side <> 'both' or fields <> ''")
+
+
+def rebuilt(events: DataFrame, key: str, order: str, payload: str, variables: list[str]) -> DataFrame:
+    """(key, variables…): the last value that a case's events give each variable, from their payloads {"variable", "value"} alone."""
+    p = events.select(key, order, F.from_json(payload, "variable string, value string").alias("p"))
+    return p.groupBy(key).agg(*[F.max_by(F.when(F.col("p.variable") == v, F.col("p.value")), F.when(F.col("p.variable") == v, F.col(order))).cast("int").alias(v) for v in variables])
+
+
+def documents(events: DataFrame, doc: str, order: str, registers: Column, splits: Column, classifies: Column, kind: str) -> DataFrame:
+    """(doc, registered, kind) of documents that are registered and not split, with the kind that was said last."""
+    last = F.max_by(F.when(classifies, F.col(kind)), F.when(classifies, F.col(order)))
+    rows = events.groupBy(doc).agg(F.count_if(registers).alias("registered"), F.coalesce(F.bool_or(splits), F.lit(False)).alias("split"), last.alias(kind))
+    return rows.where("registered > 0 and not split").drop("split")
+
+
+def peer_events(marked: DataFrame, members: DataFrame, group: str, member: str, named: str) -> DataFrame:
+    """marked (group, named, …) for every member of its group: (…, member, direct). Each objection writes a row into each log of its bundle, as it must."""
+    rows = marked.join(members, group)
+    return rows.withColumn("direct", F.col(named) == F.col(member)).drop(group, named)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from proofloom.operators import fold
+
 
 def modal_gap(rows: DataFrame, key: str, ts: Column, order: list[str], unit_seconds: int) -> DataFrame:
     """(key, gap, n): the most frequent gap between neighbours in whole units, the smallest of equals."""
@@ -24,5 +26,4 @@ def running_share(rows: DataFrame, key: str, running: Column, value: Column, hou
 
 def fingerprint(rows: DataFrame, key: str, order: list[str], line: Column) -> DataFrame:
     """(key, n, sha256) of the lines in order."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("__l")))), lambda x: x["__l"])
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
+    return fold.digests(rows, key, order, line)

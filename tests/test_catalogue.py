@@ -1,6 +1,8 @@
 """Every catalogue query against DuckDB, and the operators' rules on literal rows."""
 
+import hashlib
 import os
+import random
 
 import duckdb
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from proofloom.functions import text as T
 from proofloom.functions import three_valued as K
+from proofloom.operators import fold
 from proofloom.operators import log as L
 from proofloom.operators import lookup as U
 from proofloom.plans import catalogue
@@ -64,14 +67,58 @@ def test_interpolation_has_no_extrapolation(spark):
 
 def test_tampering_is_found_at_the_first_link(spark):
     e = spark.createDataFrame([(1, i, f"c{i}") for i in range(5)], "k int, i int, c string")
-    stored = L.linked(e, "k", ["i"], F.sha2("c", 256))
-    assert L.broken_links(stored, "k", F.sha2("c", 256)).count() == 0
+    stored = L.linked(e, "k", ["i"], F.col("c"))
+    assert L.broken_links(stored, "k", F.col("c")).count() == 0
     forged = stored.withColumn("c", F.when(F.col("i") >= 3, "x").otherwise(F.col("c")))
-    assert L.broken_links(forged, "k", F.sha2("c", 256)).first().first_broken == 4
+    assert L.broken_links(forged, "k", F.col("c")).first().first_broken == 4
+
+
+def test_a_row_forged_with_its_hashes_is_found_at_the_next_one(spark):
+    e = spark.createDataFrame([(k, i, f"c{i}") for k in (1, None) for i in range(5)], "k int, i int, c string")
+    rows = [r.asDict() for r in L.linked(e, "k", ["i"], F.col("c")).collect()]
+    for r in rows:
+        before = next((x for x in rows if x["k"] == r["k"] and x["seq"] == r["seq"] - 1), None)
+        assert r["prev_hash"] == (before["own_hash"] if before else "")
+        assert r["own_hash"] == hashlib.sha256(f"{r['prev_hash']}|{r['c']}".encode()).hexdigest()
+    own = next(r for r in rows if r["k"] == 1 and r["seq"] == 3)
+    after = next(r for r in rows if r["k"] == 1 and r["seq"] == 4)
+    own["c"] = "forged"
+    own["own_hash"] = after["prev_hash"] = hashlib.sha256(f"{own['prev_hash']}|forged".encode()).hexdigest()
+    stored = spark.createDataFrame([(r["k"], r["c"], r["seq"], r["prev_hash"], r["own_hash"]) for r in rows], "k int, c string, seq long, prev_hash string, own_hash string")
+    assert [tuple(r) for r in L.broken_links(stored, "k", F.col("c")).collect()] == [(1, 4)]
+    heads = {r.k: (r.n_events, r.head) for r in L.chained(e, "k", ["i"], F.col("c")).collect()}
+    last = {r["k"]: r["own_hash"] for r in L.linked(e, "k", ["i"], F.col("c")).where("seq = 5").collect()}
+    assert heads == {k: (5, h) for k, h in last.items()}
+
+
+def test_replay_by_spans_equals_a_plain_loop(spark):
+    rnd = random.Random(3)
+    moves = {("a", "x"): "b", ("b", "y"): "c", ("c", "x"): "a", ("b", "x"): "b"}
+    log = [(k, i, rnd.choice("xyz")) for k in range(4) for i in range(rnd.randint(1, 60))]
+    want = {}
+    for k in range(4):
+        state, refused, first = "a", 0, None
+        for _, _, x in sorted(r for r in log if r[0] == k):
+            if (state, x) in moves:
+                state = moves[state, x]
+            else:
+                refused, first = refused + 1, first or f"{state} -> {x}"
+        want[k] = (state, refused, first)
+
+    def step(state, e):
+        to = F.lit(None).cast("string")
+        for (a, x), b in moves.items():
+            to = F.when((state == a) & (e["kind"] == x), b).otherwise(to)
+        return to
+
+    df = spark.createDataFrame(log, "k int, i int, t string")
+    for span in (1, 7, 1000):
+        rows = fold.replay_spans(df, "k", ["i"], ["a", "b", "c"], "a", step, [F.col("t").alias("kind")], span).collect()
+        assert {r.k: (r.state, r.rejected, r.error) for r in rows} == want
 
 
 def test_no_python_in_plans(spark, sf):
-    for name in ("q_verdict", "q_rule_matrix_long", "q_chain_hash", "q_state_machine", "q_term_weight_topk"):
+    for name in ("q_verdict", "q_rule_matrix_long", "q_rulebook", "q_state_machine", "q_term_weight_topk"):
         plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
 
