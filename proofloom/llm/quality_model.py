@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofloom.llm import words
@@ -116,22 +115,25 @@ def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, pa.array(score)], [*batch.drop_columns(["text"]).schema.names, "score"])
 
 
-def _bounded(df: DataFrame, rows: int, salt: int) -> DataFrame:
-    """About rows rows at most, the same ones every time: those whose hashed doc_id is low."""
-    share = min(1.0, rows / max(df.count(), 1))
-    return df.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else df
+def _bounded(df: DataFrame, rows: int, *by: str | Column) -> DataFrame:
+    """About rows rows at most, the same ones every time: those whose hash of 60 bits is low."""
+    n = df.count()
+    return df.where(F.shiftrightunsigned(F.xxhash64(*by), 4) < F.lit(rows * (1 << 60) // n)) if n > rows else df
 
 
 def learn(docs: DataFrame, labels: DataFrame, cfg: QualityModel):
     """The model, from bounded samples of docs labelled 1 and of all docs; labels (doc_id, quality) are those that may be learned from."""
-    spark = docs.sparkSession
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ones, zeros = known.agg(F.coalesce(F.sum("quality"), F.lit(0)), F.coalesce(F.sum(1 - F.col("quality")), F.lit(0))).first()
-    trusted = _bounded(known.where("quality = 1"), cfg.sample_rows, 1).select("doc_id", F.lit(1).alias("kind"))
-    web = _bounded(docs.select("doc_id"), cfg.sample_rows, 2).select("doc_id", F.lit(0).alias("kind"))
-    sample = docs.select("doc_id", "text").join(trusted.union(web), "doc_id").orderBy("kind", "doc_id").select("kind", "text")
-    found = sample.mapInArrow(_measured, "kind int, x array<double>").collect()
+    trusted = _bounded(known.where("quality = 1"), cfg.sample_rows, "doc_id", F.lit(1)).select("doc_id")
+    trusted = docs.join(trusted, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
+    web = _bounded(docs, cfg.sample_rows, "doc_id", "text", F.lit(2))
+    sample = trusted.select(F.lit(1).alias("kind"), "doc_id", "text").union(web.select(F.lit(0), "doc_id", "text"))
+    sample = sample.orderBy("kind", "doc_id", "text").select("kind", "text")
+    found = sample.mapInArrow(words.tidied(_measured), "kind int, x array<double>").collect()
     positive, unlabelled = (np.array([r.x for r in found if r.kind == k]).reshape(-1, len(_KINDS) + 11) for k in (1, 0))
+    if not len(unlabelled) and not docs.isEmpty():
+        raise ValueError("the sample of unlabelled documents is empty though there are documents; are all rows alike?")
     if not len(positive) or not len(unlabelled):
         width = len(_KINDS) + 11
         return np.zeros(1 + 2 * width), np.zeros(width), np.ones(width)
@@ -143,7 +145,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, cfg: QualityModel | None =
     """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text).
 
     Labels of rows whose crc32(doc_id as text) mod 3 is 1 are held out: never learned from. A document with several labels has the lowest.
-    Null and empty texts are scored like all others; without labels every score is 0.5. Other columns are ignored.
+    Null and empty texts are scored like all others; without labels every score is 0.5. Rows that repeat a doc_id are scored each, and the
+    greatest of their texts is the trusted one. Rows without doc_id are scored and never trusted. Other columns are ignored. Empty in, empty out.
     """
     cfg = cfg or QualityModel()
     spark = docs.sparkSession
@@ -151,5 +154,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, cfg: QualityModel | None =
     docs = docs.select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     model = learn(docs, labels.select("doc_id", "quality").where(~held_out), cfg)
-    rows = docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(partial(_scored, model=model), "doc_id long, held_out boolean, score double")
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(words.tidied(_scored, model=model), "doc_id long, held_out boolean, score double")
     return rows.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
