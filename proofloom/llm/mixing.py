@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from proofloom.llm.shared import WORD, cut, running_start
 
-_GOLDEN = 0.6180339887498949
+#: The golden ratio's fraction, and that of 2^20 times it: slots are taken as 2^20 * high + low, so that products stay exact to 1e-9 for all of them.
+_GOLDEN, _GOLDEN_20 = 0.6180339887498949, 0.607787409740351
 
 
 @dataclass(frozen=True)
@@ -58,6 +59,12 @@ def targets(sized: DataFrame, cfg: Mixing) -> DataFrame:
     return s.select("source", "source_size", "target", F.least(F.round("target"), F.floor("stop")).cast("long").alias("quota"))
 
 
+def points_at(slot: Column) -> Column:
+    """The golden-ratio point in [0, 1) of a slot."""
+    high, low = F.floor(slot / (1 << 20)), slot % (1 << 20)
+    return ((low + 0.5) * _GOLDEN + high * _GOLDEN_20) % 1
+
+
 def schedule(goals: DataFrame, cfg: Mixing) -> DataFrame:
     """(slot, source, rank): slot orders the mix; every rank below a source's number of blocks is there once."""
     spark = goals.sparkSession
@@ -68,7 +75,7 @@ def schedule(goals: DataFrame, cfg: Mixing) -> DataFrame:
     spans = goals.withColumn("hi", to / max(slots, 1)).withColumn("lo", (to - F.col("blocks")) / max(slots, 1))
     last = F.least(F.lit(cells - 1), F.floor(F.col("hi") * cells))
     spans = spans.select("source", "blocks", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells), last)).alias("cell"))
-    points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * _GOLDEN % 1).alias("x"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), points_at(F.col("id")).alias("x"))
     points = points.withColumn("cell", F.floor(F.col("x") * cells))
     drawn = points.join(spans, "cell").where("x >= lo and x < hi").withColumn("one", F.lit(1)).select("slot", "source", "blocks", "one")
     ranked = running_start(drawn, ["source"], [F.col("slot")], "one", "rank", F.floor(F.col("slot") / cfg.span_rows))

@@ -25,6 +25,8 @@ class Packing:
     capacity: int = 2048
     #: Pieces that are packed together.
     block: int = 2048
+    #: Whether a sequence holds a source once at most (copies are kept apart in any case).
+    sources_apart: bool = True
 
 
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -54,6 +56,8 @@ def pack_block(table: pa.Table, cfg: Packing) -> pa.Table:
     table = table.combine_chunks().sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
     source = table.column("source").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_pylist()
     _, cluster = np.unique(table.column("cluster").to_numpy(), return_inverse=True)
+    if not cfg.sources_apart:  # every piece is a source of its own
+        source = range(len(source))
     placed = best_fit(table.column("n_words").to_pylist(), source, cluster.tolist(), cfg.capacity)
     block = table.column("block").to_numpy()
     return pa.table(
