@@ -371,8 +371,11 @@ def test_quality_rules_reject_junk_and_stay_native(spark):
     df = quality(spark.createDataFrame([(0, good), *enumerate(junk, 1)], "doc_id long, text string"))
     kept = as_dict(df, "kept")
     assert kept[0] == (True,) and not kept[1][0] and not kept[2][0] and not kept[3][0]
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and len(rules.__doc__) > 0
+    from proofloom.llm.quality_rules import QualityRules, measure
+
+    every = measure(spark.createDataFrame([(0, good)], "doc_id long, text string")).select(*rules(QualityRules()).values())
+    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (df, every)):
+        assert "Python" not in plan and "Arrow" not in plan and len(rules.__doc__) > 0
 
 
 # ---- 7: near duplicates
@@ -442,17 +445,40 @@ def test_url_rules(spark):
 
     urls = ["https://A.example.org/es/1?q=/x#y", "http://org/fr", "ftp://borg/", "https://x.com/fr/9", "https://x.com/de/9", "https://example.org/en/12", "nothing", None, "http://h.net", "a://b://c/d", "http://spam.net/ads/1.html?id=2"]
     found = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    labels = spark.createDataFrame([(i, int(i != 10), 0) for i in range(11)], "doc_id long, quality int, toxic int")
+    urls += [f"http://spam.net/ads/{i}.html" for i in range(6)] + [f"http://fine.net/text/{i}.html" for i in range(8)]
+    found = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int("spam.net" not in (u or "")), 0) for i, u in enumerate(urls)], "doc_id long, quality int, toxic int")
     rows = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge(found.withColumn("rule", F.lit(1)), labels).collect()}
     assert rows[0] == ("a.example.org", "/es/1", "example.org/es/", "block")
     assert rows[1] == ("org", "/fr", "org/", "allow") and rows[2][2] is None
     assert rows[3][2:] == ("com/fr/", "allow") and rows[4][2:] == ("com/de/", "block") and rows[5][2:] == ("example.org/en/1", "block")
     assert rows[6][:3] == ("", "", None) and rows[7][:3] == ("", "", None) and rows[8][:2] == ("h.net", "")
     assert rows[9][:2] == ("b:", "//c/d") and rows[10][3] == "block"
+    assert rows[11][3] == "block" and rows[17][3] == "allow"
     none = judge(found.limit(0), labels.limit(0))
     assert none.count() == 0 and host_path
 
 
+def test_url_rules_ask_for_pages_and_stay_short(spark):
+    """One page's many tokens make no rules, many pages' many tokens make bounded ones, and rules hold what they say."""
+    from proofloom.llm.url_rules import UrlFilter, judge, mine, url_tokens
+
+    query = "&".join(f"n{i}=1" for i in range(14))
+    urls = [f"http://a{i}.org/x" for i in range(20)] + [f"http://once.org/y?{query}"] + [f"http://many.org/z?{query}" for _ in range(7)]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(3, urls[3], "x"), (None, "http://b.org/" + "w/" * 5000, "x")], "page_id long, url string, mined string")
+    labels = spark.createDataFrame([(i, int(i < 20), 0) for i in range(28)] + [(3, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    cfg = UrlFilter()
+    rules, on_pages = mine(pages, labels, cfg)
+    assert rules and all(len(r) <= cfg.basket for r in rules) and not any("once" in t for r in rules for t in r)
+    host, path = F.col("host"), F.col("path")
+    tokens = {r.page_id: set(r.t) for r in judge(pages, labels).join(pages.select("page_id", "url"), "page_id").select("page_id", url_tokens(F.col("url"), host, path).alias("t")).collect()}
+    for r in rules:
+        fit = [i for i, t in tokens.items() if set(r) <= t]
+        assert len(fit) >= cfg.min_pages and sum(i >= 20 for i in fit) >= cfg.min_confidence * len(fit)
+        assert not any(set(x) < set(r) for x in rules)
+    assert judge(pages, labels).count() == len(urls) + 2
+
+
 # ---- 10: quality model
 
 
