@@ -96,3 +96,21 @@ def reopened(cases: DataFrame, checks: dict[str, Column]) -> DataFrame:
     rows = cases.withColumn("refused", why)
     two = F.array(F.lit("requirement interpreted"), F.lit("case reopened"))
     return rows.withColumn("events", F.when(F.col("refused").isNull(), two).otherwise(F.array().cast("array<string>")))
+
+
+def rarest_terms(docs: DataFrame, doc: str, terms: Column, most: int, heavy: float = 1e-3) -> DataFrame:
+    """(doc, term, df, k): the terms of each document that fewest documents have, ties by name.
+
+    Terms in more than a share ``heavy`` of the documents are few (the mean number of terms over that share, at most), so they are broadcast with
+    their counts and their rows stay where they are; only rows of lighter terms are joined by a shuffle, in which no term is hot.
+    """
+    rows = docs.select(doc, F.explode(F.array_distinct(terms)).alias("term"))
+    df = rows.groupBy("term").agg(F.count("*").alias("df"))
+    least = max(docs.count() * heavy, 1000)
+    few = F.broadcast(df.where(F.col("df") > least).select("term", F.col("df").alias("__heavy")))
+    told = rows.join(few, "term", "left")
+    light = told.where("__heavy is null").drop("__heavy").join(df.where(F.col("df") <= least), "term")
+    best = F.slice(F.array_sort(F.collect_list(F.struct("df", "term"))), 1, most)
+    top = told.where("__heavy is not null").select(doc, "term", F.col("__heavy").alias("df")).unionByName(light.select(doc, "term", "df"))
+    top = top.groupBy(doc).agg(best.alias("b"))  # a document's own terms
+    return top.select(doc, F.posexplode("b").alias("i", "t")).select(doc, "t.term", "t.df", (F.col("i") + 1).alias("k"))

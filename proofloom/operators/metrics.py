@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,3 +64,40 @@ def quantiles(rows: DataFrame, key: str, value: str, wanted: dict[str, float]) -
     at = counts.withColumn("upto", F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
     found = [F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.col("all") * share), F.lit(1)), F.col(value))).alias(name) for name, share in wanted.items()]
     return at.groupBy(key).agg(*found, F.max("all").alias("n"))
+
+
+def continuous_quantiles(rows: DataFrame, value: str, shares: dict[str, float], buckets: int = 500) -> dict[str, float | None]:
+    """For each share the value at it, between two neighbours if it falls there; n as well. Null without rows; nulls don't count.
+
+    Equal values are counted first. Approximate quantiles cut the range into buckets of about equal weight, whose counts tell in which ones the
+    wanted ranks are; only those are put in order.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    bounds = sorted(set(counts.approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.5 / buckets)))
+    if not bounds:
+        return dict.fromkeys(shares) | {"n": 0}
+    counts = counts.withColumn("b", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("v"))))
+    base, total = {}, 0
+    for r in counts.groupBy("b").agg(F.sum("n").alias("n")).orderBy("b").collect():
+        base[r.b], total = total, total + r.n
+    ranks = sorted({f(share * (total - 1)) for share in shares.values() for f in (math.floor, math.ceil)})
+    bucket = {k: max(b for b, start in base.items() if start <= k) for k in ranks}
+    upto = F.sum("n").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    some = counts.where(F.col("b").isin(sorted(set(bucket.values())))).withColumn("upto", upto)
+    at = some.agg(*[F.min(F.when((F.col("b") == b) & (F.col("upto") > k - base[b]), F.col("v"))).alias(f"r{k}") for k, b in bucket.items()]).first()
+    out: dict[str, float | None] = {}
+    for name, share in shares.items():
+        lo, hi = math.floor(share * (total - 1)), math.ceil(share * (total - 1))
+        out[name] = at[f"r{lo}"] + (at[f"r{hi}"] - at[f"r{lo}"]) * (share * (total - 1) - lo)
+    return out | {"n": total}
+
+
+def ranked(rows: DataFrame, keys: list[str], order: str, out: str, width: int = 50_000) -> DataFrame:
+    """rows with their rank from 1 within keys, by a whole-number order. Ranks are counted within stretches of the order and the stretches' counts
+    are summed, so a key with very many rows doesn't meet in one task."""
+    rows = rows.withColumn("__s", F.floor(F.col(order) / width))
+    sizes = rows.groupBy(*keys, "__s").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*keys, "__s", F.coalesce(before, F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__s").orderBy(order))
+    return rows.withColumn("__own", own).join(sizes, [*keys, "__s"]).withColumn(out, F.col("__base") + F.col("__own")).drop("__s", "__own", "__base")

@@ -72,12 +72,12 @@ def q_savings_checks(t):
     )
 
 
-@query(f"""WITH {_UNITS} SELECT l_orderkey, l_linenumber, l_partkey, sha256('n2 - n1 = ' || (n2 - n1) || '; net = ' || coalesce(rtrim(rtrim(printf('%d.%02d', (pm * 100 - loss_e2) // 100, (pm * 100 - loss_e2) % 100), '0'), '.'), '?') || '; hours = ' || CASE WHEN known = 1 THEN h::VARCHAR ELSE '?' END) AS trace FROM z WHERE pm > 1""")
+@query(f"""WITH {_UNITS} SELECT l_orderkey, l_linenumber, l_partkey, sha256('n2 - n1 = ' || (n2 - n1) || '; net = ' || coalesce(rtrim(rtrim(printf('%d.%02d', (pm * 100 - loss_e2) // 100, (pm * 100 - loss_e2) % 100), '0'), '.'), '?') || '; hours = ' || CASE WHEN known = 1 THEN h::VARCHAR ELSE '?' END) AS trace FROM z""")
 def q_savings_trace(t):
     """The parts of each unit's formula as text."""
     net = ((c("pm") * 100 - c("loss_e2")).cast("decimal(12,0)") / lit(100).cast("decimal(3,0)")).cast("decimal(12,2)")
     parts = {"n2 - n1": c("n2") - c("n1"), "net": net, "hours": c("h")}
-    return _units(t).where("pm > 1").select("l_orderkey", "l_linenumber", "l_partkey", F.sha2(S.trace(parts), 256).alias("trace"))
+    return _units(t).select("l_orderkey", "l_linenumber", "l_partkey", F.sha2(S.trace(parts), 256).alias("trace"))
 
 
 @query("""WITH r AS (SELECT p_size AS k, min(p_partkey) AS v FROM part WHERE p_size > 3 GROUP BY 1), n AS (SELECT k, v, lag(k) OVER (ORDER BY k) AS k0, lag(v) OVER (ORDER BY k) AS v0 FROM r)
@@ -222,12 +222,12 @@ def q_remedies(t):
     return _ruled(t).select("o_orderkey", R.remedies(_book()).alias("remedies")).where("remedies <> ''")
 
 
-@query("""WITH h AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS has, max(value) > 95 AS large FROM events WHERE event_id % 11 = 0 GROUP BY 1)
+@query("""WITH h AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS has, max(value) > 180 AS large FROM events WHERE value > 90 GROUP BY 1)
 SELECT user_id, len(list_filter(CASE WHEN large THEN ['click', 'purchase', 'signup'] ELSE ['click', 'purchase'] END, lambda x: NOT list_contains(has, x)))::INT AS missing, large AS signup_needed FROM h""")
 def q_obligations(t):
     """Required kinds of documents, one of them only under a condition."""
-    has = t("events").where("event_id % 11 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("has"), F.max("value").alias("top"))
-    return R.lacking(has, "has", {"click": lit(True), "purchase": lit(True), "signup": c("top") > 95}).select("user_id", F.size("lacking").alias("missing"), (c("top") > 95).alias("signup_needed"))
+    has = t("events").where("value > 90").groupBy("user_id").agg(F.collect_set("event_type").alias("has"), F.max("value").alias("top"))
+    return R.lacking(has, "has", {"click": lit(True), "purchase": lit(True), "signup": c("top") > 180}).select("user_id", F.size("lacking").alias("missing"), (c("top") > 180).alias("signup_needed"))
 
 
 @query("""WITH v AS (SELECT l_partkey, l_linenumber % 3 AS src, min(l_tax) AS v FROM lineitem GROUP BY 1, 2) SELECT l_partkey, min(v) = max(v) AS agreed, string_agg(src || '=' || v::DECIMAL(4,2), ',' ORDER BY src) AS by_source FROM v GROUP BY 1""")
@@ -284,10 +284,10 @@ def q_conflict_within_kind(t):
     return E.conflict_within(_facts(t), ["unit"], "kind", "v")
 
 
-@query(f"""WITH {_FACTS}, d AS (SELECT unit, v, min(seq) AS seq FROM f WHERE v % 5 = 0 GROUP BY ALL) SELECT unit, string_agg(v::VARCHAR, ',' ORDER BY seq) AS items, count(*) AS n FROM d GROUP BY 1""")
+@query(f"""WITH {_FACTS}, d AS (SELECT unit, v, min(seq) AS seq FROM f GROUP BY ALL) SELECT unit, string_agg(v::VARCHAR, ',' ORDER BY seq, v) AS items, count(*) AS n FROM d GROUP BY 1""")
 def q_collections(t):
     """Facts that are lists: distinct values in the order of their first sight, never in conflict."""
-    return E.collection(_facts(t).where("v % 5 = 0"), ["unit"], "v", "seq").select("unit", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), F.size("items").cast("long").alias("n"))
+    return E.collection(_facts(t), ["unit"], "v", "seq").select("unit", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), F.size("items").cast("long").alias("n"))
 
 
 @query(f"""WITH {_FACTS} SELECT source, count(*) FILTER (v < 9.5) AS below, count(*) FILTER (v > 17) AS above, count(*) AS n FROM f GROUP BY 1""")

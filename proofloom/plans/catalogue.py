@@ -12,8 +12,10 @@ from pyspark.sql.window import Window
 from proofloom.functions import text as T
 from proofloom.functions import three_valued as K
 from proofloom.operators import consolidate as C
+from proofloom.operators import journal as J
 from proofloom.operators import log as L
 from proofloom.operators import lookup as U
+from proofloom.operators import metrics as M
 from proofloom.operators import series as S
 from proofloom.operators import verdict as V
 from proofloom.plans import casework, extraction, journal  # noqa: F401  their queries join the catalogue
@@ -222,12 +224,12 @@ def q_provisional_sub(t):
 
 # ---- consolidation
 
-_EVIDENCE = """e AS (SELECT l_partkey AS unit, 'line' AS source, round(l_extendedprice / l_quantity)::BIGINT AS v, 2 AS prio, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_orderkey % 7 = 0
+_EVIDENCE = """e AS (SELECT l_partkey AS unit, 'line' AS source, round(l_extendedprice / l_quantity)::BIGINT AS v, 2 AS prio, l_orderkey * 10 + l_linenumber AS seq FROM lineitem
 UNION ALL SELECT p_partkey, 'part', round(p_retailprice)::BIGINT, 1, p_partkey FROM part)"""
 
 
 def _evidence(t):
-    lines = t("lineitem").where("l_orderkey % 7 = 0").select(c("l_partkey").alias("unit"), lit("line").alias("source"), F.round(c("l_extendedprice") / c("l_quantity")).cast("long").alias("v"), lit(2).alias("prio"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("seq"))
+    lines = t("lineitem").select(c("l_partkey").alias("unit"), lit("line").alias("source"), F.round(c("l_extendedprice") / c("l_quantity")).cast("long").alias("v"), lit(2).alias("prio"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("seq"))
     return lines.unionByName(t("part").select(c("p_partkey").alias("unit"), lit("part").alias("source"), F.round("p_retailprice").cast("long").alias("v"), lit(1).alias("prio"), c("p_partkey").alias("seq")))
 
 
@@ -244,10 +246,10 @@ def q_source_suffix(t):
     return C.suffixed_sources(_evidence(t), ["unit"], "source", "v", "named").groupBy("named").agg(F.count("*").alias("n"), F.min("v").alias("least"))
 
 
-@query("""SELECT l_suppkey, CASE WHEN min(l_partkey) = max(l_partkey) THEN min(l_partkey) END AS l_partkey, min(l_partkey) = max(l_partkey) AS resolved FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1""")
+@query("""SELECT l_suppkey, CASE WHEN min(l_partkey) = max(l_partkey) THEN min(l_partkey) END AS l_partkey, min(l_partkey) = max(l_partkey) AS resolved FROM lineitem GROUP BY 1""")
 def q_secondary_key(t):
     """A secondary key's primary one, if there is one only."""
-    return C.resolve_secondary(t("lineitem").where("l_orderkey % 50 = 0"), "l_suppkey", "l_partkey")
+    return C.resolve_secondary(t("lineitem"), "l_suppkey", "l_partkey")
 
 
 _FOLD = "trim(regexp_replace(lower(translate({}, '" + T.ACCENTED + "', '" + T.FOLDED + r"')), '[\t\n\x0B\f\r ]+', ' ', 'g'))"
@@ -289,10 +291,10 @@ def q_canonical_fingerprint(t):
 # ---- text
 
 
-@query(f"SELECT doc_id, sha256({_FOLD.format('text')}) AS h FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, sha256({_FOLD.format("coalesce(text, '')")}) AS h FROM documents")
 def q_text_normalize(t):
     """Folded texts, as fingerprints."""
-    return t("documents").where("text is not null").select("doc_id", F.sha2(T.fold(c("text")), 256).alias("h"))
+    return t("documents").select("doc_id", F.sha2(T.fold(F.coalesce("text", lit(""))), 256).alias("h"))
 
 
 @query("""SELECT o_orderkey, o_orderkey AS whole, (o_totalprice::DECIMAL(18,2))::DOUBLE AS parsed FROM orders""")
@@ -302,38 +304,35 @@ def q_number_parse(t):
     return t("orders").select("o_orderkey", T.spanish_number(F.concat(c("o_orderkey").cast("string"), lit(" kWh"))).cast("bigint").alias("whole"), T.spanish_number(F.concat(lit("Total: "), text, lit(" EUR"))).cast("double").alias("parsed"))
 
 
-@query("""WITH s AS (SELECT doc_id, unnest([{'k': 'licence', 's': (contains(text, 'icens'))::INT * 2 + (contains(text, 'CC'))::INT}, {'k': 'table', 's': (contains(text, ' | '))::INT * 3},
-{'k': 'prose', 's': (contains(text, '. '))::INT}]) AS u FROM documents WHERE text IS NOT NULL)
+@query("""WITH s AS (SELECT doc_id, unnest([{'k': 'licence', 's': (contains(x, 'icens'))::INT * 2 + (contains(x, 'CC'))::INT}, {'k': 'table', 's': (contains(x, ' | '))::INT * 3},
+{'k': 'prose', 's': (contains(x, '. '))::INT}]) AS u FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents))
 SELECT doc_id, CASE WHEN max(u.s) > 0 THEN arg_max(u.k, u.s * 10 - CASE u.k WHEN 'licence' THEN 0 WHEN 'table' THEN 1 ELSE 2 END) ELSE 'unclassified' END AS kind, max(u.s) AS score FROM s GROUP BY doc_id""")
 def q_doc_classify(t):
     """The kind of a document by the best score of a lexicon, ties by its order; no shuffle."""
-    has = lambda s: c("text").contains(s).cast("int")
+    has = lambda s: F.coalesce("text", lit("")).contains(s).cast("int")
     scores = [("licence", has("icens") * 2 + has("CC")), ("table", has(" | ") * 3), ("prose", has(". "))]
     best = F.greatest(*[s for _, s in scores])
     kind = F.when(best == 0, "unclassified")
     for name, s in scores:
         kind = kind.when(s == best, name)
-    return t("documents").where("text is not null").select("doc_id", kind.alias("kind"), best.alias("score"))
+    return t("documents").select("doc_id", kind.alias("kind"), best.alias("score"))
 
 
-@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, i, l[i] AS line, l[i + 1] AS after FROM l, unnest(range(1, len(l) + 1)) AS u(i))
+@query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), x AS (SELECT doc_id, i, l[i] AS line, l[i + 1] AS after FROM l, unnest(range(1, len(l) + 1)) AS u(i))
 SELECT doc_id, i::INT AS line_no, length(line) AS n, sha256(coalesce(after, '')) AS next_line FROM x WHERE contains(line, ' | ')""")
 def q_label_lines(t):
     """Lines with a label's mark, and the line after each."""
-    lines = t("documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("l"))
+    lines = t("documents").select("doc_id", F.split(F.coalesce("text", lit("")), "\n").alias("l"))
     rows = lines.select("doc_id", "l", F.posexplode("l").alias("i", "line")).where(c("line").contains(" | "))
     return rows.select("doc_id", (c("i") + 1).alias("line_no"), F.length("line").alias("n"), F.sha2(F.coalesce(F.get("l", c("i") + 1), lit("")), 256).alias("next_line"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex({_FOLD.format('text')}, '[^a-z0-9]+'), lambda x: length(x) >= 4))) AS term FROM documents WHERE text IS NOT NULL),
+@query(f"""WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex({_FOLD.format("coalesce(text, '')")}, '[^a-z0-9]+'), lambda x: length(x) >= 4))) AS term FROM documents),
 d AS (SELECT term, count(*) AS df FROM t GROUP BY 1), r AS (SELECT doc_id, term, df, row_number() OVER (PARTITION BY doc_id ORDER BY df, term) AS k FROM t JOIN d USING (term))
 SELECT doc_id, term, df, k::INT AS k FROM r WHERE k <= 3""")
 def q_term_weight_topk(t):
     """The three rarest terms of each document, by an inverted index."""
-    terms = t("documents").where("text is not null").select("doc_id", F.explode(T.significant_terms(c("text"))).alias("term"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df"))
-    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "term"))
-    return terms.join(df, "term").withColumn("k", k).where("k <= 3").select("doc_id", "term", "df", "k")
+    return J.rarest_terms(t("documents"), "doc_id", T.significant_terms(F.coalesce("text", lit(""))), 3)
 
 
 # ---- the event log
@@ -442,7 +441,7 @@ y AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS k FROM a W
 def q_manifest_pairs(t):
     """Listed and found files paired by content; equal contents in order."""
     a = t("documents").select("doc_id", F.sha2(F.coalesce("text", lit("")), 256).alias("h"))
-    a = a.withColumn("k", F.row_number().over(Window.partitionBy("h", c("doc_id") % 2).orderBy("doc_id")))
+    a = M.ranked(a.withColumn("side", c("doc_id") % 2), ["h", "side"], "doc_id", "k")
     x, y = a.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "listed"), a.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "found")
     return x.join(y, ["h", "k"]).select("listed", "found")
 
@@ -452,7 +451,9 @@ def q_elapsed_pct(t):
     """Time between two kinds of event: median and ninth decile."""
     at = lambda kind: F.unix_micros(F.when(c("event_type") == kind, c("ts").cast("timestamp"))) / 1e6
     d = t("events").groupBy("user_id").agg((F.max(at("purchase")) - F.min(at("signup"))).alias("d")).where("d > 0")
-    return d.agg(F.round(F.percentile("d", 0.5), 3).alias("p50"), F.round(F.percentile("d", 0.9), 3).alias("p90"), F.count("*").alias("n"))
+    q = M.continuous_quantiles(d, "d", {"p50": 0.5, "p90": 0.9})
+    at = lambda name: F.round(lit(q[name]).cast("double"), 3).alias(name)
+    return d.sparkSession.range(1).select(at("p50"), at("p90"), lit(q["n"]).cast("long").alias("n"))
 
 
 @query("""SELECT user_id, floor(epoch(TIMESTAMP '2024-03-01' - max(ts)) / 60)::BIGINT AS minutes_open FROM events GROUP BY 1 HAVING arg_max(event_type, (ts, event_id)) = 'error'""")

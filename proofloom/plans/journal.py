@@ -78,11 +78,11 @@ def q_rebuilt_state(t):
     return L.rebuilt(t("events").where("event_type <> 'error'").withColumn("payload", payload), "user_id", "event_id", "payload", ["v0", "v1", "v2", "v3"])
 
 
-@query("""WITH e AS (SELECT user_id AS doc, event_type, event_id FROM events) SELECT doc, count(*) FILTER (event_type = 'view') AS registered, arg_max(event_id % 5, event_id) FILTER (event_type = 'click') AS class FROM e WHERE doc NOT IN (SELECT doc FROM e WHERE event_type = 'purchase' AND event_id % 40 = 0) GROUP BY 1 HAVING count(*) FILTER (event_type = 'view') > 0""")
+@query("""WITH e AS (SELECT user_id AS doc, event_type, event_id, value FROM events) SELECT doc, count(*) FILTER (event_type = 'view') AS registered, arg_max(event_id % 5, event_id) FILTER (event_type = 'click') AS class FROM e WHERE doc NOT IN (SELECT doc FROM e WHERE event_type = 'purchase' AND value > 99) GROUP BY 1 HAVING count(*) FILTER (event_type = 'view') > 0""")
 def q_documents_from_log(t):
     """The documents that a log registers, without those that were split, with their last class."""
     e = t("events").withColumnRenamed("user_id", "doc").withColumn("class", c("event_id") % 5)
-    return L.documents(e, "doc", "event_id", c("event_type") == "view", (c("event_type") == "purchase") & (c("event_id") % 40 == 0), c("event_type") == "click", "class")
+    return L.documents(e, "doc", "event_id", c("event_type") == "view", (c("event_type") == "purchase") & (c("value") > 99), c("event_type") == "click", "class")
 
 
 # States of a case and how events move it; * is any state that isn't closed.
@@ -164,7 +164,7 @@ def q_synchronised(t):
     return J.synchronised(e.union(again), "user_id", "at", rank, "arrival", ["user_id", "at", "kind"]).select("user_id", "seq", "kind", "arrival")
 
 
-@query("""WITH m AS (SELECT DISTINCT user_id % 10 AS bundle, user_id FROM events), x AS (SELECT user_id, event_id FROM events WHERE event_type = 'error' AND value > 190), has AS (SELECT DISTINCT user_id, event_id FROM events WHERE event_id % 2 = 0),
+@query("""WITH m AS (SELECT DISTINCT user_id % 10 AS bundle, user_id FROM events), x AS (SELECT user_id, event_id FROM events WHERE event_type = 'error' AND value > 190), has AS (SELECT DISTINCT user_id, event_id FROM events WHERE value < 195),
 p AS (SELECT m.user_id, x.event_id, false AS direct FROM x JOIN m ON m.bundle = x.user_id % 10 AND m.user_id <> x.user_id UNION ALL SELECT user_id, event_id, true FROM x) SELECT user_id, event_id, direct FROM p WHERE (user_id, event_id) NOT IN (SELECT user_id, event_id FROM has)""")
 def q_contagion_events(t):
     """The events that an objection writes into the logs of all members of its bundle, but for those that are there already."""
@@ -172,7 +172,7 @@ def q_contagion_events(t):
     members = e.select((c("user_id") % 10).alias("bundle"), "user_id").distinct()
     marked = e.where("event_type = 'error' and value > 190").select((c("user_id") % 10).alias("bundle"), c("user_id").alias("named"), "event_id")
     rows = L.peer_events(marked, members, "bundle", "user_id", "named")
-    return rows.join(e.where("event_id % 2 = 0").select("user_id", "event_id"), ["user_id", "event_id"], "left_anti").select("user_id", "event_id", "direct")
+    return rows.join(e.where("value < 195").select("user_id", "event_id"), ["user_id", "event_id"], "left_anti").select("user_id", "event_id", "direct")
 
 
 # ---- interpretation
@@ -215,12 +215,12 @@ def q_citations(t):
     return rows.select("conv_id", "turn", cited.alias("cited"), c("x").contains(c("item")).alias("verbatim"))
 
 
-@query("""WITH s AS (SELECT user_id, max(event_type = 'signup')::INT AS signed, count(*) FILTER (event_type = 'error') AS open, max(value) AS top, min(event_id) AS first FROM events WHERE event_id % 23 = 0 GROUP BY 1)
-SELECT user_id, CASE WHEN signed = 0 THEN 'not signed' WHEN open = 0 THEN 'no open objection' WHEN NOT top > 60 THEN 'no item' WHEN first % 2 = 1 THEN 'not a human' END AS refused, CASE WHEN signed = 1 AND open > 0 AND top > 60 AND first % 2 = 0 THEN 2 ELSE 0 END AS events FROM s""")
+@query("""WITH s AS (SELECT user_id, max(event_type = 'signup' AND value > 95)::INT AS signed, count(*) FILTER (event_type = 'error' AND value > 95) AS open, max(value) FILTER (event_type = 'click') AS top, min(event_id) AS first FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN signed = 0 THEN 'not signed' WHEN open = 0 THEN 'no open objection' WHEN NOT top > 97 THEN 'no item' WHEN first % 2 = 1 THEN 'not a human' END AS refused, CASE WHEN signed = 1 AND open > 0 AND top > 97 AND first % 2 = 0 THEN 2 ELSE 0 END AS events FROM s""")
 def q_reopened(t):
     """Cases that may be opened again, by four checks in order, and the two events that this writes."""
-    s = t("events").where("event_id % 23 = 0").groupBy("user_id").agg(F.bool_or(c("event_type") == "signup").alias("signed"), F.count_if(c("event_type") == "error").alias("open"), F.max("value").alias("top"), F.min("event_id").alias("first"))
-    checks = {"not signed": c("signed"), "no open objection": c("open") > 0, "no item": c("top") > 60, "not a human": c("first") % 2 == 0}
+    s = t("events").groupBy("user_id").agg(F.bool_or((c("event_type") == "signup") & (c("value") > 95)).alias("signed"), F.count_if((c("event_type") == "error") & (c("value") > 95)).alias("open"), F.max(F.when(c("event_type") == "click", c("value"))).alias("top"), F.min("event_id").alias("first"))
+    checks = {"not signed": c("signed"), "no open objection": c("open") > 0, "no item": c("top") > 97, "not a human": c("first") % 2 == 0}
     return J.reopened(s, checks).select("user_id", "refused", F.size("events").alias("events"))
 
 
@@ -282,10 +282,10 @@ def q_case_view(t):
     return A.view(rows, ["o_orderkey", F.array_join("seen", ",").alias("blocks")], blocks, c("seen"))
 
 
-@query("""SELECT user_id, count(*) AS n, string_agg(event_type, ',' ORDER BY ts, event_id) AS activity, count(*) FILTER (event_type = 'error') AS errors FROM events WHERE event_type IN ('error', 'purchase') AND event_id % 5 = 0 GROUP BY 1""")
+@query("""SELECT user_id, count(*) AS n, string_agg(event_type, ',' ORDER BY ts, event_id) AS activity, count(*) FILTER (event_type = 'error') AS errors FROM events WHERE event_type IN ('error', 'purchase') GROUP BY 1""")
 def q_activity(t):
     """What happened in a case, without payloads, of some kinds only."""
-    rows = t("events").where("event_type in ('error', 'purchase') and event_id % 5 = 0").drop("props", "value")
+    rows = t("events").where("event_type in ('error', 'purchase')").drop("props", "value")
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]), ",").alias("activity"), F.count_if(c("event_type") == "error").alias("errors"))
 
 

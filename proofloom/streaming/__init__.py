@@ -1 +1 @@
-"""proofloom.streaming"""
+"""Streaming twins of the log operators."""
