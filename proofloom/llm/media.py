@@ -1,8 +1,9 @@
 """Media columns: payloads in tar shards by content, their places in rows, and columns filled by range reads of the stored form.
 
-A payload is stored as a PNG of 8-bit grey samples, a row of pixels for each 192 bytes. Its digest says which it is: tasks compress a
-payload once each, equal ones meet by digest in compressed form, and one of them is written to one shard. Width and height come from
-range reads of the PNG's first 33 bytes, the other features from the samples that are read back.
+A payload is stored as a PNG of 8-bit grey samples, a row of pixels for each 192 bytes. Its digest, a column function, says which it is.
+Payloads that only one row has are written by the task that reads the row, so they don't move; of others each task makes one copy, the copies meet by
+digest in compressed form, and one is written. Width and height come from range reads of the PNG's first 33 bytes, the other features
+from the samples that are read back.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofloom.llm.shared import cut, file_system, find_package, new_folder
+from proofloom.llm.shared import collect_garbage, cut, discarding, file_system, find_package, new_folder
 from proofloom.llm.words import tidied
 
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -34,6 +35,8 @@ class Media:
     width: int = 192
     fill: bytes = b" "
     level: int = 6
+    #: Digests of payloads that several rows have are broadcast up to this number (32 bytes each), else joined by a shuffle of the texts.
+    most_broadcast: int = 500_000
 
 
 def padded(data: bytes, cfg: Media) -> bytes:
@@ -93,7 +96,7 @@ def compress(batches: Iterator[pa.RecordBatch], cfg: Media) -> Iterator[pa.Recor
 
 
 def write_shards(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """A partition's (digest, stored), sorted, to one tar shard with each digest once, and (digest, shard, offset, length).
+    """A partition's (digest, stored), equal digests next to each other, to one tar shard with each digest once, and (digest, shard, offset, length).
 
     The shard takes its name when it is whole, so tasks may run twice.
     """
@@ -176,16 +179,27 @@ def media_columns(docs: DataFrame, cfg: Media | None = None, folder: str | None
     Null and empty texts are one row of blanks. Every row is returned, repeated ones and those with null doc_ids too; equal texts
     have one payload and equal values, but for doc_id. Other columns are ignored. Empty in, empty out.
 
-    A payload crosses the network once for each task that has it, compressed; one task reads all these copies one by one and keeps one.
+    A payload that several rows have crosses the network once for each task that has it, compressed; one task reads all these copies one by
+    one and keeps one.
     """
     cfg = cfg or Media()
     spark = docs.sparkSession
     find_package(spark)
     folder = folder or new_folder(spark, "media")
-    payloads = docs.select("text").mapInArrow(tidied(compress, cfg=cfg), "digest binary, stored binary").repartition("digest").sortWithinPartitions("digest")
-    places = cut(spark, payloads.mapInArrow(tidied(write_shards, folder=folder), "digest binary, shard string, offset long, length long"), "places")
-    by_shard = places.repartition("shard").sortWithinPartitions("shard", "offset")
+    n, digest = payload_columns(F.col("text"), cfg)
+    with discarding() as keep:
+        digests = docs.select(digest.alias("digest"))
+        several = cut(spark, digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest", F.lit(True).alias("several")), "several")
+        several = F.broadcast(several) if several.count() <= cfg.most_broadcast else several.hint("merge")
+        told = docs.select("text", digest.alias("digest")).join(several, "digest", "left")
+        made = "digest binary, stored binary"
+        alone = told.where("several is null").select("text").mapInArrow(tidied(compress, cfg=cfg), made)
+        shared = told.where("several").select("text").mapInArrow(tidied(compress, cfg=cfg), made).repartition("digest").sortWithinPartitions("digest")
+        places = alone.union(shared).mapInArrow(tidied(write_shards, folder=folder), "digest binary, shard string, offset long, length long")
+        places = keep(cut(spark, places, "places"))
+    collect_garbage(spark, every=0)
+    shards = max(1, places.select("shard").distinct().count())
+    by_shard = places.repartition(shards, "shard").sortWithinPartitions("shard", "offset")
     read = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, shard string, offset long, length long"
     found = by_shard.mapInArrow(tidied(read_shards), read)
-    n, digest = payload_columns(F.col("text"), cfg)
     return docs.select("doc_id", n.alias("n_bytes"), digest.alias("digest")).join(found.hint("merge"), "digest").drop("digest")
