@@ -7,6 +7,8 @@ import re
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,25 +44,66 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def cut(spark: SparkSession, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df written as a table in the shared folder and read again.
 
-    Its lineage ends there: a lost executor costs no earlier work. Shuffle files that only df needed go once the driver's JVM collects
-    garbage, which is asked for here now and then, since nothing else makes it happen in time.
+    Its lineage ends there: a lost executor costs no earlier work. Shuffle files of plans that nobody holds any more go once the driver's
+    JVM collects garbage, which is asked for here now and then, since nothing else makes it happen in time.
     """
+    collect_garbage(spark)
     path = new_folder(spark, name)
+    if _discarded:
+        _discarded[-1].append(path)
     df.write.option("compression", compression).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    collect_garbage(spark)
-    return out
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_discarded: list[list[str]] = []
+
+
+@contextmanager
+def discarding() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are cut within are deleted at the end, but for those given to the function that this yields.
+
+    Only for steps whose results are cut themselves: nothing that is evaluated later may read what goes. A failed step leaves its tables.
+    """
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(f.rsplit("/", 1)[0].rstrip("/").rsplit("/", 1)[-1] for f in df.inputFiles())
+        return df
+
+    _discarded.append([])
+    try:
+        yield keep
+    except BaseException:
+        _discarded.pop()
+        raise
+    for path in _discarded.pop():
+        if path.rsplit("/", 1)[-1] in kept:
+            if _discarded:
+                _discarded[-1].append(path)
+            continue
+        try:
+            fs, own = file_system(path)
+            fs.delete_dir(own)
+        except (OSError, ValueError):  # a store that only Spark reaches, or a table that is gone
+            pass
 
 
 _collected = [0.0]
 
 
-def collect_garbage(spark: SparkSession, every: float = 5.0) -> None:
-    """Let Spark's cleaner see which shuffles nobody needs any more, at most once in so many seconds. Nothing where the driver's JVM is out of reach."""
+def collect_garbage(spark: SparkSession, every: float = 3.0) -> None:
+    """Let Spark's cleaner see which shuffles nobody needs any more, at most once in so many seconds. Nothing where the driver's JVM is out of reach.
+
+    every=0: now, and once more after a moment, since the scheduler lets go of the last job a little later than it ends.
+    """
     jvm = getattr(getattr(spark, "_sc", None), "_jvm", None)
-    if jvm is not None and time.monotonic() - _collected[0] >= every:
+    if jvm is None or time.monotonic() - _collected[0] < every:
+        return
+    jvm.System.gc()
+    if not every:
+        time.sleep(1.5)
         jvm.System.gc()
-        _collected[0] = time.monotonic()
+    _collected[0] = time.monotonic()
 
 
 def with_rows(spark: SparkSession, df: DataFrame, out: str = "row") -> DataFrame:
