@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofloom.llm.shared import SPACE, WORD, cut
+from proofloom.llm.shared import SPACE, WORD, cut, discarding
 
 #: Measures that every document gets.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -110,7 +110,9 @@ def cascade(docs: DataFrame, cfg: QualityRules) -> Column:
     """Of ``measure``'s rows, whether a document of docs passes the base limits and all rules, judged in the order of ``rule_order``."""
     every = rules(cfg)
     verdict = F.when(base_failed(cfg), False)
-    for name in rule_order(docs, cfg):
+    with discarding():
+        order = rule_order(docs, cfg)
+    for name in order:
         verdict = verdict.when(every[name], False)
     return verdict.otherwise(True)
 
@@ -119,19 +121,25 @@ def quality(docs: DataFrame, cfg: QualityRules | None = None) -> DataFrame:
     """docs without text, with the base measures, base_failed and kept. Empty and null texts have no words and fail.
 
     Rows are judged one by one, repeated ones alike. Columns of docs that are named like the new ones give way to them. Empty in, empty out.
-    The result is written and read again, so that a filter on it doesn't compute measures anew for every use.
     """
     cfg = cfg or QualityRules()
     new = [*MEASURES, "base_failed", "kept"]
     rest = [c for c in docs.columns if c not in (*new, "text")]
     measured = measure(docs.select(*[docs[c] for c in rest], "text"))
     kept = cascade(docs.select("text"), cfg)
-    out = measured.select(*[F.col("row")[c].alias(c) for c in rest], *[F.col(f"__{m}").alias(m) for m in MEASURES], base_failed(cfg).alias("base_failed"), kept.alias("kept"))
-    return cut(docs.sparkSession, out, "measures")
+    return counted(measured.select(*[F.col("row")[c].alias(c) for c in rest], *[F.col(f"__{m}").alias(m) for m in MEASURES], base_failed(cfg).alias("base_failed"), kept.alias("kept")))
+
+
+def counted(judged: DataFrame) -> DataFrame:
+    """judged (…, kept), with the numbers of judged and rejected documents as observed metrics ("quality rules").
+
+    Counting has to see every row, so filters on kept stay above it, and measures are computed once a row, not anew for every use in a filter.
+    """
+    return judged.observe("quality rules", F.count(F.lit(1)).alias("judged"), F.count_if(~F.col("kept")).alias("rejected"))
 
 
 def keep_good(docs: DataFrame, cfg: QualityRules | None = None) -> DataFrame:
-    """The rows of docs that pass, with their columns. Verdicts are written with the rows, then read: a filter needn't compute measures anew."""
+    """The rows of docs that pass, with their columns."""
     cfg = cfg or QualityRules()
-    judged = cut(docs.sparkSession, measure(docs).select("row", cascade(docs.select("text"), cfg).alias("kept")), "judged")
+    judged = counted(measure(docs).select("row", cascade(docs.select("text"), cfg).alias("kept")))
     return judged.where("kept").select("row.*")
