@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofloom.llm import words
-from proofloom.llm.shared import cut, find_package
+from proofloom.llm.shared import cut, discarding, find_package
 
 U64 = np.uint64
 
@@ -438,7 +438,9 @@ def near_duplicates(docs: DataFrame, cfg: NearDup | None = None) -> DataFrame:
     members = sets.select("doc_id", "digest").join(classes, "digest").select("doc_id", "id")
     reps = sets.join(classes.select(F.col("id").alias("doc_id"), F.col("digest")), ["doc_id", "digest"])
     reps = cut(spark, reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "regs", "of"), "reps")
-    comps = find_links(spark, reps, docs, cfg)
+    with discarding() as keep:
+        comps = find_links(spark, reps, docs, cfg)
+        comps = comps if comps is None else keep(comps)
     if comps is not None:
         members = members.join(comps, "id", "left").select("doc_id", F.coalesce("comp", "id").alias("component_id"))
     else:
