@@ -25,7 +25,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from proofloom.llm import words
 from proofloom.llm.words import tidied
-from proofloom.llm.shared import cut, find_package
+from proofloom.llm.shared import collect_garbage, cut, discarding, find_package
 
 U64 = np.uint64
 _FAR = np.iinfo(np.int64).max
@@ -326,6 +326,8 @@ def repeated_runs(docs: DataFrame, cfg: Repeats) -> DataFrame:
 
     sent = hop(docs.mapInArrow(tidied(anchors, cfg=cfg, to=to), _SENT), 4)
     hits = to_documents(sent.groupBy("bucket").applyInArrow(anchors_matched, _SENT), 4)
+    del sent
+    collect_garbage(spark, every=0)  # the anchors' shuffle goes before the windows' one is written
     sent = docs.join(hits.withColumnRenamed("values", "hits").hint("merge"), "doc_id").mapInArrow(tidied(extend, cfg=cfg, to=to), _SENT)
     return to_documents(hop(sent, 8).groupBy("bucket").applyInArrow(windows_matched, _SENT), 8)
 
@@ -339,7 +341,9 @@ def remove_repeats(docs: DataFrame, cfg: Repeats | None = None) -> DataFrame:
     """
     cfg = cfg or Repeats()
     find_package(docs.sparkSession)
-    runs = repeated_runs(docs, cfg).withColumnRenamed("values", "runs").hint("merge")
+    with discarding() as keep:
+        runs = keep(repeated_runs(docs, cfg)).withColumnRenamed("values", "runs").hint("merge")
+    collect_garbage(docs.sparkSession, every=0)  # nothing needs the shuffles behind the runs any more
     rest = docs.drop("n_words", "n_removed", "kept_text", "runs")
     schema = [f for f in rest.schema if f.name not in ("text", "doc_id")]
     rows = rest.select("doc_id", *[f.name for f in schema], "text").join(runs, "doc_id", "left")
