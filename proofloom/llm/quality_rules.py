@@ -32,7 +32,7 @@ class QualityRules:
     min_distinct_percent: int = 5
     #: Documents of the sample on which rules are measured, and how often each rule reads it.
     sample_rows: int = 2000
-    sample_turns: int = 10
+    sample_turns: int = 3
 
 
 def measure(docs: DataFrame) -> DataFrame:
