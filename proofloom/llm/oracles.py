@@ -66,7 +66,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP12 = """
+WITH t AS (SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list(x ORDER BY k) AS l FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, l, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::UBIGINT)),
+        lambda a, b: list_reduce(list_concat([xor(a, b)], list_transform(range(8), lambda x: x::UBIGINT)),
+          lambda c, d: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)), 4294967295::UBIGINT)::BIGINT % 6 AS h FROM l),
+s AS (SELECT h.conv_id, list_concat(CASE WHEN h.h > 0 THEN coalesce(b.l[1:h.h], []) ELSE [] END, h.l[h.h + 1:]) AS s
+      FROM h LEFT JOIN l AS b ON b.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, d, CASE WHEN d = 0 THEN [] ELSE s[1:d] END AS p, len(s) = d AS e FROM s, unnest(range(len(s) + 1)) AS u(d)),
+n AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (e) AS ends FROM m GROUP BY d, p),
+k AS (SELECT n.*, q.conv_id AS parent FROM n LEFT JOIN n AS q ON q.d = n.d - 1 AND q.p = CASE WHEN n.d < 2 THEN [] ELSE n.p[1:n.d - 1] END),
+c AS (SELECT parent, d - 1 AS d, count(*) AS n_children FROM k WHERE d > 0 GROUP BY ALL),
+o AS (SELECT k.*, coalesce(n_children, 0) AS n_children, CASE WHEN k.d = 0 THEN 0 ELSE (n_convs - 1) * length(p[k.d].t) END AS own
+      FROM k LEFT JOIN c ON c.parent = k.conv_id AND c.d = k.d),
+f AS (SELECT CASE WHEN j = 0 THEN [] ELSE p[1:j] END AS p, j AS d, sum(own) AS saved, count(*) FILTER (n_children = 0) AS leaves
+      FROM o, unnest(range(d + 1)) AS u(j) GROUP BY ALL)
+SELECT o.conv_id, o.d AS depth, o.parent AS parent_conv_id, n_convs, n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens,
+  sha256(coalesce(ends, '')) AS ends_sha256
+FROM o JOIN f ON o.d = f.d AND o.p = f.p
+"""
+
+OP13 = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS s FROM r AS a JOIN r AS b ON a.vec_id % 100 = 0),
+p AS (SELECT a, b, s FROM s WHERE same AND a <> b QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS p, p.s AS ps, s.b AS n, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS k
+      FROM p JOIN s ON p.a = s.a AND NOT s.same AND 80 * p.s <= 100 * s.s AND 100 * s.s <= 100 * p.s)
+SELECT a AS anchor_id, p AS positive_id, k::INTEGER AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE k <= 5
+"""
+
 ORACLES = {
+    "op12_prefix_trie": OP12,
+    "op13_hard_negatives": OP13,
     "op3_mixed_sources": OP3,
     "op6_quality_rules": OP6,
     "op4_repeated_passages": OP4,
