@@ -79,6 +79,7 @@ def _size() -> Column:
 def pack(docs: DataFrame, cfg: Packing | None = None) -> DataFrame:
     """(doc_id, piece, first, n_words, bin, offset): words first to first + n_words of the document stand in a sequence from offset on.
 
+    Which pieces share a block, and so a sequence, depends on the order of rows in the files of docs, so that rows alike are dealt apart.
     Documents without words, null texts included, have one row with no bin. Copies are documents of equal text, or of equal ``cluster``
     if docs has such a column; null is a source. Rows that repeat a doc_id are packed each. Further columns are ignored.
     """
@@ -99,12 +100,12 @@ def pack_sizes(sized: DataFrame, cfg: Packing) -> DataFrame:
     """pack for documents (doc_id, source, size, cluster) whose words are counted and whose copies are known."""
     spark = sized.sparkSession
     find_package(spark)
-    sized = cut(spark, sized, "sizes")
+    sized = cut(spark, sized.withColumn("__row", F.monotonically_increasing_id()), "sizes")
     pieces = sized.where("size > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / cfg.capacity))))
     pieces = pieces.withColumn("first", F.col("piece") * cfg.capacity)
     pieces = pieces.withColumn("n_words", F.least(F.lit(cfg.capacity).cast("long"), F.col("size") - F.col("first")))
     blocks = max(1, -(-pieces.count() // cfg.block))
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(blocks)).cast("long"))
+    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("__row", "piece"), F.lit(blocks)).cast("long"))
 
     def packed(group: pa.Table) -> pa.Table:
         return pack_block(group, cfg)

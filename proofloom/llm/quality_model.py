@@ -22,7 +22,7 @@ from proofloom.llm.shared import find_package
 
 @dataclass(frozen=True)
 class QualityModel:
-    #: Rows at most, about, of trusted positives and of unlabelled texts that the model is fitted on.
+    #: Rows, about, of trusted positives and of unlabelled texts that the model is fitted on; twice as many at most.
     sample_rows: int = 8000
     steps: int = 1500
     rate: float = 0.05
@@ -116,9 +116,9 @@ def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
 
 
 def _bounded(df: DataFrame, rows: int, *by: str | Column) -> DataFrame:
-    """About rows rows at most, the same ones every time: those whose hash of 60 bits is low."""
+    """About rows rows, and never more than twice as many: those whose hash of 60 bits is low. by should tell all rows apart."""
     n = df.count()
-    return df.where(F.shiftrightunsigned(F.xxhash64(*by), 4) < F.lit(rows * (1 << 60) // n)) if n > rows else df
+    return df.where(F.shiftrightunsigned(F.xxhash64(*by), 4) < F.lit(rows * (1 << 60) // n)).limit(2 * rows) if n > rows else df
 
 
 def learn(docs: DataFrame, labels: DataFrame, cfg: QualityModel):
@@ -127,13 +127,11 @@ def learn(docs: DataFrame, labels: DataFrame, cfg: QualityModel):
     ones, zeros = known.agg(F.coalesce(F.sum("quality"), F.lit(0)), F.coalesce(F.sum(1 - F.col("quality")), F.lit(0))).first()
     trusted = _bounded(known.where("quality = 1"), cfg.sample_rows, "doc_id", F.lit(1)).select("doc_id")
     trusted = docs.join(trusted, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
-    web = _bounded(docs, cfg.sample_rows, "doc_id", "text", F.lit(2))
+    web = _bounded(docs.withColumn("__row", F.monotonically_increasing_id()), cfg.sample_rows, "doc_id", "__row", F.lit(2))  # rows alike are drawn apart
     sample = trusted.select(F.lit(1).alias("kind"), "doc_id", "text").union(web.select(F.lit(0), "doc_id", "text"))
     sample = sample.orderBy("kind", "doc_id", "text").select("kind", "text")
     found = sample.mapInArrow(words.tidied(_measured), "kind int, x array<double>").collect()
     positive, unlabelled = (np.array([r.x for r in found if r.kind == k]).reshape(-1, len(_KINDS) + 11) for k in (1, 0))
-    if not len(unlabelled) and not docs.isEmpty():
-        raise ValueError("the sample of unlabelled documents is empty though there are documents; are all rows alike?")
     if not len(positive) or not len(unlabelled):
         width = len(_KINDS) + 11
         return np.zeros(1 + 2 * width), np.zeros(width), np.ones(width)
@@ -146,7 +144,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, cfg: QualityModel | None =
 
     Labels of rows whose crc32(doc_id as text) mod 3 is 1 are held out: never learned from. A document with several labels has the lowest.
     Null and empty texts are scored like all others; without labels every score is 0.5. Rows that repeat a doc_id are scored each, and the
-    greatest of their texts is the trusted one. Rows without doc_id are scored and never trusted. Other columns are ignored. Empty in, empty out.
+    greatest of their texts is the trusted one. Unlabelled rows are drawn by their place in the table, so a table in other files is another sample. Rows without doc_id are scored and never trusted. Other columns are ignored. Empty in, empty out.
     """
     cfg = cfg or QualityModel()
     spark = docs.sparkSession

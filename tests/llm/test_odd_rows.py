@@ -188,3 +188,25 @@ def test_quality_rules_keep_columns_of_their_own_names(spark):
     kept = keep_good(df)
     assert kept.columns == df.columns and kept.count() == 3 and {r["__words"] for r in kept.collect()} == {"mine"}
     assert quality(df).where("kept").count() == 3 and "__text" in quality(df).columns
+
+
+def test_packing_deals_rows_alike_to_all_blocks(spark):
+    from proofloom.llm.packing import Packing, pack
+
+    df = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit("a b c").alias("text"))
+    found = pack(df, Packing(block=100)).groupBy(F.shiftright("bin", 20).alias("block")).count().collect()
+    assert len(found) == 30 and max(r["count"] for r in found) < 200
+
+
+def test_quality_model_of_rows_alike(spark):
+    from proofloom.llm.quality_model import QualityModel, _bounded, score_quality
+
+    cfg = QualityModel(sample_rows=500, steps=50)
+    few = spark.range(6000).selectExpr("id % 3 as doc_id", "'all the same text' as text")
+    labels = spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int")
+    for df in (few, few.withColumn("doc_id", F.lit(2).cast("long"))):
+        rows = score_quality(df, labels, cfg).collect()
+        assert len(rows) == 6000 and len({r.score for r in rows}) == 1
+    drawn = _bounded(few.withColumn("k", F.monotonically_increasing_id()), 500, "k").count()
+    assert 300 < drawn <= 1000
+    assert _bounded(few, 500, "doc_id").count() <= 1000

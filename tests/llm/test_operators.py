@@ -314,6 +314,33 @@ def test_repeats_of_repeated_and_null_ids(spark):
     assert sorted((str(r.doc_id), r.n_removed) for r in found) == [("1", 0), ("1", 0), ("2", 40), ("None", 0)]
 
 
+@pytest.mark.parametrize("batch,bucket,fan", [(4 << 20, 20 << 20, 4096), (300, 400, 2)])
+def test_repeats_of_several_texts_under_one_id(spark, batch, bucket, fan):
+    """Only the row that repeats a passage loses it, and rows of one doc_id are not earlier than each other."""
+    from proofloom.llm.repeats import Repeats, remove_repeats
+
+    rnd = random.Random(9)
+    some = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    t = some(20)
+    rows = [(1, t), (2, t), (2, some(30)), (2, None)]
+    passages = [some(rnd.randint(13, 40)) for _ in range(4)]
+    for _ in range(60):
+        rows.append((rnd.randint(1, 12), " ".join(rnd.choice([rnd.choice(passages), some(rnd.randint(1, 20))]) for _ in range(rnd.randint(1, 4)))))
+    first = {}
+    for d, x in rows:
+        w = words(x)
+        for i in range(len(w) - 12):
+            first[tuple(w[i : i + 13])] = min(first.get(tuple(w[i : i + 13]), d), d)
+    want = []
+    for d, x in rows:
+        w = words(x)
+        gone = {i + j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for j in range(13)}
+        want.append((d, len(w), len(gone), " ".join(v for i, v in enumerate(w) if i not in gone)))
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), Repeats(batch_bytes=batch, bucket_bytes=bucket, fan=fan))
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found.collect()) == sorted(want)
+    assert (2, 30, 0) in {w[:3] for w in want}
+
+
 # ---- 5: packing
 
 
@@ -459,6 +486,42 @@ def test_url_rules(spark):
     assert none.count() == 0 and host_path
 
 
+def lower_end(k, n, z):
+    p = k / n
+    return (p + z * z / 2 / n - z * (p * (1 - p) / n + z * z / 4 / n / n) ** 0.5) / (1 + z * z / n)
+
+
+def test_mined_verdicts_of_planted_labels(spark):
+    """Verdicts of a table with a planted signal against a plain count of all combinations of each page's tokens; most labels are by chance."""
+    from itertools import combinations
+
+    from proofloom.llm.url_rules import UrlFilter, host_path, judge, url_tokens
+
+    rnd = random.Random(12)
+    hosts, words_ = [f"h{i}.net" for i in range(40)], ["ads", "win", "text", "news", "de", "fr"]
+    urls = [f"http{rnd.choice(['', 's'])}://{rnd.choice(hosts)}/{rnd.choice(words_)}/{rnd.choice(words_)}/{rnd.randrange(10**6)}.html" for _ in range(3000)]
+    planted = lambda u: 0.75 if "/ads/" in u and "/win/" in u else 0.4 if "h7." in u else 0.12
+    quality = [int(rnd.random() > planted(u)) for u in urls]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, q) for i, q in enumerate(quality) if i < 2500], "doc_id long, quality int")
+    cfg = UrlFilter(listed=())
+    tokens = {r.page_id: r.t for r in pages.select("page_id", url_tokens(F.col("url"), *host_path(F.col("url"))).alias("t")).collect()}
+    n, rejected = 2500, sum(1 - q for q in quality[:2500])
+    counts, bad = Counter(), Counter()
+    for i in range(2500):
+        for k in (1, 2, 3, 4, 5, 6, 7):  # no page has more than the basket
+            for c in combinations(sorted(tokens[i]), k):
+                counts[c] += 1
+                bad[c] += 1 - quality[i]
+    assert max(map(len, tokens.values())) <= cfg.basket
+    rules = {c for c, m in counts.items() if bad[c] >= max(cfg.min_pages, cfg.min_support * n) and lower_end(bad[c], m, cfg.errors) >= cfg.min_lift * rejected / n}
+    want = {i: any(set(r) <= set(t) for r in rules) for i, t in tokens.items()}
+    found = {r.page_id: r for r in judge(pages, labels, cfg).collect()}
+    assert {i: r.mined for i, r in found.items()} == want
+    assert {i: r.verdict for i, r in found.items()} == {i: "block" if x else "allow" for i, x in want.items()}
+    assert all(want[i] for i, u in enumerate(urls) if "/ads/" in u and "/win/" in u) and sum(want.values()) < 600
+
+
 def test_url_rules_ask_for_pages_and_stay_short(spark):
     """One page's many tokens make no rules, many pages' many tokens make bounded ones, and rules hold what they say."""
     from proofloom.llm.url_rules import UrlFilter, judge, mine, url_tokens
@@ -474,7 +537,7 @@ def test_url_rules_ask_for_pages_and_stay_short(spark):
     tokens = {r.page_id: set(r.t) for r in judge(pages, labels).join(pages.select("page_id", "url"), "page_id").select("page_id", url_tokens(F.col("url"), host, path).alias("t")).collect()}
     for r in rules:
         fit = [i for i, t in tokens.items() if set(r) <= t]
-        assert len(fit) >= cfg.min_pages and sum(i >= 20 for i in fit) >= cfg.min_confidence * len(fit)
+        assert len(fit) >= cfg.min_pages and lower_end(sum(i >= 20 for i in fit), len(fit), cfg.errors) >= cfg.min_lift * 8 / 28
         assert not any(set(x) < set(r) for x in rules)
     assert judge(pages, labels).count() == len(urls) + 2
 

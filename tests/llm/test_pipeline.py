@@ -79,7 +79,7 @@ def test_quality_rules_drop_rows_only_by_their_text(spark, rows):
 
 
 def test_substring_dedup_strips_later_documents(spark, rows):
-    """Rows without doc_id stay as they are, as remove_repeats says; the rows of doc_id 2 have nothing to lose."""
+    """Rows without doc_id stay as they are, as remove_repeats says; the rows of doc_id 2 have nothing to lose, though one of their texts repeats words of doc_id 1."""
     rows = [r for r in rows if r[0] != 1]
     want = without_repeats([r for r in rows if r[0] is not None and r[0] != 2])
     text = lambda r: want[r[0]][2] if r[0] in want and want[r[0]][1] else r[1]
