@@ -9,6 +9,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,13 +50,14 @@ def cut(spark: SparkSession, df: DataFrame, name: str, compression: str = "zstd"
     """
     collect_garbage(spark)
     path = new_folder(spark, name)
-    if _discarded:
-        _discarded[-1].append(path)
+    if lists := _discarded.get():
+        lists[-1].append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_discarded: list[list[str]] = []
+#: Of each thread of the driver its own lists of tables to delete.
+_discarded: ContextVar[tuple[list[str], ...]] = ContextVar("discarded", default=())
 
 
 @contextmanager
@@ -70,20 +72,20 @@ def discarding() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.update(f.rsplit("/", 1)[0].rstrip("/").rsplit("/", 1)[-1] for f in df.inputFiles())
         return df
 
-    _discarded.append([])
+    outer, own = _discarded.get(), []
+    _discarded.set((*outer, own))
     try:
         yield keep
-    except BaseException:
-        _discarded.pop()
-        raise
-    for path in _discarded.pop():
+    finally:
+        _discarded.set(outer)
+    for path in own:
         if path.rsplit("/", 1)[-1] in kept:
-            if _discarded:
-                _discarded[-1].append(path)
+            if outer:
+                outer[-1].append(path)
             continue
         try:
-            fs, own = file_system(path)
-            fs.delete_dir(own)
+            fs, local = file_system(path)
+            fs.delete_dir(local)
         except (OSError, ValueError):  # a store that only Spark reaches, or a table that is gone
             pass
 
