@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,23 +31,32 @@ def _any(columns: list[Column]) -> Column:
     return out
 
 
-def evaluate(cases: DataFrame, rules: list[Rule]) -> DataFrame:
-    """cases with stopped, skipped and a column for each rule: true, false, or null (not evaluable, or not reached)."""
+def evaluate(cases: DataFrame, rules: list[Rule], conflict: Column | None = None, calculated: Column | None = None) -> DataFrame:
+    """cases with stopped, skipped and a column for each rule: true, false, or null (not evaluable, or not reached).
+
+    A conflict between sources skips the calculation; so does ``calculated`` where it is false (open: it counts as done).
+    """
     failed = lambda r: F.coalesce(~F.col(r.name), F.lit(False))
     of = lambda phase: [r for r in rules if r.phase == phase]
     rows = cases.withColumns({r.name: r.holds for r in of("scope")})
     rows = rows.withColumn("stopped", _any([failed(r) for r in of("scope")]))
     rows = rows.withColumns({r.name: F.when(~F.col("stopped"), r.holds) for r in of("data")})
-    rows = rows.withColumn("skipped", F.col("stopped") | _any([failed(r) for r in of("data") if r.severity == "DATA"]))
+    skipped = F.col("stopped") | _any([failed(r) for r in of("data") if r.severity == "DATA"])
+    for also in (conflict, None if calculated is None else ~calculated):
+        skipped = skipped if also is None else skipped | F.coalesce(also, F.lit(False))
+    rows = rows.withColumn("skipped", skipped)
     return rows.withColumns({r.name: F.when(~F.col("skipped"), r.holds) for r in of("calculation")})
 
 
-def verdict(rules: list[Rule]) -> Column:
-    """The verdict of the worst severity among failing rules."""
+def verdict(rules: list[Rule], conflict: Column | None = None, phases: tuple[str, ...] = ("scope", "data", "calculation")) -> Column:
+    """The verdict of the worst severity among failing rules of some phases; a conflict is no better than a blocking rule's failure."""
     out = F.lit(PASSED)
     for severity, said in reversed(list(VERDICTS.items())):
         if said:
-            out = F.when(_any([F.coalesce(~F.col(r.name), F.lit(False)) for r in rules if r.severity == severity]), said).otherwise(out)
+            fails = _any([F.coalesce(~F.col(r.name), F.lit(False)) for r in rules if r.severity == severity and r.phase in phases])
+            if severity == "DATA" and conflict is not None:
+                fails = fails | F.coalesce(conflict, F.lit(False))
+            out = F.when(fails, said).otherwise(out)
     return out
 
 
@@ -87,6 +96,26 @@ def provisional(a: Column, b: Column, allowed: Column) -> tuple[Column, Column]:
     return F.coalesce(K.least_known(a, b), F.when(stands_in, F.coalesce(a, b))), stands_in
 
 
+def two_worlds(cases: DataFrame, rules: list[Rule], stand_ins: dict[str, str], conflict: Column | None = None) -> DataFrame:
+    """``evaluate`` with results as known, and with results in which a missing input is stood in for, in one pass.
+
+    stand_ins: columns of results as known, and of those with stand-ins. The stand-ins count where the verdict before the calculation is that of
+    a failure that can be mended. New: ``provisional``, ``verdict``, and ``verdict_as_known``, which takes no stand-in; the columns as known then have what counts,
+    and nothing where the calculation is skipped. Rules of the calculation read them by those names.
+    """
+    calculation = [r for r in rules if r.phase == "calculation"]
+    before = [r for r in rules if r.phase != "calculation"]
+    rows = evaluate(cases, before, conflict).withColumn("__early", verdict(before, conflict))
+    rows = rows.withColumn("provisional", (F.col("__early") == VERDICTS["FIXABLE"]) & ~F.col("skipped"))
+    known = [replace(r, name=f"__{r.name}") for r in calculation]
+    rows = rows.withColumns({r.name: F.when(~F.col("skipped"), r.holds) for r in known})
+    both = lambda a, b: F.when(F.col("provisional"), F.coalesce(F.col(a), F.col(b))).otherwise(F.col(a))
+    rows = rows.withColumns({a: F.when(~F.col("skipped"), both(a, b)) for a, b in stand_ins.items()})
+    rows = rows.withColumns({r.name: F.when(~F.col("skipped"), r.holds) for r in calculation})
+    rows = rows.withColumn("verdict", verdict(rules, conflict)).withColumn("verdict_as_known", verdict([*before, *known], conflict))
+    return rows.drop("__early", *[r.name for r in known])
+
+
 def ordered(long: DataFrame, rules: list[Rule]) -> DataFrame:
     """(…, rule, …) with place: by phase, then as the rules are listed."""
     phases = ["scope", "data", "calculation"]
