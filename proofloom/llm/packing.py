@@ -8,15 +8,18 @@ of what room they have left; the search goes from the tightest fit up until a co
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from proofloom.llm import words
 from proofloom.llm.near_dup import NearDup, near_duplicates
-from proofloom.llm.shared import WORD, cut, find_package, with_rows
+from proofloom.llm.shared import cut, find_package, with_rows
 
 
 @dataclass(frozen=True)
@@ -72,8 +75,18 @@ def pack_block(table: pa.Table, cfg: Packing) -> pa.Table:
     )
 
 
-def _size() -> Column:
-    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = [words.bounds(data, off)[2] for _, _, data, off in words.pieces(batch.column("text"))]
+        rest = batch.drop_columns(["text"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())], [*rest.schema.names, "size"])
+
+
+def with_size(docs: DataFrame) -> DataFrame:
+    """docs with the number of words of its text as size, in place of the text."""
+    find_package(docs.sparkSession)
+    kept = [f for f in docs.schema if f.name != "text"]
+    return docs.mapInArrow(words.tidied(_counted), StructType([*kept, StructField("size", LongType())]))
 
 
 def pack(docs: DataFrame, cfg: Packing | None = None) -> DataFrame:
@@ -84,7 +97,7 @@ def pack(docs: DataFrame, cfg: Packing | None = None) -> DataFrame:
     if docs has such a column; null is a source. Rows that repeat a doc_id are packed each. Further columns are ignored.
     """
     cluster = F.xxhash64("cluster") if "cluster" in docs.columns else F.xxhash64("text")
-    return pack_sizes(docs.select("doc_id", "source", _size().alias("size"), cluster.alias("cluster")), cfg or Packing())
+    return pack_sizes(with_size(docs.select("doc_id", "source", cluster.alias("cluster"), "text")), cfg or Packing())
 
 
 def pack_apart(docs: DataFrame, cfg: Packing | None = None, near: NearDup | None = None) -> DataFrame:
@@ -92,7 +105,7 @@ def pack_apart(docs: DataFrame, cfg: Packing | None = None, near: NearDup | None
     docs = with_rows(docs.sparkSession, docs.select("doc_id", "source", "text"))
     groups = near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), near or NearDup(percent=80))
     groups = groups.select(F.col("doc_id").alias("row"), F.xxhash64("component_id").alias("cluster"))
-    sized = docs.select("row", "doc_id", "source", _size().alias("size")).join(groups, "row")
+    sized = with_size(docs.select("row", "doc_id", "source", "text")).join(groups, "row")
     return pack_sizes(sized.select("doc_id", "source", "size", "cluster"), cfg or Packing())
 
 
