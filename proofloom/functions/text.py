@@ -15,10 +15,25 @@ def fold(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.translate(x, ACCENTED, FOLDED)), r"\s+", " "))
 
 
+# How numbers, units, serial numbers, fingerprints and days are written.
+_NUMERAL = r"[-+]?\d[\d.,]*"
+_UNIT = _NUMERAL + r"\s*([A-Za-z%/][A-Za-z%/°º]*)"
+_SERIAL = r"\b[A-Z]{2,4}(?:-[A-Z0-9]{2,6}){1,4}\b"
+_FINGERPRINT = r"(?i)\b[0-9a-f]{64}\b"
+_DAY, _ISO_DAY = r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", r"\b\d{4}-\d{2}-\d{2}\b"
+
+
+def canonical_number(x: Column) -> Column:
+    """The first number of a text, as text with a decimal point: points set thousands apart, a comma is the decimal sign. Null without one, or with several commas."""
+    raw = F.regexp_replace(F.regexp_extract(x, f"({_NUMERAL})", 1), "[.,]+$", "")
+    whole = F.replace(raw, F.lit("."), F.lit(""))
+    commas = F.regexp_count(raw, F.lit(","))
+    return F.when((raw != "") & (commas <= 1), F.replace(whole, F.lit(","), F.lit(".")))
+
+
 def spanish_number(x: Column) -> Column:
-    """The first number of a text with points for thousands and a decimal comma; null if there is none."""
-    found = F.regexp_extract(x, r"(-?\d{1,3}(?:\.\d{3})+(?:,\d+)?|-?\d+(?:,\d+)?)", 1)
-    return F.replace(F.replace(found, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("decimal(18,4)")
+    """canonical_number as a decimal."""
+    return canonical_number(x).try_cast("decimal(18,4)")
 
 
 def plain_decimal(x: Column) -> Column:
@@ -65,25 +80,25 @@ def typed(x: Column, kind: str) -> Column:
 
 
 def unit_of(x: Column) -> Column:
-    """The unit after the first number of a text; null if there is none."""
-    return F.nullif(F.regexp_extract(x, r"(-?\d{1,3}(?:\.\d{3})+(?:,\d+)?|-?\d+(?:,\d+)?)[ ]?([A-Za-z%]+)", 2), F.lit(""))
+    """The unit after the first number that has one; null if there is none."""
+    return F.nullif(F.regexp_extract(x, _UNIT, 1), F.lit(""))
 
 
 def serial_of(x: Column) -> Column:
-    """The first serial number: letters, a hyphen, letters or digits; in capitals."""
-    return F.nullif(F.regexp_extract(F.upper(x), r"([A-Z]{2,5}-[A-Z0-9]+(?:-[0-9]+)?)", 1), F.lit(""))
+    """The first serial number, in capitals: two to four letters, then up to four parts of two to six letters or digits, between hyphens."""
+    return F.nullif(F.regexp_extract(F.upper(x), f"({_SERIAL})", 1), F.lit(""))
 
 
 def hash_of(x: Column) -> Column:
-    """The first run of 64 hexadecimal digits."""
-    return F.nullif(F.regexp_extract(x, r"([0-9a-f]{64})", 1), F.lit(""))
+    """The first 64 hexadecimal digits that stand alone, in small letters."""
+    return F.nullif(F.lower(F.regexp_extract(x, f"({_FINGERPRINT})", 1)), F.lit(""))
 
 
 def iso_date(x: Column) -> Column:
-    """A day written day/month/year as an ISO date, else null."""
-    part = lambda k: F.lpad(F.regexp_extract(x, r"(\d{1,2})/(\d{1,2})/(\d{4})", k), 2, "0")
-    year = F.regexp_extract(x, r"(\d{1,2})/(\d{1,2})/(\d{4})", 3)
-    return F.when(year != "", F.concat_ws("-", year, part(2), part(1)))
+    """A day written day/month/year as an ISO date, else one that is written so already, else null."""
+    part = lambda k: F.lpad(F.regexp_extract(x, _DAY, k), 2, "0")
+    year = F.regexp_extract(x, _DAY, 3)
+    return F.when(year != "", F.concat_ws("-", year, part(2), part(1))).otherwise(F.nullif(F.regexp_extract(x, f"({_ISO_DAY})", 1), F.lit("")))
 
 
 def admitted_value(x: Column, admitted: list[str]) -> Column:
@@ -95,7 +110,7 @@ def admitted_value(x: Column, admitted: list[str]) -> Column:
 
 
 #: Notations of an instant, in the order in which they are tried.
-INSTANTS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd-MM-yyyy HH:mm")
+INSTANTS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd-MM-yyyy HH:mm", "yyyy-MM-dd")
 
 
 def tolerant_instant(x: Column) -> Column:

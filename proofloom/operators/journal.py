@@ -50,18 +50,21 @@ def index_codes(cases: DataFrame, code: str, case: str) -> tuple[DataFrame, Data
     return n.where("n = 1").select(code, case), n.where("n > 1").select(code, "n")
 
 
-def resolved(refs: DataFrame, ref: str, index: DataFrame, code: str, case: str, most_parts: int = 3) -> DataFrame:
-    """refs with the case of the code that a reference is or, failing that, that it holds between hyphens; null if none or several do.
+def resolved(refs: DataFrame, ref: str, index: DataFrame, code: str, case: str) -> DataFrame:
+    """refs with the case of the code that a reference is or, failing that, of the one code that it holds between hyphens; null if it holds none or several.
 
-    Codes have at most so many hyphenated parts. All runs of that many parts of a reference are looked up by equality: no pattern meets every code.
+    The longest code says how many hyphenated parts are looked up together; all runs of up to so many parts of a reference are held against the
+    codes by equality: no pattern meets every code. Blanks around a reference don't count.
     """
-    parts = F.split(ref, "-")
-    runs = F.flatten(F.transform(parts, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_parts), F.size(parts) - i)), lambda n: F.array_join(F.slice(parts, i + 1, n), "-"))))
+    most = index.agg(F.max(F.size(F.split(code, "-")))).first()[0] or 1
     rows = refs.withColumn("__id", F.monotonically_increasing_id())
-    tried = rows.select("__id", F.col(ref).alias("__ref"), F.explode(F.array_distinct(runs)).alias("__code"))
+    whole = F.trim(ref)
+    parts = F.split(whole, "-")
+    runs = F.flatten(F.transform(parts, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(parts) - i)), lambda n: F.array_join(F.slice(parts, i + 1, n), "-"))))
+    tried = rows.select("__id", whole.alias("__ref"), F.explode(F.array_distinct(runs)).alias("__code"))
     own = index.select(F.col(code).alias("__code"), F.col(case).alias("__case"))
-    hits = tried.join(own, "__code").groupBy("__id").agg(F.max(F.when(F.col("__code") == F.col("__ref"), F.col("__case"))).alias("exact"), F.min("__case").alias("lo"), F.max("__case").alias("hi"))
-    hits = hits.select("__id", F.coalesce("exact", F.when(F.col("lo") == F.col("hi"), F.col("lo"))).alias(case))
+    hits = tried.join(own, "__code").groupBy("__id").agg(F.max(F.when(F.col("__code") == F.col("__ref"), F.col("__case"))).alias("exact"), F.min("__case").alias("only"), F.count("*").alias("codes"))
+    hits = hits.select("__id", F.coalesce("exact", F.when(F.col("codes") == 1, F.col("only"))).alias(case))
     return rows.join(hits, "__id", "left").drop("__id")
 
 

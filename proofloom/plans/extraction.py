@@ -168,15 +168,14 @@ def q_series_evidence(t):
 
 # ---- values
 
-_NUM = r"(-?\d{1,3}(?:\.\d{3})+(?:,\d+)?|-?\d+(?:,\d+)?)"
-
-
-@query(rf"""WITH v AS (SELECT doc_id, regexp_extract(text, '{_NUM}', 1) AS num, regexp_extract(text, '{_NUM}[ ]?([A-Za-z%]+)', 2) AS unit, regexp_extract(upper(text), '([A-Z]{{2,5}}-[A-Z0-9]+(?:-[0-9]+)?)', 1) AS serial, regexp_extract(text, '([0-9a-f]{{64}})', 1) AS hash,
-regexp_extract(text, '(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})', 0) AS day FROM documents) SELECT doc_id, try_cast(nullif(replace(replace(num, '.', ''), ',', '.'), '') AS DECIMAL(18,4))::DOUBLE AS number, nullif(unit, '') AS unit, sha256(nullif(serial, '')) AS serial, nullif(hash, '') AS hash, nullif(day, '') AS day FROM v""")
+@query(r"""WITH v AS (SELECT doc_id, rtrim(regexp_extract(text, '[-+]?\d[\d.,]*'), '.,') AS num, regexp_extract(text, '[-+]?\d[\d.,]*\s*([A-Za-z%/][A-Za-z%/°º]*)', 1) AS unit, regexp_extract(upper(text), '\b[A-Z]{2,4}(?:-[A-Z0-9]{2,6}){1,4}\b') AS serial,
+lower(regexp_extract(text, '(?i)\b[0-9a-f]{64}\b')) AS hash, regexp_extract(text, '\b(\d{1,2})/(\d{1,2})/(\d{4})\b', ['d', 'm', 'y']) AS day, regexp_extract(text, '\b\d{4}-\d{2}-\d{2}\b') AS iso FROM documents)
+SELECT doc_id, CASE WHEN length(num) - length(replace(num, ',', '')) <= 1 THEN nullif(replace(replace(num, '.', ''), ',', '.'), '') END AS number, nullif(unit, '') AS unit, sha256(nullif(serial, '')) AS serial, nullif(hash, '') AS hash,
+CASE WHEN day.y <> '' THEN day.y || '-' || lpad(day.m, 2, '0') || '-' || lpad(day.d, 2, '0') ELSE nullif(iso, '') END AS day FROM v""")
 def q_field_values(t):
     """What converters find in the texts: a number, its unit, a serial number, a fingerprint, a day."""
     x = c("text")
-    return t("documents").select("doc_id", T.spanish_number(x).cast("double").alias("number"), T.unit_of(x).alias("unit"), F.sha2(T.serial_of(x), 256).alias("serial"), T.hash_of(x).alias("hash"), F.nullif(F.regexp_extract(x, r"(\d{1,2})/(\d{1,2})/(\d{4})", 0), lit("")).alias("day"))
+    return t("documents").select("doc_id", T.canonical_number(x).alias("number"), T.unit_of(x).alias("unit"), F.sha2(T.serial_of(x), 256).alias("serial"), T.hash_of(x).alias("hash"), T.iso_date(x).alias("day"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, strftime(l_shipdate, '%Y-%m-%d') AS iso, CASE WHEN l_partkey % 3 = 0 THEN 'ring' WHEN l_partkey % 3 = 1 THEN 'large ring' END AS admitted FROM lineitem""")

@@ -142,8 +142,8 @@ def q_ambiguous_codes(t):
 
 
 @query(f"""WITH {_CODES}, r AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'C' || o_custkey % 700 WHEN 1 THEN 'EX-C' || (o_custkey % 700) || '-B-2024' WHEN 2 THEN 'EX-C' || (o_custkey % 700) || '-' || o_orderkey WHEN 3 THEN 'XC' || o_custkey ELSE 'C' || (o_custkey % 700) || '-C' || (o_orderkey % 700) END AS ref FROM orders),
-x AS (SELECT o_orderkey, max(CASE WHEN ref = code THEN case_id END) AS exact, min(case_id) AS lo, max(case_id) AS hi FROM r JOIN i ON contains('-' || ref || '-', '-' || code || '-') GROUP BY 1)
-SELECT r.o_orderkey, coalesce(exact, CASE WHEN lo = hi THEN lo END) AS case_id FROM r LEFT JOIN x ON x.o_orderkey = r.o_orderkey""")
+x AS (SELECT o_orderkey, max(CASE WHEN ref = code THEN case_id END) AS exact, min(case_id) AS lo, count(*) AS n FROM r JOIN i ON contains('-' || ref || '-', '-' || code || '-') GROUP BY 1)
+SELECT r.o_orderkey, coalesce(exact, CASE WHEN n = 1 THEN lo END) AS case_id FROM r LEFT JOIN x ON x.o_orderkey = r.o_orderkey""")
 def q_resolved_references(t):
     """The case that a foreign reference means: its code, else the only one that it holds; by equality of its parts, not by trying every code."""
     k, cust = c("o_orderkey") % 5, c("o_custkey") % 700

@@ -26,7 +26,7 @@ class TableSpec:
 
 
 def read_table(spark: SparkSession, path: str, spec: TableSpec) -> tuple[DataFrame, list[str]]:
-    """The table and warnings about it. A wrong header, a value that doesn't fit its type, a key twice or a value of 0 or less is an error."""
+    """The table and warnings about it. A wrong header, a value that doesn't fit its type, a missing key or value, a key twice or a value of 0 or less is an error."""
     raw = spark.read.option("header", True).csv(path)
     if raw.columns != list(spec.columns):
         raise TableError(f"{spec.name}: header {raw.columns}, declared {list(spec.columns)}")
@@ -35,6 +35,9 @@ def read_table(spark: SparkSession, path: str, spec: TableSpec) -> tuple[DataFra
     bad = faults.agg(*[F.coalesce(F.count_if(F.col(c)), F.lit(0)).alias(c) for c in spec.columns]).first().asDict()
     if wrong := [c for c, n in bad.items() if n]:
         raise TableError(f"{spec.name}: values that don't fit in {wrong}")
+    empty = rows.agg(F.count_if(F.col(spec.key).isNull()).alias("keys"), F.count_if(F.col(spec.value).isNull()).alias("values")).first()
+    if empty["keys"] or empty["values"]:
+        raise TableError(f"{spec.name}: {empty['keys']} rows without {spec.key}, {empty['values']} without {spec.value}")
     sane = U.sanity(rows, spec.key, spec.value).first()
     if sane.not_rising or sane.not_positive:
         raise TableError(f"{spec.name}: {sane.not_rising} repeated keys, {sane.not_positive} values that aren't positive")

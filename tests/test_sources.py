@@ -42,7 +42,7 @@ def test_reference_tables_are_checked(spark, tmp_path):
     rows, warnings = tables.read_table(spark, write("kw,loss\n90,4.0\n110,5.55\n"), spec)
     assert [(r.kw, float(r.loss)) for r in rows.orderBy("kw").collect()] == [(90, 4.0), (110, 5.55)] and warnings == []
     assert tables.read_table(spark, write("kw,loss\n90,4.0\n110,3\n"), spec)[1]
-    for bad in ("loss,kw\n1,2\n", "kw,loss\n90,x\n", "kw,loss\n90,1\n90,2\n", "kw,loss\n90,-1\n"):
+    for bad in ("loss,kw\n1,2\n", "kw,loss\n90,x\n", "kw,loss\n90,1\n90,2\n", "kw,loss\n90,-1\n", "kw,loss\n,4.0\n", "kw,loss\n90,\n", "kw,loss\n90,4\n,\n"):
         with pytest.raises(tables.TableError):
             tables.read_table(spark, write(bad), spec)
     assert tables.undeclared(spec, {"kw", "price"}) == ["price"]
