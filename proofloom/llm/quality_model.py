@@ -22,7 +22,7 @@ from proofloom.llm.shared import find_package
 
 @dataclass(frozen=True)
 class QualityModel:
-    #: Rows, about, of trusted positives and of unlabelled texts that the model is fitted on; twice as many at most.
+    #: Rows, about, of trusted positives and of unlabelled texts that the model is fitted on.
     sample_rows: int = 8000
     steps: int = 1500
     rate: float = 0.05
@@ -116,9 +116,9 @@ def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
 
 
 def _bounded(df: DataFrame, rows: int, *by: str | Column) -> DataFrame:
-    """About rows rows, and never more than twice as many: those whose hash of 60 bits is low. by should tell all rows apart."""
+    """About rows rows: those whose hash of 60 bits is low. by tells all rows apart, so their number is binomial: twice as many are never drawn."""
     n = df.count()
-    return df.where(F.shiftrightunsigned(F.xxhash64(*by), 4) < F.lit(rows * (1 << 60) // n)).limit(2 * rows) if n > rows else df
+    return df.where(F.shiftrightunsigned(F.xxhash64(*by), 4) < F.lit(rows * (1 << 60) // n)) if n > rows else df
 
 
 def learn(docs: DataFrame, labels: DataFrame, cfg: QualityModel):

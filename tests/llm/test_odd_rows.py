@@ -209,4 +209,3 @@ def test_quality_model_of_rows_alike(spark):
         assert len(rows) == 6000 and len({r.score for r in rows}) == 1
     drawn = _bounded(few.withColumn("k", F.monotonically_increasing_id()), 500, "k").count()
     assert 300 < drawn <= 1000
-    assert _bounded(few, 500, "doc_id").count() <= 1000
