@@ -60,7 +60,7 @@ def test_tables_come_before_text_and_the_first_candidate_that_converts_counts(sp
         "the amount due is unknown\n1.000\namount: 5",  # first label in order, its next line
         "amount due, none\nnothing\nAmount 5 paid",  # of each label only the first line counts, and neither converts
         "Serial | MTR-1A\nDay of issue | 1/2/2024\nSERIAL | VSD-22\nAmount | 3",  # keys are inherited by what stands below
-        "Item | units | price\nAmount | 3\nTotal | 9",  # lines of an island are no fields
+        "Item | units | price\nAmount | 3\nTotal | 9",  # a line of an island is no row of labels, but it is text
         "Customer   name |  A  B \nday 2024-02-03 of issue",
         "customer\nname",  # words of different lines
         None,
@@ -73,6 +73,7 @@ def test_tables_come_before_text_and_the_first_candidate_that_converts_counts(sp
         (3, "total", "3", "table", "VSD-22", 3),
         (3, "unit", "MTR-1A", "table", "MTR-1A", 0),
         (3, "unit", "VSD-22", "table", "VSD-22", 2),
+        (4, "total", "3", "text", None, 1),
         (5, "name", "A B", "table", None, 0),
     ]
 
