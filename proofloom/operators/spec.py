@@ -25,6 +25,9 @@ class Variable:
     derived_from: tuple[str, ...] = ()
     source: str | None = None
     values: tuple[str, ...] = ()
+    #: Kinds of documents that say it. The key that a reference table is looked up by, if it comes from one ("": a table without a key).
+    documents: tuple[str, ...] = ()
+    table_key: str | None = None
     #: Whether rules count, sum or filter it: then it is a list and never in conflict.
     counted: bool = False
 
@@ -46,6 +49,13 @@ class Spec:
     since: date | None = None
     until: date | None = None
     enums: frozenset[str] = field(default_factory=frozenset)
+    #: Kinds of documents and whether a case must have them; outputs of the calculation and its controls with what they read; constants.
+    documents: dict[str, bool] = field(default_factory=dict)
+    output_reads: dict[str, tuple[str, tuple[str, ...]]] = field(default_factory=dict)
+    controls: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    constants: frozenset[str] = frozenset()
+    #: Whether a rule that can be mended asks for all documents that must be there.
+    asks_for_documents: bool = True
 
 
 def roots(spec: Spec, names: tuple[str, ...]) -> set[str]:
@@ -74,8 +84,8 @@ def phase_of(spec: Spec, rule: SpecRule) -> str:
 
 
 def level_of(spec: Spec, names: tuple[str, ...]) -> str:
-    """unit if any root is a unit's, else case."""
-    return "unit" if any(spec.variables.get(r, Variable(r)).level == "unit" for r in roots(spec, names)) else "case"
+    """unit if any name is a unit's, else case."""
+    return "unit" if any(is_unit(spec, n) for n in names) else "case"
 
 
 def collections(spec: Spec) -> list[str]:
@@ -96,11 +106,73 @@ def enum_values(spec: Spec) -> set[str]:
     return values
 
 
-def uncovered(spec: Spec) -> list[str]:
-    """Blocking rules that may stay open while no rule that can be mended reads what they lack: they would pass unseen."""
-    mended = [r for r in spec.rules if r.severity == "FIXABLE"]
-    seen = set().union(*[roots(spec, r.reads) for r in mended]) if mended else set()
-    return sorted(r.name for r in spec.rules if r.severity in ("SCOPE", "DATA") and not roots(spec, r.reads) & seen)
+def _under(root: str, kinds) -> list[str]:
+    """The kinds of documents that a name stands for: its own, or those that it begins."""
+    return sorted(k for k in kinds if k == root or k.startswith(root + "_"))
+
+
+def covered(spec: Spec, name: str) -> tuple[bool | None, tuple[str, ...]]:
+    """Whether something that can be mended tells when a name is missing, and the path that shows it: a witness, or what isn't covered. Null: no such name.
+
+    Covered is what a rule that can be mended reads; a variable of a document that a case must have; such a document itself; what is derived, looked up
+    or calculated from nothing but covered names; and a constant. A circle of derivations reopens nothing.
+    """
+    mended = set().union(*(roots(spec, r.reads) | set(r.reads) for r in spec.rules if r.severity == "FIXABLE"))
+    must = {k for k, needed in spec.documents.items() if needed} if spec.asks_for_documents else set()
+
+    def all_of(names: tuple[str, ...], path: tuple[str, ...]) -> tuple[bool | None, tuple[str, ...]]:
+        results = [walk(n, path) for n in names]
+        for want in (False, None):
+            if found := [p for ok, p in results if ok is want]:
+                return want, found[0]
+        return True, results[0][1] if results else path
+
+    def walk(n: str, above: tuple[str, ...]) -> tuple[bool | None, tuple[str, ...]]:
+        path = (*above, n)
+        if n in above:
+            return True, path
+        if n in mended:
+            return True, (*path, "a rule that can be mended")
+        if v := spec.variables.get(n):
+            if kinds := sorted(set(v.documents) & must):
+                return True, (*path, kinds[0])
+            if v.table_key is not None:
+                return (True, (*path, "a table")) if v.table_key == "" else walk(v.table_key, path)
+            return all_of(v.derived_from, path) if v.derived_from else (False, path)
+        if kinds := _under(n, must):
+            return True, (*path, kinds[0])
+        if n in spec.output_reads:
+            return all_of(spec.output_reads[n][1], path)
+        if n in spec.controls:
+            return all_of(spec.controls[n], path)
+        return (True, (*path, "a constant")) if n in spec.constants else (None, path)
+
+    return walk(name, ())
+
+
+def is_unit(spec: Spec, name: str, seen: frozenset[str] = frozenset()) -> bool:
+    """Whether a name is a unit's: a variable by its level, an output by what it is the output of, a control by what it reads, a document if all variables that it says are."""
+    if name in seen:
+        return False
+    if v := spec.variables.get(name):
+        return v.level == "unit" or any(is_unit(spec, x, seen | {name}) for x in v.derived_from)
+    if name in spec.output_reads:
+        return spec.output_reads[name][0] == "unit"
+    if name in spec.controls:
+        return any(is_unit(spec, x, seen | {name}) for x in spec.controls[name])
+    said = [v for v in spec.variables.values() if set(v.documents) & set(_under(name, spec.documents))]
+    return bool(said) and all(v.level == "unit" for v in said)
+
+
+def uncovered(spec: Spec) -> dict[str, tuple[str, ...]]:
+    """Blocking rules that may stay open unseen, each with the path to what nothing covers. Names that the specification doesn't have are passed over."""
+    out = {}
+    for r in spec.rules:
+        if r.severity in ("SCOPE", "DATA"):
+            for ok, path in (covered(spec, n) for n in r.reads):
+                if ok is False:
+                    out.setdefault(r.name, path)
+    return dict(sorted(out.items()))
 
 
 def load(spec: Spec, path: str) -> Spec:

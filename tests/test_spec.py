@@ -24,10 +24,66 @@ SPEC = P.Spec(
 def test_phases_levels_and_coverage():
     assert [P.phase_of(SPEC, r) for r in SPEC.rules] == ["scope", "data", "data", "calculation"]
     assert P.level_of(SPEC, ("loss",)) == "unit" and P.level_of(SPEC, ("owner",)) == "case"
-    assert P.uncovered(SPEC) == ["k", "s"] and P.roots(SPEC, ("h", "loss")) == {"h0", "h1", "pm"}
+    assert P.uncovered(SPEC) == {"s": ("kind",)} and P.roots(SPEC, ("h", "loss")) == {"h0", "h1", "pm"}
     assert P.collections(SPEC) == ["lines"] and P.derivations_for(SPEC, "log") == ["h0"] and P.enum_values(SPEC) == {"pump", "fan"}
 
 
+WHOLE = P.Spec(
+    "savings",
+    "1",
+    {
+        v.name: v
+        for v in (
+            V("mended"), V("shown", "unit", documents=("sheet", "plate")), V("hidden", documents=("plate",)), V("looked", "unit", table_key="shown"), V("table", table_key=""), V("unlooked", table_key="hidden"),
+            V("sum", derived_from=("mended", "looked")), V("gap", derived_from=("mended", "hidden")), V("odd", derived_from=("nothing", "mended")), V("round", derived_from=("round2",)), V("round2", derived_from=("round",)),
+        )
+    },
+    (P.SpecRule("m", "FIXABLE", ("mended",)), P.SpecRule("d", "DATA", ("total", "gap")), P.SpecRule("e", "SCOPE", ("unknown", "sum")), P.SpecRule("n", "NOTICE", ("hidden",))),
+    documents={"sheet": True, "plate": False, "photo_before": True, "photo_after": True},
+    output_reads={"total": ("case", ("sum",)), "each": ("unit", ("gap",))},
+    controls={"physical": ("total", "each"), "fine": ("total", "list")},
+    constants=frozenset({"list"}),
+)
+
+
+@pytest.mark.parametrize(
+    "name,ok,path",
+    [
+        ("mended", True, ("mended", "a rule that can be mended")),
+        ("shown", True, ("shown", "sheet")),
+        ("hidden", False, ("hidden",)),
+        ("photo", True, ("photo", "photo_after")),
+        ("plate", None, ("plate",)),
+        ("looked", True, ("looked", "shown", "sheet")),
+        ("unlooked", False, ("unlooked", "hidden")),
+        ("table", True, ("table", "a table")),
+        ("sum", True, ("sum", "mended", "a rule that can be mended")),
+        ("gap", False, ("gap", "hidden")),
+        ("odd", None, ("odd", "nothing")),
+        ("total", True, ("total", "sum", "mended", "a rule that can be mended")),
+        ("each", False, ("each", "gap", "hidden")),
+        ("physical", False, ("physical", "each", "gap", "hidden")),
+        ("fine", True, ("fine", "total", "sum", "mended", "a rule that can be mended")),
+        ("list", True, ("list", "a constant")),
+        ("round", True, ("round", "round2", "round")),
+        ("unknown", None, ("unknown",)),
+    ],
+)
+def test_coverage_with_a_witness(name, ok, path):
+    if name == "round":  # circles are errors elsewhere
+        assert P.covered(replace(WHOLE, rules=()), name) == (ok, path)
+    else:
+        assert P.covered(replace(WHOLE, variables={k: v for k, v in WHOLE.variables.items() if not k.startswith("round")}), name) == (ok, path)
+
+
+def test_coverage_without_a_rule_for_documents_and_levels():
+    whole = replace(WHOLE, variables={k: v for k, v in WHOLE.variables.items() if not k.startswith("round")})
+    assert P.uncovered(whole) == {"d": ("gap", "hidden")}
+    bare = replace(whole, asks_for_documents=False)
+    assert P.covered(bare, "shown") == (False, ("shown",)) and P.covered(bare, "photo")[0] is None and P.covered(bare, "looked")[0] is False
+    assert [n for n in ("shown", "hidden", "looked", "sum", "total", "each", "physical", "fine", "sheet", "plate", "photo", "list") if P.is_unit(whole, n)] == ["shown", "looked", "sum", "each", "physical", "sheet"]
+
+
 def test_what_may_not_be_loaded():
     assert P.load(SPEC, "spec/a.yaml") is SPEC
     for bad, path in ((SPEC, "spec/proposals/a.yaml"), (replace(SPEC, enums=frozenset({"pm"})), "a"), (replace(SPEC, rules=SPEC.rules * 2), "a"), (replace(SPEC, variables={"a": V("a", derived_from=("b",)), "b": V("b", derived_from=("a",))}, rules=(P.SpecRule("x", "DATA", ("a",)),)), "a")):
