@@ -1,4 +1,4 @@
-"""Folders of documents: files by content, their lines, parts with ids of their own, handoff folders that are read again after they were written."""
+"""Folders of documents: files by content, their lines, parts with ids of their own. ``tree`` writes folders and reads them again."""
 
 from __future__ import annotations
 
@@ -30,17 +30,3 @@ def ingested(files: DataFrame) -> DataFrame:
 def part_id(doc_id: Column, number: Column, page: Column) -> Column:
     """The id of a part of a combined document."""
     return F.sha2(F.concat(doc_id, F.lit(":p"), number.cast("string"), F.lit("-"), page.cast("string")), 256)
-
-
-def hand_off(rows: DataFrame, folder: str, key: str, content: str) -> DataFrame:
-    """Write a text file's worth of content for each row under folder/key=…, read all of it again, and say what differs: (key, status).
-
-    Writing is idempotent by content: the folder is replaced as a whole, and each row has its fingerprint beside it.
-    """
-    spark = rows.sparkSession
-    out = rows.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content"), F.sha2(content, 256).alias("sha"))
-    out.write.mode("overwrite").parquet(folder)
-    back = spark.read.parquet(folder).select("key", F.sha2("content", 256).alias("got"))
-    want = rows.select(F.col(key).cast("string").alias("key"), F.sha2(content, 256).alias("want"))
-    status = F.when(F.col("got").isNull(), "missing").when(F.col("want").isNull(), "extra").when(F.col("got") != F.col("want"), "altered").otherwise("ok")
-    return want.join(back, "key", "full").select("key", status.alias("status"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,27 @@ def write_log(events: DataFrame, path: str) -> None:
     rows.select("value").write.mode("append").text(path)
 
 
+def append_once(events: DataFrame, path: str) -> None:
+    """Append to a log by days what isn't there yet: a line is its own identity, so a job that is repeated adds nothing.
+
+    Only the days of the given events are read again. One writer at a time; what a failed job has written, Spark doesn't commit.
+    """
+    spark = events.sparkSession
+    rows = lines(events).dropDuplicates(["value"]).withColumn("day", F.to_date(F.get_json_object("value", "$.ts").cast("timestamp")))
+    days = [r.day for r in rows.select("day").distinct().collect()]  # those of one delivery
+    try:
+        there = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        there = None
+    if there is not None and "day" in there.columns:
+        same = F.col("day").isin([d for d in days if d is not None]) | F.col("day").isNull()
+        rows = rows.join(there.where(same).select(F.sha2("value", 256).alias("__sha")), F.sha2("value", 256) == F.col("__sha"), "left_anti")
+    rows = rows.repartition("day", "user_id").sortWithinPartitions("day", "user_id", "seq")
+    rows.select("value", "day").write.partitionBy("day").mode("append").text(path)
+
+
 def _parsed(raw: DataFrame) -> DataFrame:
     rows = raw.select(F.from_json("value", LINE).alias("e")).select("e.*")
     return rows.withColumn("ts", F.to_timestamp("ts")).withColumn("value", F.col("value").cast("decimal(18,4)"))

@@ -9,7 +9,7 @@ from proofloom.operators import export as X
 from proofloom.operators import log as L
 from proofloom.operators import lookup as U
 from proofloom.plans.catalogue import MOVES
-from proofloom.sources import files, jsonl, reports, tables
+from proofloom.sources import files, jsonl, reports, tables, tree
 from proofloom.streaming import journal as stream
 
 
@@ -25,10 +25,47 @@ def test_files_by_content(spark, tmp_path):
     assert part == hashlib.sha256(b"d:p2-5").hexdigest()
 
 
-def test_hand_off_reads_what_it_wrote(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, text string")
-    for _ in range(2):  # the same content again changes nothing
-        assert {tuple(r) for r in files.hand_off(rows, str(tmp_path / "out"), "k", "text").collect()} == {("1", "ok"), ("2", "ok")}
+def tree_of(folder):
+    return {str(p.relative_to(folder)): (p.read_bytes(), p.stat().st_mtime_ns) for p in folder.rglob("*") if p.is_file() and not any(x.startswith(".") for x in p.relative_to(folder).parts)}
+
+
+def test_hand_off_writes_a_tree_and_reads_it_again(spark, tmp_path):
+    out = tmp_path / "out"
+    rows = spark.createDataFrame([("case=1/report.md", "a"), ("case=1/data/x.json", "{}"), ("case=2/report.md", "ñ"), ("case=2/report.md", "ñ"), ("empty.txt", None)], "p string, text string").repartition(3)
+    first = {tuple(r) for r in tree.hand_off(rows, str(out), "p", "text").collect()}
+    paths = ["case=1/report.md", "case=1/data/x.json", "case=2/report.md", "empty.txt"]
+    assert first == {(p, "moved", "ok") for p in paths}
+    before = tree_of(out)
+    assert {k: v for k, (v, _) in before.items()} == {"case=1/report.md": b"a", "case=1/data/x.json": b"{}", "case=2/report.md": "ñ".encode(), "empty.txt": b""}
+    assert {tuple(r) for r in tree.hand_off(rows, str(out), "p", "text").collect()} == {(p, "kept", "ok") for p in paths}
+    assert tree_of(out) == before  # a second run touches no file
+    less = rows.where("p like 'case=1%'").withColumn("text", F.concat("text", F.lit("!")))
+    assert {tuple(r) for r in tree.hand_off(less, f"file://{out}", "p", "text").collect()} == {(p, "moved", "ok") for p in paths[:2]} | {(paths[2], None, "extra")}
+    assert not list(out.glob(".staging/*"))
+
+
+def test_a_hand_off_that_fails_leaves_nothing(spark, tmp_path):
+    out = tmp_path / "out"
+    rows = spark.range(200).selectExpr("concat('d', id, '/f.txt') as p", "if(id = 177, raise_error('half way'), string(id)) as text").repartition(2)
+    two = spark.createDataFrame([("a", "1"), ("a", "2")], "p string, text string")
+    bad = [spark.createDataFrame([("ok", "1"), (p, "2")], "p string, text string") for p in ("../x", "/x", "", None, "a/../../x", ".hidden", "a//b")]
+    for df in (rows, two, *bad):
+        with pytest.raises(Exception, match=r"half way|several contents|no path"):
+            tree.hand_off(df, str(out), "p", "text")
+        assert tree_of(out) == {} and not list(out.glob(".staging/*"))
+
+
+def test_a_log_that_is_appended_twice_has_every_event_once(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value").where("user_id < 10")
+    path = str(tmp_path / "log")
+    part = events.where("event_id % 2 = 0")
+    jsonl.append_once(part.union(part), path)
+    assert jsonl.read_log(spark, path).count() == part.count()
+    for _ in range(2):
+        jsonl.append_once(events, path)
+        assert jsonl.read_log(spark, path).count() == events.count() == jsonl.read_log(spark, path).select("event_id").distinct().count()
+    jsonl.append_once(events.where("1 = 0"), path)
+    assert jsonl.read_log(spark, path).count() == events.count()
 
 
 def test_reference_tables_are_checked(spark, tmp_path):
@@ -102,3 +139,47 @@ def test_mappings_are_checked_when_loaded():
     assert X.load_mapping({"a": "case.id"}, {"case"}) == {"a": "case.id"}
     with pytest.raises(X.UnknownField):
         X.load_mapping({"a": "cas.id"}, {"case"})
+
+
+def test_late_reports_enter_the_log_in_order(spark, tmp_path):
+    """A stream of several batches in shuffled arrival says what the same reports say in order; refusals are rows."""
+    import random
+    from datetime import datetime, timedelta
+
+    from proofloom.streaming import ordered
+
+    rnd = random.Random(4)
+    moves = {("OPEN", "a"): "ACTIVE", ("ACTIVE", "b"): "READY", ("READY", "c"): "SENT", ("SENT", "a"): "OPEN"}
+    begin = datetime(2024, 1, 1)
+    rows = [(k, begin + timedelta(minutes=rnd.randrange(600)), rnd.randrange(2), rnd.choice("abcd")) for k in range(5) for _ in range(40)]
+    rows += rnd.sample(rows, 30)  # alike reports
+    rows.sort(key=lambda r: r[1] + timedelta(minutes=rnd.randrange(100)))  # up to 100 minutes late
+    rows = [(k, at, {"a": 0, "b": 0}.get(kind, 1), i, kind) for i, (k, at, _, kind) in enumerate(rows)]
+    schema = "case_id long, at timestamp, rank int, arrival long, kind string"
+    log = tmp_path / "log"
+    parts = [rows[i : i + 30] for i in range(0, len(rows), 30)] + [[(99, begin + timedelta(days=9), 0, 10**6, "a")], [(99, begin + timedelta(days=10), 0, 10**6, "a")]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(log / f"p={i:03d}"))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ordered.PROVIDER)
+    try:
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(log / "p=*"))
+        q = ordered.in_order(source, moves, "OPEN", "101 minutes").writeStream.format("memory").queryName("ordered").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.awaitTermination(240)
+        assert q.exception() is None and len(q.recentProgress) > 5
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    first = {}
+    for k, at, rank, arrival, kind in rows:
+        first[k, at, kind] = min(first.get((k, at, kind), (rank, arrival)), (rank, arrival))
+    want = []
+    for k in range(5):
+        state = "OPEN"
+        own = sorted((at, rank, arrival, kind) for (c, at, kind), (rank, arrival) in first.items() if c == k)
+        for i, (at, _, arrival, kind) in enumerate(own, 1):
+            to = moves.get((state, kind))
+            state = to or state
+            want.append((k, i, at, kind, arrival, state, to is not None))
+    found = [(r.case_id, r.seq, r["at"], r.kind, r.arrival, r.state, r.accepted) for r in spark.table("ordered").where("case_id < 99").collect()]
+    assert sorted(found) == sorted(want)
+    assert {r[-1] for r in want} == {True, False}
