@@ -93,18 +93,41 @@ def test_interpolation_in_large_tables_equals_the_broadcast_way(spark, n):
     assert one == two
 
 
-def test_log_of_lines_and_its_stream(spark, sf, tmp_path):
-    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value").where("user_id < 20")
+@pytest.fixture
+def rocks(spark):
+    from proofloom.streaming.ordered import PROVIDER
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, PROVIDER)
+    yield
+    spark.conf.set(name, old)
+
+
+def ran(df, name, mode, folder):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(folder / name)).start()
+    q.awaitTermination(240)
+    assert q.exception() is None
+    return len(q.recentProgress)
+
+
+def events_of(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value").where("user_id < 20")
+
+
+def test_log_of_lines_and_its_stream(spark, sf, tmp_path, rocks):
+    """Chains and states that are carried on over several batches are those of the whole log."""
+    events = events_of(spark, sf)
     content = F.concat_ws(":", "event_id", "event_type")
     stored = L.linked(events, "user_id", ["ts", "event_id"], content)
-    jsonl.write_log(stored, str(tmp_path / "log"))
+    t1, t2 = events.agg(F.percentile_approx("ts", F.array(F.lit(0.3), F.lit(0.7)))).first()[0]
+    for part in (F.col("ts") < t1, (F.col("ts") >= t1) & (F.col("ts") < t2), F.col("ts") >= t2):
+        jsonl.write_log(stored.where(part), str(tmp_path / "log"))
     back = jsonl.read_log(spark, str(tmp_path / "log"))
     assert back.count() == events.count() and L.broken_links(back, "user_id", content).isEmpty()
     assert L.broken_links(back.withColumn("event_type", F.when(F.col("seq") == 2, "x").otherwise(F.col("event_type"))), "user_id", content).count() > 0
 
-    source = jsonl.stream_log(spark, str(tmp_path / "log"), files_a_time=100)
-    q = stream.carried(source, MOVES, "OPEN").writeStream.format("memory").queryName("carried").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
+    assert ran(stream.carried(jsonl.stream_log(spark, str(tmp_path / "log"), files_a_time=1), MOVES, "OPEN"), "carried", "append", tmp_path) > 2
     live = spark.table("carried")
     heads = {r.user_id: (r.n_events, r.head) for r in L.chained(events, "user_id", ["ts", "event_id"], content).collect()}
     last = live.groupBy("user_id").agg(F.max("seq").alias("n"), F.max_by("own_hash", "seq").alias("h"), F.max_by("state", "seq").alias("state"), F.count_if(~F.col("accepted")).alias("rejected")).collect()
@@ -113,17 +136,25 @@ def test_log_of_lines_and_its_stream(spark, sf, tmp_path):
     assert {r.user_id: (r.state, r.rejected) for r in last} == replayed
 
 
-def test_streams_drop_repeats_and_close_windows(spark, sf, tmp_path):
-    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value").where("user_id < 20")
-    jsonl.write_log(events.union(events.where("event_id % 2 = 0")), str(tmp_path / "log"))
-    rows = stream.once(jsonl.stream_log(spark, str(tmp_path / "log"), files_a_time=100), "40 days")
-    q = rows.writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "a")).start()
-    q.awaitTermination(120)
+def test_streams_drop_repeats_over_batches(spark, sf, tmp_path):
+    events = events_of(spark, sf)
+    jsonl.write_log(events, str(tmp_path / "log"))
+    jsonl.write_log(events.where("event_id % 2 = 0"), str(tmp_path / "log"))  # again, in later batches
+    assert ran(stream.once(jsonl.stream_log(spark, str(tmp_path / "log"), files_a_time=1), "40 days"), "once", "append", tmp_path) >= 2
     assert spark.table("once").count() == events.count()
-    windows = stream.counted(jsonl.stream_log(spark, str(tmp_path / "log"), files_a_time=100), "1 day", "40 days")
-    q = windows.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "b")).start()
-    q.awaitTermination(120)
-    assert spark.table("counted").agg(F.sum("n")).first()[0] == events.count() + events.where("event_id % 2 = 0").count()
+
+
+def test_windows_close_and_what_is_too_late_is_left_out(spark, tmp_path):
+    from datetime import datetime
+
+    at = lambda day, hour: datetime(2024, 1, day, hour)
+    batches = [[(1, at(1, 1), "a"), (2, at(1, 20), "b")], [(3, at(2, 5), "a"), (4, at(1, 23), "a")], [(5, at(3, 12), "a")], [(7, at(3, 13), "b")], [(6, at(1, 2), "a")], [(8, at(5, 0), "a")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(e, t, 1, k, 1.0) for e, t, k in rows], "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "in" / f"p={i}"))
+    source = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "p=*"))
+    assert ran(stream.counted(source, "1 day", "6 hours"), "counted", "append", tmp_path) >= 5
+    found = {(r.start.day, r.event_type): r.n for r in spark.table("counted").collect()}
+    assert found == {(1, "a"): 2, (1, "b"): 1, (2, "a"): 1, (3, "a"): 1, (3, "b"): 1}  # the late event of the first day came after it had closed; the fifth day is open
 
 
 def test_reports(spark, tmp_path):
@@ -141,7 +172,7 @@ def test_mappings_are_checked_when_loaded():
         X.load_mapping({"a": "cas.id"}, {"case"})
 
 
-def test_late_reports_enter_the_log_in_order(spark, tmp_path):
+def test_late_reports_enter_the_log_in_order(spark, tmp_path, rocks):
     """A stream of several batches in shuffled arrival says what the same reports say in order; refusals are rows."""
     import random
     from datetime import datetime, timedelta
@@ -160,15 +191,8 @@ def test_late_reports_enter_the_log_in_order(spark, tmp_path):
     parts = [rows[i : i + 30] for i in range(0, len(rows), 30)] + [[(99, begin + timedelta(days=9), 0, 10**6, "a")], [(99, begin + timedelta(days=10), 0, 10**6, "a")]]
     for i, part in enumerate(parts):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(log / f"p={i:03d}"))
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ordered.PROVIDER)
-    try:
-        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(log / "p=*"))
-        q = ordered.in_order(source, moves, "OPEN", "101 minutes").writeStream.format("memory").queryName("ordered").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-        q.awaitTermination(240)
-        assert q.exception() is None and len(q.recentProgress) > 5
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(log / "p=*"))
+    assert ran(ordered.in_order(source, moves, "OPEN", "101 minutes"), "ordered", "append", tmp_path) > 5
     first = {}
     for k, at, rank, arrival, kind in rows:
         first[k, at, kind] = min(first.get((k, at, kind), (rank, arrival)), (rank, arrival))
