@@ -70,3 +70,12 @@ def counts_where_not_told(found: DataFrame, told: DataFrame, keys: list[str], it
     counted = found.groupBy(*keys, item).agg(F.lit(1).alias("one")).where(F.col(item).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"))
     rest = counted.join(told, keys, "left_anti")
     return told.select(*keys, "n", F.lit(True).alias("explicit")).unionByName(rest.select(*keys, "n", F.lit(False).alias("explicit")))
+
+
+def suspects(facts: DataFrame, keys: list[str], value: str, unreliable: Column, said: DataFrame) -> DataFrame:
+    """The unreliable facts, whole, that disagree with what reliable ones say: facts with ``chosen``. said: (keys, value, raw) as ``consolidate`` gives it."""
+    sure = facts.where(~unreliable).select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    chosen = said.select(*[F.col(k).alias(f"__{k}") for k in keys], F.coalesce("value", "raw").alias("chosen"))
+    same = lambda rows: [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    rows = facts.where(unreliable).join(sure, same(facts), "left_semi").join(chosen, same(facts)).where(F.col(value) != F.col("chosen"))
+    return rows.drop(*[f"__{k}" for k in keys])

@@ -54,3 +54,27 @@ def verify_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:
 def seal(fields: dict[str, Column]) -> Column:
     """The fingerprint of a document without its seal."""
     return F.sha2(T.canonical_json({k: v for k, v in fields.items() if k != "seal"}), 256)
+
+
+def mapped(cases: DataFrame, keys: list[str], case: dict[str, tuple[Column, bool]], units: str, unit_key: str, unit: dict[str, tuple[str, bool]]) -> DataFrame:
+    """(keys, payload, shortfalls): a case mapped field by field, its units too, and what a mapping must have and doesn't find, with its place.
+
+    case: target -> (column, required); unit: target -> (field of an element of the array ``units``, required). A unit is named by its ``unit_key``, else by its place.
+    """
+    name = lambda u, i: F.coalesce(u[unit_key].cast("string"), i.cast("string"))
+    own = F.array_compact(F.array(*[F.when(v.isNull(), f"detail.case.{k}") for k, (v, must) in case.items() if must]))
+
+    def lacking(u: Column, i: Column) -> Column:
+        at = F.concat(F.lit("detail.units["), name(u, i), F.lit("]."))
+        return F.array_compact(F.array(*[F.when(u[f].isNull(), F.concat(at, F.lit(k))) for k, (f, must) in unit.items() if must]).cast("array<string>"))
+
+    fields = lambda u: F.struct(*[u[f].cast("string").alias(k) for k, (f, _) in unit.items()])
+    rows = F.transform(units, lambda u, i: F.struct(name(u, i).alias("key"), fields(u).alias("fields")))
+    detail = F.struct(F.struct(*[v.cast("string").alias(k) for k, (v, _) in case.items()]).alias("case"), rows.alias("units"))
+    missing = F.concat(own.cast("array<string>"), F.coalesce(F.flatten(F.transform(units, lacking)), F.array().cast("array<string>")))
+    return cases.select(*keys, F.to_json(F.struct(detail.alias("detail"))).alias("payload"), missing.alias("shortfalls"))
+
+
+def attachments(manifest: DataFrame) -> DataFrame:
+    """(path, kind, sha, bytes, origin, is_part): what travels with a case, from its manifest alone; nothing is read or hashed again."""
+    return manifest.select("path", "kind", "sha", "bytes", F.col("parent").alias("origin"), F.col("parent").isNotNull().alias("is_part"))

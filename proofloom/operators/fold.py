@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 _KEY, _CONTENT = "__key", "__content"
@@ -118,3 +118,28 @@ def replay_spans(events: DataFrame, key: str, order: list[str], states: list[str
         return F.struct(to["state"].alias("state"), (acc["rejected"] + to["rejected"]).alias("rejected"), F.coalesce(acc["error"], to["error"]).alias("error"))
 
     return spans.groupBy(key).agg(F.aggregate(per, zero(F.lit(start)), compose).alias("s")).select(key, "s.state", "s.rejected", "s.error")
+
+
+def replayed(events: DataFrame, key: str, order: list[str], kind: str, moves: dict[tuple[str, str], str], start: str) -> DataFrame:
+    """events with seq, state (after each of them) and accepted: each key's events in order over a graph of moves; a refused one leaves the state as it is.
+
+    A key's events are read in order by one task, which holds its state and no rows.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seq, state = None, 0, start
+        for batch, keys, kinds in _keyed(batches):
+            seqs, states, taken = [], [], []
+            for k, x in zip(keys, kinds, strict=True):
+                if k != last:
+                    last, seq, state = k, 0, start
+                to = moves.get((state, x))
+                seq, state = seq + 1, to or state
+                seqs.append(seq)
+                states.append(state)
+                taken.append(to is not None)
+            rest = batch.drop_columns([_KEY, _CONTENT])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(seqs, pa.int64()), pa.array(states, pa.string()), pa.array(taken, pa.bool_())], [*rest.schema.names, "seq", "state", "accepted"])
+
+    new = [StructField("seq", LongType()), StructField("state", StringType()), StructField("accepted", BooleanType())]
+    return _sorted(events, key, order, F.col(kind)).mapInArrow(walk, StructType([*events.schema.fields, *new]))

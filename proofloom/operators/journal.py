@@ -117,3 +117,14 @@ def rarest_terms(docs: DataFrame, doc: str, terms: Column, most: int, heavy: flo
     top = told.where("__heavy is not null").select(doc, "term", F.col("__heavy").alias("df")).unionByName(light.select(doc, "term", "df"))
     top = top.groupBy(doc).agg(best.alias("b"))  # a document's own terms
     return top.select(doc, F.posexplode("b").alias("i", "t")).select(doc, "t.term", "t.df", (F.col("i") + 1).alias("k"))
+
+
+def interpreted(reasons: DataFrame, keys: list[str], cited: DataFrame, scored_: DataFrame, item: str) -> DataFrame:
+    """(keys, item, confidence, by): what each reason is about, an explicit citation (100) before a likeness; a reason about nothing has one row, by "escalation".
+
+    cited: (keys, item); scored_: (keys, item, confidence). An item that is cited and alike is there once.
+    """
+    both = cited.select(*keys, item, F.lit(100).alias("confidence"), F.lit("citation").alias("by")).unionByName(scored_.select(*keys, item, "confidence", F.lit("likeness").alias("by")))
+    one = both.groupBy(*keys, item).agg(F.max(F.struct("confidence", "by")).alias("b")).select(*keys, item, "b.confidence", "b.by")
+    none = reasons.select(*keys).join(one.select(*keys).distinct(), keys, "left_anti")
+    return one.unionByName(none.select(*keys, F.lit(None).cast(dict(one.dtypes)[item]).alias(item), F.lit(None).cast("int").alias("confidence"), F.lit("escalation").alias("by")))

@@ -76,3 +76,26 @@ def peer_events(marked: DataFrame, members: DataFrame, group: str, member: str,
     """marked (group, named, …) for every member of its group: (…, member, direct). Each objection writes a row into each log of its bundle, as it must."""
     rows = marked.join(members, group)
     return rows.withColumn("direct", F.col(named) == F.col(member)).drop(group, named)
+
+
+# The kinds of events of a run, in the order in which they are recorded.
+RUN = ("case opened", "sheet assigned", "document registered", "document split", "document classified", "evidence proposed", "datum consolidated", "conflict detected", "observation recorded", "calculation done", "verdict given")
+
+
+def run_events(parts: dict[str, DataFrame], key: str) -> DataFrame:
+    """(key, rank, place, kind, payload) of a run: the events of all kinds that parts has, each (key, place, payload), in the order of kinds; place orders those of one kind."""
+    if unknown := sorted(set(parts) - set(RUN)):
+        raise ValueError(f"no such kinds of events: {', '.join(unknown)}")
+    out = None
+    for rank, kind in enumerate(RUN):
+        if kind in parts:
+            rows = parts[kind].select(key, F.lit(rank).alias("rank"), F.col("place").cast("string").alias("place"), F.lit(kind).alias("kind"), F.col("payload").cast("string").alias("payload"))
+            out = rows if out is None else out.union(rows)
+    if out is None:
+        raise ValueError("a run without events")
+    return out
+
+
+def recorded(parts: dict[str, DataFrame], key: str) -> DataFrame:
+    """The chained log of each case's run: (key, rank, place, kind, payload, seq, prev_hash, own_hash). The same run gives the same log, byte for byte."""
+    return fold.linked(run_events(parts, key), key, ["rank", "place", "payload"], F.concat_ws(":", "kind", "payload"))
