@@ -75,20 +75,26 @@ def term_weights(candidates: DataFrame, item: str, terms: Column) -> DataFrame:
     return rows.join(df, "term").select(item, "term", F.floor(F.lit(1_000_000) / F.col("df")).alias("w"))
 
 
+#: Weighted terms of candidates that are sent to all tasks; more of them meet the reasons' terms by a join.
+MOST_WEIGHTS = 200_000
+
+
 def scored(reasons: DataFrame, keys: list[str], terms: Column, weights: DataFrame, item: str, most: int = 3) -> DataFrame:
     """(keys, item, confidence): candidates that share a weight of 1 or a fifth of their own with a reason, the best three within six tenths of the best.
 
-    Confidence is the shared share in hundredths, 90 at most. Candidates are the rules and documents of one specification (hundreds), so a
-    term is in few of them; pairs are summed before they are ranked.
+    Confidence is the shared share in hundredths, 90 at most. Candidates are indexed by term. An index of a checked size is broadcast, so that the reasons'
+    terms, the frequent ones too, stay where they are; pairs are summed before they move. Of each reason no more than the best few are kept together.
     """
     whole = weights.groupBy(item).agg(F.sum("w").alias("whole"))
+    index = weights.groupBy("term").agg(F.collect_list(F.struct(item, "w")).alias("in"))  # a term's candidates: of hundreds, a few
+    index = F.broadcast(index) if weights.limit(MOST_WEIGHTS + 1).count() <= MOST_WEIGHTS else index
     said = reasons.select(*keys, F.explode(F.array_distinct(terms)).alias("term"))
-    pairs = said.join(weights, "term").groupBy(*keys, item).agg(F.sum("w").alias("shared")).join(F.broadcast(whole), item)
-    pairs = pairs.where((F.col("shared") >= 1_000_000) & (5 * F.col("shared") >= F.col("whole")))
-    top = F.slice(F.sort_array(F.collect_list(F.struct("shared", (-F.col(item)).alias("__i"), "whole")), asc=False), 1, most)
-    best = pairs.groupBy(*keys).agg(top.alias("top")).select(*keys, F.explode("top").alias("t"), F.col("top")[0]["shared"].alias("best"))
-    best = best.where(10 * F.col("t.shared") >= 6 * F.col("best"))
-    return best.select(*keys, (-F.col("t.__i")).alias(item), F.least(F.lit(90), F.floor(100 * F.col("t.shared") / F.col("t.whole"))).cast("int").alias("confidence"))
+    shared = said.join(index, "term").select(*keys, F.explode("in").alias("x")).groupBy(*keys, F.col(f"x.{item}").alias(item)).agg(F.sum("x.w").alias("shared"))
+    pairs = shared.where("shared >= 1000000").join(whole, item).where(5 * F.col("shared") >= F.col("whole"))
+    order = Window.partitionBy(*keys).orderBy(F.col("shared").desc(), item)
+    top = pairs.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= most).withColumn("best", F.max("shared").over(Window.partitionBy(*keys)))
+    top = top.where(10 * F.col("shared") >= 6 * F.col("best"))
+    return top.select(*keys, item, F.least(F.lit(90), F.floor(100 * F.col("shared") / F.col("whole"))).cast("int").alias("confidence"))
 
 
 def reopened(cases: DataFrame, checks: dict[str, Column]) -> DataFrame:
