@@ -15,6 +15,16 @@ def fold(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.translate(x, ACCENTED, FOLDED)), r"\s+", " "))
 
 
+def label_fold(x: Column) -> Column:
+    """fold, with ordinal and degree signs as letters: how labels and titles are compared."""
+    return fold(F.translate(x, "º°", "oo"))
+
+
+def header_fold(x: Column) -> Column:
+    """Lower case, blanks collapsed, accents kept: how the header of a table is compared."""
+    return F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
+
+
 # How numbers, units, serial numbers, fingerprints and days are written.
 _NUMERAL = r"[-+]?\d[\d.,]*"
 _UNIT = _NUMERAL + r"\s*([A-Za-z%/][A-Za-z%/°º]*)"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofloom.functions import text as T
+
 
 def rank_in(kind: Column, order: list[str]) -> Column:
     """The place of a kind in an order; unknown ones come last."""
@@ -79,3 +81,17 @@ def suspects(facts: DataFrame, keys: list[str], value: str, unreliable: Column,
     same = lambda rows: [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     rows = facts.where(unreliable).join(sure, same(facts), "left_semi").join(chosen, same(facts)).where(F.col(value) != F.col("chosen"))
     return rows.drop(*[f"__{k}" for k in keys])
+
+
+def levels(facts: DataFrame, variable: str, key: Column, declared: dict[str, str], unit_roots: list[str]) -> DataFrame:
+    """facts with level: the declared one of their variable, else unit if they have a key or their variable's root is a unit's, else case."""
+    said = F.try_element_at(F.create_map(*[x for n, v in declared.items() for x in (F.lit(n), F.lit(v))]), F.col(variable)) if declared else F.lit(None).cast("string")
+    root = F.split_part(F.col(variable), F.lit("."), F.lit(1))
+    return facts.withColumn("level", F.coalesce(said, F.when(key.isNotNull() | root.isin(*unit_roots), "unit").otherwise("case")))
+
+
+def renamed(docs: DataFrame, name: str, sha: str, declared: DataFrame) -> DataFrame:
+    """docs whose fingerprint somebody declares (declared: sha, name) under another name, with ``declared_name``. Names are compared folded; a declaration without a name tells nothing."""
+    own = declared.where("sha is not null and name is not null").select(F.lower("sha").alias("__sha"), F.col("name").alias("declared_name")).distinct()
+    rows = docs.join(own, F.lower(F.col(sha)) == F.col("__sha"))
+    return rows.where(T.fold(F.col(name)) != T.fold(F.col("declared_name"))).drop("__sha")

@@ -17,11 +17,6 @@ STOP = ["de", "del", "la", "el", "los", "las", "y", "en", "con", "the", "of"]
 _MARKS = r"[ :\-–—.]+"
 
 
-def folded_label(x: Column) -> Column:
-    """A label as it is compared: folded, ordinal signs as letters."""
-    return T.fold(F.translate(x, "º°", "oo"))
-
-
 def converted(raw: Column, kind: Column) -> Column:
     """raw as its type says (number, integer, date, text, serial, hash, code), as text; null if it doesn't convert."""
     number = T.canonical_number(raw)
@@ -67,7 +62,7 @@ def line_items(lines: DataFrame, doc: str, kinds: Column) -> DataFrame:
 def from_tables(lines: DataFrame, doc: str, kind: str, lexicon: DataFrame) -> DataFrame:
     """(doc, variable, value, evidence, key, row): every labelled cell that converts, with the key that stands last at or above it in its document."""
     pairs = lines.where(F.col("line").contains(CELLS) & F.col("island").isNull()).withColumn("__c", cells(F.col("line")))
-    pairs = pairs.select(doc, kind, "row", folded_label(F.get("__c", F.lit(0))).alias("label"), F.get("__c", F.lit(1)).alias("raw"))
+    pairs = pairs.select(doc, kind, "row", T.label_fold(F.get("__c", F.lit(0))).alias("label"), F.get("__c", F.lit(1)).alias("raw"))
     own = lexicon.select(F.col("kind").alias("__k"), F.col("label").alias("__l"), "variable", "type", "evidence", "is_key")
     hits = pairs.join(own, (F.col(kind) == F.col("__k")) & (F.col("label") == F.col("__l"))).withColumn("value", converted(F.col("raw"), F.col("type"))).where("value is not null")
     above = Window.partitionBy(doc).orderBy("row", "variable").rowsBetween(Window.unboundedPreceding, 0)

@@ -97,3 +97,22 @@ def best_kind(scored: DataFrame, key: str, kind: str, whole: DataFrame | None =
     rows = scored.withColumn("share", F.col("said").cast("double")) if whole is None else scored.join(whole.select(F.col(kind).alias("__k"), "n"), F.col(kind) == F.col("__k")).withColumn("share", F.col("said") / F.col("n")).drop("__k", "n")
     top = rows.where(F.col("share") >= least).groupBy(key).agg(F.min(F.struct((-F.col("share")).alias("s"), F.col(kind).alias("k"))).alias("b"))
     return top.select(key, F.col("b.k").alias(kind), (-F.col("b.s")).alias("share"))
+
+
+#: Weights of a title and of the share of phrases, and of that share without a title, in hundredths.
+TITLE, WITH_TITLE, WITHOUT_TITLE = 60, 40, 50
+
+
+def weighed(scored: DataFrame, key: str, kind: str, whole: DataFrame, titles: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(key, kind, score): six tenths for the kind that a text's title says and four for its share of phrases; without the title half of the share, and nothing where the text says what excludes the kind.
+
+    scored: (key, kind, said), whole: (kind, n), titles: (key, kind) of texts whose title says a kind, excluded: (key, kind). Kinds of score 0 are left out.
+    """
+    t = titles.select(F.col(key).alias("__k"), F.col(kind).alias("__t"), F.lit(True).alias("__titled"))
+    e = excluded.select(F.col(key).alias("__ek"), F.col(kind).alias("__et"), F.lit(True).alias("__out")).distinct()
+    every = scored.select(key, kind, "said").unionByName(titles.select(key, kind, F.lit(0).cast("long").alias("said"))).groupBy(key, kind).agg(F.max("said").alias("said"))
+    rows = every.join(whole.select(F.col(kind).alias("__w"), "n"), F.col(kind) == F.col("__w"))
+    rows = rows.join(t, (F.col(key) == F.col("__k")) & (F.col(kind) == F.col("__t")), "left").join(e, (F.col(key) == F.col("__ek")) & (F.col(kind) == F.col("__et")), "left")
+    share = F.col("said") / F.col("n")
+    score = F.when(F.col("__titled"), TITLE + WITH_TITLE * share).when(F.col("__out").isNull(), WITHOUT_TITLE * share)
+    return rows.select(key, kind, (score / 100).alias("score")).where("score > 0")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from proofloom.operators.fields import folded_label
 from pyspark.sql import functions as F
 
+from proofloom.functions import text as T
+
 # Kind of document; variable; type; evidence; labels, the first that is found counts. A star after the variable: it is a key of a unit.
 FIELDS = """
 ficha_cumplimentada; titular_razon_social; text; shown; propietario inicial del ahorro (titular) | titular
@@ -71,4 +71,4 @@ def field_rows(text: str = FIELDS) -> list[tuple]:
 def fields(spark: SparkSession, text: str = FIELDS) -> DataFrame:
     """The lexicon as a table, labels folded."""
     rows = spark.createDataFrame(field_rows(text), "kind string, label string, variable string, type string, evidence string, place int, in_text boolean, is_key boolean")
-    return rows.withColumn("label", folded_label(F.col("label")))
+    return rows.withColumn("label", T.label_fold(F.col("label")))
