@@ -78,3 +78,28 @@ def mapped(cases: DataFrame, keys: list[str], case: dict[str, tuple[Column, bool
 def attachments(manifest: DataFrame) -> DataFrame:
     """(path, kind, sha, bytes, origin, is_part): what travels with a case, from its manifest alone; nothing is read or hashed again."""
     return manifest.select("path", "kind", "sha", "bytes", F.col("parent").alias("origin"), F.col("parent").isNotNull().alias("is_part"))
+
+
+def paths_of(source: str) -> list[str]:
+    """The JSON paths that a dotted source may mean: keys with dots in them first, the longest first, then step by step."""
+    parts = source.split(".")
+
+    def ways(rest: list[str]) -> list[list[str]]:
+        if not rest:
+            return [[]]
+        return [[".".join(rest[:n]), *way] for n in range(len(rest), 0, -1) for way in ways(rest[n:])]
+
+    return ["$" + "".join(f"['{k}']" for k in way) for way in ways(parts)]
+
+
+def selected(rows: DataFrame, document: str, fields: list[tuple[str, str, bool]]) -> DataFrame:
+    """rows with ``payload``, a struct of each field's value as text, and ``shortfalls``, the targets of required fields without one, in order.
+
+    fields: (target, dotted source, required). A document is parsed once; what isn't JSON has nothing.
+    """
+    v = F.try_parse_json(F.col(document))
+    rows = rows.withColumn("__v", v)
+    value = lambda source: F.coalesce(*[F.try_variant_get("__v", p, "string") for p in paths_of(source)])
+    rows = rows.withColumn("payload", F.struct(*[value(source).alias(target) for target, source, _ in fields]))
+    missing = F.array_compact(F.array(*[F.when(F.col(f"payload.{t}").isNull(), t) for t, _, must in fields if must]))
+    return rows.withColumn("shortfalls", missing).drop("__v")

@@ -18,7 +18,7 @@ from proofloom.operators import lookup as U
 from proofloom.operators import metrics as M
 from proofloom.operators import series as S
 from proofloom.operators import verdict as V
-from proofloom.plans import casework, exchange, extraction, followup, journal, platform, reading, rulecase  # noqa: F401  their queries join the catalogue
+from proofloom.plans import casework, exchange, extraction, followup, journal, mapping, platform, reading, rulecase  # noqa: F401  their queries join the catalogue
 from proofloom.plans.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]

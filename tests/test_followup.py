@@ -60,3 +60,31 @@ def test_mapped_payloads_say_where_something_is_missing(spark):
     assert found[1][1] == ["detail.units[1].power"] and found[2][1] == ["detail.case.title"] and found[3][1] == []
     manifest = spark.createDataFrame([("a", "x", "s", 3, None), ("a#1", "x", None, None, "a")], "path string, kind string, sha string, bytes int, parent string")
     assert [tuple(r) for r in X.attachments(manifest).orderBy("path").collect()] == [("a", "x", "s", 3, None, False), ("a#1", "x", None, None, "a", True)]
+
+
+def test_sources_with_dots_in_their_keys(spark):
+    assert X.paths_of("a.b.c") == ["$['a.b.c']", "$['a.b']['c']", "$['a']['b.c']", "$['a']['b']['c']"]
+    docs = [(1, '{"a.b": {"c": 1}, "a": {"b": {"c": 2}}}'), (2, '{"a": {"b.c": 3}}'), (3, '{"a": {"b": {"c": 4}}}'), (4, "{}"), (5, "no json"), (6, None), (7, '{"a": {"b": {"c": null}}}')]
+    rows = X.selected(spark.createDataFrame(docs, "k int, d string"), "d", [("x", "a.b.c", True), ("y", "z", False)]).collect()
+    assert {r.k: (r.payload.x, r.shortfalls) for r in rows} == {1: ("1", []), 2: ("3", []), 3: ("4", []), 4: (None, ["x"]), 5: (None, ["x"]), 6: (None, ["x"]), 7: (None, ["x"])}
+
+
+def test_the_mapping_and_the_platform_table_are_whole():
+    from proofloom.plans import mapping, platform
+
+    for text, n in ((mapping.CASE, 32), (mapping.UNIT, 28)):
+        rows = mapping.rows_of(text)
+        assert len(rows) == len({r[0] for r in rows}) == n
+    assert X.load_mapping({a: b for a, b, _ in mapping.rows_of(mapping.CASE)}, mapping.TOP)
+    states = platform.state_rows()
+    assert len(states) == 19 and sum(r[3] for r in states) == 8 and {r[4] for r in states} == {None, "ENTREGADA", "EN_PLATAFORMA", "PENDIENTE_SUBSANACION", "CERRADA"}
+    assert all(r[5] is None or r[4] in ("CERRADA", "PENDIENTE_SUBSANACION") for r in states)
+
+
+def test_levels_and_renamed_documents(spark):
+    facts = spark.createDataFrame([("a.x", None), ("a.y", None), ("b", 1), ("b", None), ("c", 1)], "v string, k int")
+    found = [r.level for r in E.levels(facts, "v", F.col("k"), {"a.y": "case", "c": "case"}, ["a"]).collect()]
+    assert found == ["unit", "case", "unit", "case", "case"]
+    docs = spark.createDataFrame([(1, "Año.txt", "aa"), (2, "b", "bb"), (3, "c", "cc"), (4, None, "aa")], "d int, name string, sha string")
+    said = spark.createDataFrame([("AA", "ano.TXT"), ("bb", "other"), ("cc", None), (None, "x")], "sha string, name string")
+    assert [(r.d, r.declared_name) for r in E.renamed(docs, "name", "sha", said).collect()] == [(2, "other")]
