@@ -13,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
-from pyspark.sql.window import Window
 
 _KEY, _CONTENT = "__key", "__content"
 
@@ -95,13 +94,14 @@ def digests(rows: DataFrame, key: str, order: list[str], line: Column) -> DataFr
 def replay_spans(events: DataFrame, key: str, order: list[str], states: list[str], start: str, step: Callable[[Column, Column], Column], fields: list[Column], span: int = 1000) -> DataFrame:
     """(key, state, rejected, error) after all events of each key. step(state, event) is the next state, or null where the event is refused.
 
-    Events become spans of so many; of each span it is told where every state leads, how many events it refuses on the way and which refusal was
+    Events are sorted by ranges of key and order, so a key with very many of them is many tasks' work, and become spans of so many; of each span it is told where every state leads, how many events it refuses on the way and which refusal was
     the first (state -> event's ``kind``). A key's spans, a row for so many events, are then composed.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = events.select(key, F.row_number().over(w).alias("__i"), F.struct(*fields).alias("__e"))
+    by = [F.col(key), *[F.col(o) for o in order if o != key]]
+    rows = events.select(key, *[o for o in order if o != key], F.struct(*fields).alias("__e")).repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = rows.select(key, F.monotonically_increasing_id().alias("__i"), "__e")  # ascends from range to range and within each
     log = F.transform(F.array_sort(F.collect_list(F.struct("__i", "__e"))), lambda x: x["__e"])
-    spans = rows.groupBy(key, F.floor((F.col("__i") - 1) / span).alias("__span")).agg(log.alias("__log"))
+    spans = rows.groupBy(key, F.floor(F.col("__i") / span).alias("__span")).agg(log.alias("__log"))
 
     def after(acc: Column, e: Column) -> Column:
         to = step(acc["state"], e)

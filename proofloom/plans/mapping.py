@@ -94,7 +94,7 @@ def q_handoff_payload(t):
     used = lambda x: F.struct(x.cast("string").alias("valor_consumido"))
     document = F.to_json(
         F.struct(
-            o.cast("string").alias("codigo_identificativo_propio"), F.struct(lit("IND240").alias("codigo"), lit("1.1").alias("version_ficha")).alias("ficha"), lit("1").alias("modelo_version"),
+            o.cast("string").alias("codigo_identificativo_propio"), F.struct(lit("S-240").alias("codigo"), lit("1.1").alias("version_ficha")).alias("ficha"), lit("1").alias("modelo_version"),
             F.struct(used(F.concat(lit("N"), "o_custkey")).alias("titular_nif"), F.when(o % 3 == 0, used(o % 1000)).alias("convenio.ahorro_kwh")).alias("variables_actuacion"),
             F.struct(F.when(o % 4 > 0, F.format_string("%.2f", "o_totalprice")).alias("total")).alias("calculo"), F.struct(lit("FIXABLE").alias("veredicto")).alias("evaluacion"),
             F.struct(F.when(c("o_orderstatus") != "P", c("o_orderstatus")).alias("estado_ciclo")).alias("ciclo"),
