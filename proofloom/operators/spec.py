@@ -37,6 +37,10 @@ class SpecRule:
     name: str
     severity: str
     reads: tuple[str, ...]
+    #: What it counts, sums or filters, and what it looks up in a table; whether it is judged for each unit whatever it reads.
+    counts: tuple[str, ...] = ()
+    tables: tuple[str, ...] = ()
+    each_unit: bool = False
 
 
 @dataclass(frozen=True)
@@ -77,10 +81,15 @@ def roots(spec: Spec, names: tuple[str, ...]) -> set[str]:
 
 
 def phase_of(spec: Spec, rule: SpecRule) -> str:
-    """scope by severity; calculation if an output is read; else data."""
+    """scope by severity; calculation if an output or a control is read; else data."""
     if rule.severity == "SCOPE":
         return "scope"
-    return "calculation" if any(n in spec.outputs for n in rule.reads) else "data"
+    return "calculation" if any(n in spec.outputs or n in spec.output_reads or n in spec.controls for n in rule.reads) else "data"
+
+
+def blocks_calculation(spec: Spec, rule: SpecRule) -> bool:
+    """Whether a rule is judged before the calculation and may keep it from being done: by severity, or because it looks something up."""
+    return phase_of(spec, rule) != "calculation" and (rule.severity in ("SCOPE", "DATA") or bool(rule.tables))
 
 
 def level_of(spec: Spec, names: tuple[str, ...]) -> str:
@@ -89,8 +98,9 @@ def level_of(spec: Spec, names: tuple[str, ...]) -> str:
 
 
 def collections(spec: Spec) -> list[str]:
-    """Variables that are lists."""
-    return sorted(v.name for v in spec.variables.values() if v.counted)
+    """Variables that are lists: declared so, or counted, summed or filtered by some rule."""
+    used = {n for r in spec.rules for n in r.counts}
+    return sorted(v.name for v in spec.variables.values() if v.counted or v.name in used)
 
 
 def derivations_for(spec: Spec, source: str) -> list[str]:
@@ -230,3 +240,35 @@ def with_version(rows: DataFrame, day: Column, specs: list[Spec]) -> DataFrame:
         fits = fits & (day <= F.lit(s.until)) if s.until else fits
         version, sure = F.when(fits, s.version).otherwise(version), F.when(fits, True).otherwise(sure)
     return rows.withColumn("version", version).withColumn("in_force", sure)
+
+
+@dataclass(frozen=True)
+class Derived:
+    """A rule as it is judged."""
+
+    rule: SpecRule
+    phase: str
+    level: str
+    blocks: bool
+
+
+def derived(spec: Spec, path: str) -> tuple[list[Derived], list[str], list[str]]:
+    """What loading a specification yields: its rules in the order in which they are judged, the variables in the order in which they can be derived, and warnings.
+
+    Warned of is each blocking rule that may stay open unseen, with the path to what nothing covers.
+    """
+    load(spec, path)
+    phases = ["scope", "data", "calculation"]
+    rules = [Derived(r, phase_of(spec, r), "unit" if r.each_unit else level_of(spec, r.reads), blocks_calculation(spec, r)) for r in spec.rules]
+    rules.sort(key=lambda d: phases.index(d.phase))  # stable: as they are listed within a phase
+    order: list[str] = []
+
+    def place(name: str) -> None:
+        for x in spec.variables[name].derived_from if name in spec.variables else ():
+            place(x)
+        if name in spec.variables and spec.variables[name].derived_from and name not in order:
+            order.append(name)
+
+    for name in spec.variables:
+        place(name)
+    return rules, order, [f"{rule} may stay open unseen: {' -> '.join(p)} is not covered" for rule, p in uncovered(spec).items()]

@@ -25,6 +25,20 @@ def test_files_by_content(spark, tmp_path):
     assert part == hashlib.sha256(b"d:p2-5").hexdigest()
 
 
+def test_combined_documents_are_read_in_parts(spark, tmp_path):
+    texts = {"a.txt": "cover\fBILL 1\nx\fmore\fBILL 2", "b.txt": "BILL 3\fend", "c.md": "plain", "d.txt": "plain", "e.pdf": "BILL\fBILL", "f.txt": ""}
+    for name, content in texts.items():
+        (tmp_path / name).write_text(content)
+    pages = files.pages_of(files.files_of(spark, str(tmp_path)))
+    found = {(r.doc_id, r.first): r for r in files.read_documents(pages, F.col("text").startswith("BILL")).collect()}
+    sha = {n: hashlib.sha256(t.encode()).hexdigest() for n, t in texts.items()}
+    part = lambda n, i, p: hashlib.sha256(f"{sha[n]}:p{i}-{p}".encode()).hexdigest()
+    assert {k: (r.id, r.last, r.text) for k, r in found.items() if k[0] != sha["f.txt"]} == {
+        (sha["a.txt"], 2): (part("a.txt", 1, 2), 3, "BILL 1\nx\fmore"), (sha["a.txt"], 4): (part("a.txt", 2, 4), 4, "BILL 2"),
+        (sha["b.txt"], 1): (sha["b.txt"], 2, "BILL 3\fend"), (sha["c.md"], 1): (sha["c.md"], 1, "plain"),
+    }
+
+
 def tree_of(folder):
     return {str(p.relative_to(folder)): (p.read_bytes(), p.stat().st_mtime_ns) for p in folder.rglob("*") if p.is_file() and not any(x.startswith(".") for x in p.relative_to(folder).parts)}
 

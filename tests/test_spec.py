@@ -84,6 +84,20 @@ def test_coverage_without_a_rule_for_documents_and_levels():
     assert [n for n in ("shown", "hidden", "looked", "sum", "total", "each", "physical", "fine", "sheet", "plate", "photo", "list") if P.is_unit(whole, n)] == ["shown", "looked", "sum", "each", "physical", "sheet"]
 
 
+def test_what_loading_yields():
+    whole = replace(
+        WHOLE,
+        variables={k: v for k, v in WHOLE.variables.items() if not k.startswith("round")} | {"deep": V("deep", derived_from=("sum", "gap"))},
+        rules=(P.SpecRule("late", "DATA", ("physical",)), P.SpecRule("each", "FIXABLE", ("mended",), each_unit=True), P.SpecRule("look", "NOTICE", ("shown",), tables=("losses",)), P.SpecRule("first", "SCOPE", ("hidden",), counts=("mended",))),
+    )
+    rules, order, warnings = P.derived(whole, "spec/a.yaml")
+    assert [(d.rule.name, d.phase, d.level, d.blocks) for d in rules] == [("first", "scope", "case", True), ("each", "data", "unit", False), ("look", "data", "unit", True), ("late", "calculation", "unit", False)]
+    assert order == ["sum", "gap", "odd", "deep"] and warnings == ["first may stay open unseen: hidden is not covered", "late may stay open unseen: physical -> each -> gap -> hidden is not covered"]
+    assert P.collections(whole) == ["mended"]
+    with pytest.raises(P.SpecError):
+        P.derived(whole, "proposals/a.yaml")
+
+
 def test_what_may_not_be_loaded():
     assert P.load(SPEC, "spec/a.yaml") is SPEC
     for bad, path in ((SPEC, "spec/proposals/a.yaml"), (replace(SPEC, enums=frozenset({"pm"})), "a"), (replace(SPEC, rules=SPEC.rules * 2), "a"), (replace(SPEC, variables={"a": V("a", derived_from=("b",)), "b": V("b", derived_from=("a",))}, rules=(P.SpecRule("x", "DATA", ("a",)),)), "a")):
