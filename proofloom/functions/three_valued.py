@@ -37,6 +37,25 @@ def unique(items: Column) -> Column:
     return F.when(F.size(known) > 0, F.size(F.array_distinct(known)) == 1)
 
 
+def family(x: Column) -> Column:
+    """What kind of value a column has: boolean, number, text, date or bytes. Known when the plan is made."""
+    t = F.typeof(x)
+    number = t.isin("tinyint", "smallint", "int", "bigint", "float", "double") | t.startswith("decimal")
+    return F.when(t == "boolean", "boolean").when(number, "number").when(t == "string", "text").when(t.isin("date", "timestamp", "timestamp_ntz"), "date").otherwise("bytes")
+
+
+_COMPARED: dict[str, Callable[[Column, Column], Column]] = {
+    "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
+}
+
+
+def compare(a: Column, op: str, b: Column) -> Column:
+    """a op b within one family of values; open, and never a silent cast, between families, and where values that have no order (texts, booleans, bytes) are put in order."""
+    same = family(a) == family(b)
+    fits = same if op in ("==", "!=") else same & family(a).isin("number", "date")
+    return F.when(fits, _COMPARED[op](a, b))
+
+
 # ---- over the rows of a group
 
 

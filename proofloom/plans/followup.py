@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofloom.functions import text as T
+from proofloom.functions import three_valued as K
 from proofloom.operators import evidence as E
 from proofloom.operators import export as X
 from proofloom.operators import fold
@@ -189,3 +190,15 @@ def q_header_fields(t):
         for s in signals:
             field = F.when(T.fold(header).contains(s), name).otherwise(field)
     return t("part").select("p_partkey", header.alias("header"), field.alias("field"))
+
+
+@query("""SELECT p_brand, count(*) FILTER (p_size < p_retailprice / 100) AS numbers, count(*) FILTER (p_name = p_type) AS texts, count(*) FILTER (p_size <> p_partkey) AS unequal, 0::BIGINT AS across, count(*) AS open FROM part GROUP BY 1""")
+def q_typed_compare(t):
+    """Comparisons within a family of values; between families, and of texts by order, they stay open."""
+    holds = lambda a, op, b: F.count_if(K.compare(a, op, b))
+    rows = t("part").withColumn("day", F.to_date(lit("2024-01-01")))
+    across = [K.compare(c("p_size"), "<", c("p_name")), K.compare(c("p_name"), "==", c("p_partkey")), K.compare(c("p_name"), "<", c("p_type")), K.compare(c("day"), ">=", c("p_size")), K.compare(c("day"), "!=", c("p_name"))]
+    none = lit(True)
+    for x in across:
+        none = none & x.isNull()
+    return rows.groupBy("p_brand").agg(holds(c("p_size"), "<", c("p_retailprice") / 100).alias("numbers"), holds(c("p_name"), "==", c("p_type")).alias("texts"), holds(c("p_size"), "!=", c("p_partkey")).alias("unequal"), F.count_if(~none).alias("across"), F.count_if(none).alias("open"))

@@ -81,3 +81,18 @@ def test_the_rulebook_is_whole_and_both_worlds_differ(spark, sf):
     rows = rulecase.q_case_rules(spark, sf).collect()
     assert {"NOT_ELIGIBLE", "BLOCKED", "FIXABLE"} <= {r.verdict for r in rows}
     assert any(r.provisional and r.truncated is not None for r in rows) and all(r.truncated is None for r in rows if r.skipped)
+
+
+def test_comparisons_stay_within_a_family(spark):
+    from datetime import date
+
+    from proofloom.functions import three_valued as K
+
+    df = spark.createDataFrame([(1, 2.5, "1", "x", date(2024, 1, 1), True, None)], "i int, d double, s string, t string, day date, b boolean, n int")
+    c = F.col
+    cases = {
+        ("i", "<", "d"): True, ("i", "==", "d"): False, ("s", "==", "t"): False, ("s", "<", "t"): None, ("i", "==", "s"): None, ("t", "<", "i"): None, ("day", ">=", "day"): True, ("day", "<", "i"): None,
+        ("b", "==", "b"): True, ("b", "<", "b"): None, ("b", "==", "i"): None, ("i", "<", "n"): None, ("day", "!=", "s"): None,
+    }
+    row = df.select(*[K.compare(c(a), op, c(b)).alias(str(k)) for k, (a, op, b) in enumerate(cases)]).first()
+    assert list(row) == list(cases.values())
