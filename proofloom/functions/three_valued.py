@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,11 +37,13 @@ def unique(items: Column) -> Column:
     return F.when(F.size(known) > 0, F.size(F.array_distinct(known)) == 1)
 
 
-def family(x: Column) -> Column:
-    """What kind of value a column has: boolean, number, text, date or bytes. Known when the plan is made."""
-    t = F.typeof(x)
-    number = t.isin("tinyint", "smallint", "int", "bigint", "float", "double") | t.startswith("decimal")
-    return F.when(t == "boolean", "boolean").when(number, "number").when(t == "string", "text").when(t.isin("date", "timestamp", "timestamp_ntz"), "date").otherwise("bytes")
+def family(kind: str) -> str:
+    """What kind of values a Spark type has: boolean, number, text, date or bytes."""
+    if kind in ("boolean", "date"):
+        return kind
+    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+        return "number"
+    return "text" if kind == "string" else "date" if kind.startswith("timestamp") else "bytes"
 
 
 _COMPARED: dict[str, Callable[[Column, Column], Column]] = {
@@ -49,11 +51,11 @@ _COMPARED: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def compare(a: Column, op: str, b: Column) -> Column:
-    """a op b within one family of values; open, and never a silent cast, between families, and where values that have no order (texts, booleans, bytes) are put in order."""
-    same = family(a) == family(b)
-    fits = same if op in ("==", "!=") else same & family(a).isin("number", "date")
-    return F.when(fits, _COMPARED[op](a, b))
+def compare(rows: DataFrame, a: Column, op: str, b: Column) -> Column:
+    """a op b over rows, within one family of values. Open, and never a silent cast, between families, and where values that have no order (texts, booleans, bytes) are put in order."""
+    x, y = (family(kind) for _, kind in rows.select(a, b).dtypes)
+    fits = x == y and (op in ("==", "!=") or x in ("number", "date"))
+    return _COMPARED[op](a, b) if fits else F.lit(None).cast("boolean")
 
 
 # ---- over the rows of a group

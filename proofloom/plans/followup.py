@@ -195,9 +195,10 @@ def q_header_fields(t):
 @query("""SELECT p_brand, count(*) FILTER (p_size < p_retailprice / 100) AS numbers, count(*) FILTER (p_name = p_type) AS texts, count(*) FILTER (p_size <> p_partkey) AS unequal, 0::BIGINT AS across, count(*) AS open FROM part GROUP BY 1""")
 def q_typed_compare(t):
     """Comparisons within a family of values; between families, and of texts by order, they stay open."""
-    holds = lambda a, op, b: F.count_if(K.compare(a, op, b))
     rows = t("part").withColumn("day", F.to_date(lit("2024-01-01")))
-    across = [K.compare(c("p_size"), "<", c("p_name")), K.compare(c("p_name"), "==", c("p_partkey")), K.compare(c("p_name"), "<", c("p_type")), K.compare(c("day"), ">=", c("p_size")), K.compare(c("day"), "!=", c("p_name"))]
+    holds = lambda a, op, b: F.count_if(K.compare(rows, a, op, b))
+    pairs = [("p_size", "<", "p_name"), ("p_name", "==", "p_partkey"), ("p_name", "<", "p_type"), ("day", ">=", "p_size"), ("day", "!=", "p_name")]
+    across = [K.compare(rows, c(a), op, c(b)) for a, op, b in pairs]
     none = lit(True)
     for x in across:
         none = none & x.isNull()

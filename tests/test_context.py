@@ -94,5 +94,5 @@ def test_comparisons_stay_within_a_family(spark):
         ("i", "<", "d"): True, ("i", "==", "d"): False, ("s", "==", "t"): False, ("s", "<", "t"): None, ("i", "==", "s"): None, ("t", "<", "i"): None, ("day", ">=", "day"): True, ("day", "<", "i"): None,
         ("b", "==", "b"): True, ("b", "<", "b"): None, ("b", "==", "i"): None, ("i", "<", "n"): None, ("day", "!=", "s"): None,
     }
-    row = df.select(*[K.compare(c(a), op, c(b)).alias(str(k)) for k, (a, op, b) in enumerate(cases)]).first()
+    row = df.select(*[K.compare(df, c(a), op, c(b)).alias(str(k)) for k, (a, op, b) in enumerate(cases)]).first()
     assert list(row) == list(cases.values())
