@@ -37,6 +37,8 @@ class Media:
     level: int = 6
     #: Digests of payloads that several rows have are broadcast up to this number (32 bytes each), else joined by a shuffle of the texts.
     most_broadcast: int = 500_000
+    #: Bytes of a shard that are read together.
+    read_bytes: int = 1 << 18
 
 
 def padded(data: bytes, cfg: Media) -> bytes:
@@ -199,7 +201,8 @@ def media_columns(docs: DataFrame, cfg: Media | None = None, folder: str | None
         places = keep(cut(spark, places, "places"))
     collect_garbage(spark, every=0)
     shards = max(1, places.select("shard").distinct().count())
-    by_shard = places.repartition(shards, "shard").sortWithinPartitions("shard", "offset")
+    stretch = F.floor(F.col("offset") / cfg.read_bytes)  # shards hold from a few payloads to very many
+    by_shard = places.repartition(shards, F.col("shard"), stretch).sortWithinPartitions("shard", "offset")
     read = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, shard string, offset long, length long"
     found = by_shard.mapInArrow(tidied(read_shards), read)
     return docs.select("doc_id", n.alias("n_bytes"), digest.alias("digest")).join(found.hint("merge"), "digest").drop("digest")
