@@ -295,15 +295,16 @@ def token_files(docs: DataFrame, cfg: TokenFiles | None = None, folder: str | No
     """Write the ids of docs (doc_id, text) in the order of doc_id; (part, uri, docs, tokens, base) of the files.
 
     base is the number of ids in the files before. A null text is empty, every document has its end id. Null doc_ids come first; rows of one
-    doc_id stand in the order of their texts. Other columns are ignored.
+    doc_id stand in the order of their texts' first 32 characters, then of a hash. Other columns are ignored.
     """
     cfg = cfg or TokenFiles()
     cfg = cfg if cfg.vocabulary else replace(cfg, vocabulary=default_vocabulary())
     spark = docs.sparkSession
     find_package(spark)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("tie"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ordered = docs.repartitionByRange(min(cfg.most_files, max(1, -(-size // cfg.file_bytes))), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id"), F.substring("text", 1, 32), F.xxhash64("text"), F.col("tie")]  # rows without doc_id, and of one, are many ranges' too
+    ordered = docs.repartitionByRange(min(cfg.most_files, max(1, -(-size // cfg.file_bytes))), *order).sortWithinPartitions(*order).select("doc_id", "text")
     folder = folder or new_folder(spark, "tokens")
     files = cut(spark, ordered.mapInArrow(words.tidied(write_tokens, folder=folder, cfg=cfg), "part long, uri string, docs long, tokens long"), "files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file

@@ -209,3 +209,19 @@ def test_quality_model_of_rows_alike(spark):
         assert len(rows) == 6000 and len({r.score for r in rows}) == 1
     drawn = _bounded(few.withColumn("k", F.monotonically_increasing_id()), 500, "k").count()
     assert 300 < drawn <= 1000
+
+
+def test_token_files_split_rows_of_one_id(spark):
+    from proofloom.llm.tokens import TokenFiles, read_documents, token_files
+
+    rows = [(None, f"text {i % 7} " + "w " * 60) for i in range(300)] + [(5, "same " * 30)] * 300 + [(6, "end")]
+    files = token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), TokenFiles(length=32, batch=2, file_bytes=4000))
+    assert files.agg(F.max("docs")).first()[0] < 120 and files.count() > 10
+    found = sorted(read_documents(files).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None] * 300 + [5] * 300 + [6]
+    at = 0
+    for r in found:
+        assert r.start == at
+        at += r.n_tokens
+    crc = {t: zlib.crc32(np.array([*ids, 0], "<u4").tobytes()) for t, ids in zip({t for _, t in rows}, ids_of([t for t in {t for _, t in rows}]), strict=True)}
+    assert sorted(r.ids_crc32 for r in found) == sorted(crc[t] for _, t in rows)
