@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 from proofloom.functions import text as T
 
 CELLS = " | "
+#: Anchors of labels that go into the plan, so that lines are told by no other words; with more of them, all words of a line are.
+MOST_ANCHORS = 500
 STOP = ["de", "del", "la", "el", "los", "las", "y", "en", "con", "the", "of"]
 _MARKS = r"[ :\-–—.]+"
 
@@ -77,11 +79,15 @@ def from_text(lines: DataFrame, doc: str, kind: str, lexicon: DataFrame, found:
     own = lexicon.where("in_text").select(F.col("kind").alias("__k"), "variable", "type", "evidence", "place", words.alias("words"))
     longest = F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
     own = own.where(F.size("words") > 0).withColumn("anchor", longest)
-    said = lines.where(F.trim("line") != "").withColumn("tokens", T.keywords(F.translate("line", "()º°", "  oo"), []))
-    told = said.select(doc, kind, "row", "line", "after", "tokens", F.explode("tokens").alias("token"))
+    anchors = sorted(r.anchor for r in own.select("anchor").distinct().limit(MOST_ANCHORS + 1).collect())
+    plain = F.lower(F.translate(F.col("line"), T.ACCENTED, T.FOLDED))  # as long as the line
+    few = 0 < len(anchors) <= MOST_ANCHORS
+    said = lines.where(plain.rlike("|".join(anchors)) if few else F.trim("line") != "")  # anchors are letters and digits
+    said = said.withColumn("tokens", T.keywords(F.translate("line", "()º°", "  oo"), []))
+    some = F.array_intersect("tokens", F.array(*map(F.lit, anchors))) if few else F.col("tokens")
+    told = said.select(doc, kind, "row", "line", "after", "tokens", F.explode(some).alias("token"))
     hits = told.join(own, (F.col(kind) == F.col("__k")) & (F.col("token") == F.col("anchor"))).where(F.size(F.array_except("words", "tokens")) == 0)
     hits = hits.join(found.select(F.col(doc).alias("__d"), F.col("variable").alias("__v")).distinct(), (F.col(doc) == F.col("__d")) & (F.col("variable") == F.col("__v")), "left_anti")
-    plain = F.lower(F.translate(F.col("line"), T.ACCENTED, T.FOLDED))  # as long as the line
     end = F.array_max(F.transform("words", lambda w: F.length(plain) - F.instr(F.reverse(plain), F.reverse(w)) + 1))
     rest = F.regexp_replace(F.expr("substring(line, __end + 1)"), f"^{_MARKS}|{_MARKS}$", "")
     hits = hits.withColumn("__end", end).withColumn("value", F.coalesce(converted(rest, F.col("type")), converted(F.col("after"), F.col("type"))))
