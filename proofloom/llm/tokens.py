@@ -114,8 +114,9 @@ def splits_by_word(said: dict) -> bool:
 class Encoder:
     """Ids of texts by a byte-level vocabulary file of the tokenizers library, without special tokens added."""
 
-    #: Words remembered from batch to batch, and bytes of a batch.
+    #: Words remembered from batch to batch, words that the library takes at a time, and bytes of a batch.
     remembered = 400_000
+    encoded = 8192
     batch_bytes = 2 << 20
 
     def __init__(self, path: str):
@@ -143,11 +144,16 @@ class Encoder:
         new = distinct.filter(place.is_null())
         if not len(new):
             return place.to_numpy()
-        e = self.tokenizer.encode(new.to_pylist(), is_pretokenized=True, add_special_tokens=False)
-        count = np.bincount(np.array(e.word_ids, np.int64), minlength=len(new))
+        counts, ids = [], []
+        for i in range(0, len(new), self.encoded):
+            some = new.slice(i, self.encoded).to_pylist()
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
+            ids.append(np.array(e.ids, np.int64))
+        count = np.concatenate(counts)
         self.first = np.append(self.first, len(self.ids) + np.cumsum(count) - count)
         self.count = np.append(self.count, count)
-        self.ids = np.append(self.ids, np.array(e.ids, np.int64))
+        self.ids = np.concatenate([self.ids, *ids])
         fresh = np.arange(len(self.words), len(self.words) + len(new))
         self.words = pa.concat_arrays([self.words, new])
         place = place.fill_null(-1).to_numpy().astype(np.int64)
