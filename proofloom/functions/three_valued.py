@@ -33,8 +33,8 @@ def for_each(items: Column, holds: Callable[[Column], Column]) -> Column:
 
 def unique(items: Column) -> Column:
     """Whether there is one distinct item besides nulls; null if there is none."""
-    known = F.filter(items, lambda e: e.isNotNull())
-    return F.when(F.size(known) > 0, F.size(F.array_distinct(known)) == 1)
+    known = F.array_except(items, F.array(F.lit(None)))  # compiled with what makes the items, as a lambda isn't
+    return F.when(F.size(known) > 0, F.size(known) == 1)
 
 
 def family(kind: str) -> str:

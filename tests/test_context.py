@@ -96,3 +96,29 @@ def test_comparisons_stay_within_a_family(spark):
     }
     row = df.select(*[K.compare(df, c(a), op, c(b)).alias(str(k)) for k, (a, op, b) in enumerate(cases)]).first()
     assert list(row) == list(cases.values())
+
+
+def test_facts_that_rows_tell_of_themselves_are_as_facts_in_rows_and_nothing_moves(spark):
+    c = F.col
+    told = [
+        ("P", "plate", "shown", c("a")), ("P", "sheet", "shown", c("b")), ("P", "letter", "declared", c("x")), ("P", "odd", "shown", F.lit("none")), ("P", "plate", "shown", c("x")),
+        ("N", "b", "declared", c("x")), ("N", "a", "derived", c("y")), ("L", "x", "shown", c("a")), ("L", "y", "shown", c("b")), ("L", "y", "shown", F.when(c("y") > 3, "w")), ("other", "x", "shown", c("a")),
+    ]
+    declared = [X.Datum("P", "decimal(9,2)"), X.Datum("N", "int"), X.Datum("L", many=True), X.Datum("Z")]
+    rows = spark.createDataFrame([(1, "7.50", "7.5", 8, 3), (2, None, "1", None, 4), (3, "1", "1", 1, None), (4, None, None, None, None)], "case_id int, a string, b string, x int, y int")
+    each = F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(s).alias("source"), F.lit(k).alias("kind"), x.cast("string").alias("value")) for v, s, k, x in told])
+    facts = rows.select("case_id", F.explode(each).alias("f")).select("case_id", "f.*")
+    order = (["derived", "shown"], ["sheet", "plate"])
+    in_rows, own = X.datum_rows(facts, ["case_id"], declared, *order), X.told_rows(rows, ["case_id"], told, declared, *order)
+    fields = [f"{n}.{f}" for n in ("P", "N", "Z") for f in ("value", "kind", "source")] + [f"{n}.{f}" for n in ("P", "N") for f in ("by_source", "by_kind")] + ["L.value"]
+    say = lambda df: sorted(str(tuple(r)) for r in df.select("case_id", *[(F.array_sort(F.map_entries(c(f))) if "by_" in f else c(f)) for f in fields], X.agreed("P"), X.of_kind("N", "declared"), X.in_conflict(declared)).collect())
+    assert say(own.where("case_id < 4")) == say(in_rows.where("case_id < 4"))
+    four = own.where("case_id = 4").first()
+    assert (four.N.value, four.N.conflict, four.L.value, four.P.by_source) == (None, False, None, {"odd": None})
+    assert "Exchange" not in str(own._jdf.queryExecution().executedPlan())
+
+
+def test_units_and_cases_tell_their_facts_without_a_row_for_each(spark, sf):
+    plan = str(rulecase.q_unit_context(spark, sf)._jdf.queryExecution().executedPlan())
+    assert "Exchange" not in plan and "Generate" not in plan
+    assert "Generate" not in str(rulecase.q_case_rules(spark, sf)._jdf.queryExecution().executedPlan())
