@@ -80,6 +80,36 @@ def heads(rows: DataFrame, key: str, order: list[str], content: Column) -> DataF
     return _per_key(rows, key, order, content, str, step, str, "head")
 
 
+def heads_by_kind(rows: DataFrame, key: str, order: list[str], content: Column, kind: str) -> DataFrame:
+    """(key, n, kinds, head): ``heads``, and how many kinds a key's rows are of. order begins with kind; rows are dealt by key already."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, last, n, kinds, seen, head, type_ = False, None, 0, 0, None, "", None
+        names = [key, "n", "kinds", "head"]
+
+        def batch_of(done: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], type_), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string())], names)
+
+        for batch in batches:
+            type_, done = batch.schema.field(key).type, []
+            for k, x, text in zip(batch.column(key).to_pylist(), batch.column(kind).to_pylist(), batch.column(_CONTENT).to_pylist(), strict=True):
+                if not some or k != last:
+                    if some:
+                        done.append((last, n, kinds, head))
+                    some, last, n, kinds, seen, head = True, k, 0, 0, None, ""
+                if kinds == 0 or x != seen:
+                    kinds, seen = kinds + 1, x
+                n, head = n + 1, hashlib.sha256(f"{head}|{text}".encode()).hexdigest()
+            yield batch_of(done)
+        if some:
+            yield batch_of([(last, n, kinds, head)])
+
+    schema = StructType([rows.schema[key], StructField("n", LongType()), StructField("kinds", LongType()), StructField("head", StringType())])
+    told = rows.sortWithinPartitions(key, *order).select(key, kind, F.coalesce(content, F.lit("")).alias(_CONTENT))  # what is read is made of sorted rows
+    return told.mapInArrow(fold, schema)
+
+
 def digests(rows: DataFrame, key: str, order: list[str], line: Column) -> DataFrame:
     """(key, n, sha256) of each key's lines in order, joined by line ends."""
 

@@ -72,30 +72,69 @@ def documents(events: DataFrame, doc: str, order: str, registers: Column, splits
     return rows.where("registered > 0 and not split").drop("split")
 
 
-def peer_events(marked: DataFrame, members: DataFrame, group: str, member: str, named: str) -> DataFrame:
-    """marked (group, named, …) for every member of its group: (…, member, direct). Each objection writes a row into each log of its bundle, as it must."""
-    rows = marked.join(members, group)
-    return rows.withColumn("direct", F.col(named) == F.col(member)).drop(group, named)
+#: Members of a group that meet an objection in one task; more of them are dealt to further tasks.
+SLICE = 500
+
+
+def peer_events(marked: DataFrame, members: DataFrame, group: str, member: str, named: str, event: str | None = None, known: DataFrame | None = None) -> DataFrame:
+    """marked (group, named, …) for every member of its group: (…, member, direct). Each objection writes a row into each log of its bundle, as it must.
+
+    known (member, event): what logs have already is left out. It meets the objections before they are multiplied, so that the product, which grows with
+    objections times members, never moves. Members of a group are dealt to slices, so that a large group is many tasks' work.
+    """
+    if known is not None:
+        own = known.select(F.col(event).alias("__e"), F.col(member).alias("__had")).join(marked.select(F.col(event).alias("__e")).distinct(), "__e").groupBy("__e").agg(F.collect_set("__had").alias("__had"))
+        marked = marked.join(own, F.col(event) == F.col("__e"), "left").drop("__e")
+    most = members.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    n = -(-most // SLICE) or 1
+    dealt = members.withColumn("__slice", F.pmod(F.xxhash64(member), F.lit(n)).cast("int"))
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as few small rows make many: adaptive execution would put them into one task
+    sides = (marked.withColumn("__slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), dealt)
+    left, right = (x.repartition(tasks, group, "__slice") for x in sides)
+    rows = left.join(right, [group, "__slice"])
+    if known is not None:
+        rows = rows.where(~F.coalesce(F.array_contains("__had", F.col(member)), F.lit(False))).drop("__had")
+    return rows.withColumn("direct", F.col(named) == F.col(member)).drop(group, named, "__slice")
 
 
 # The kinds of events of a run, in the order in which they are recorded.
 RUN = ("case opened", "sheet assigned", "document registered", "document split", "document classified", "evidence proposed", "datum consolidated", "conflict detected", "observation recorded", "calculation done", "verdict given")
 
 
-def run_events(parts: dict[str, DataFrame], key: str) -> DataFrame:
-    """(key, rank, place, kind, payload) of a run: the events of all kinds that parts has, each (key, place, payload), in the order of kinds; place orders those of one kind."""
+def _coded(parts: dict[str, DataFrame], key: str) -> DataFrame:
+    """(key, rank, place, payload) of all kinds that parts has."""
     if unknown := sorted(set(parts) - set(RUN)):
         raise ValueError(f"no such kinds of events: {', '.join(unknown)}")
     out = None
     for rank, kind in enumerate(RUN):
         if kind in parts:
-            rows = parts[kind].select(key, F.lit(rank).alias("rank"), F.col("place").cast("string").alias("place"), F.lit(kind).alias("kind"), F.col("payload").cast("string").alias("payload"))
+            rows = parts[kind].select(key, F.lit(rank).alias("rank"), F.col("place").cast("string").alias("place"), F.col("payload").cast("string").alias("payload"))
             out = rows if out is None else out.union(rows)
     if out is None:
         raise ValueError("a run without events")
     return out
 
 
+def _kind() -> Column:
+    return F.element_at(F.array(*map(F.lit, RUN)), F.col("rank") + 1)
+
+
+def run_events(parts: dict[str, DataFrame], key: str) -> DataFrame:
+    """(key, rank, place, kind, payload) of a run: the events of all kinds that parts has, each (key, place, payload), in the order of kinds; place orders those of one kind."""
+    return _coded(parts, key).select(key, "rank", "place", _kind().alias("kind"), "payload")
+
+
 def recorded(parts: dict[str, DataFrame], key: str) -> DataFrame:
     """The chained log of each case's run: (key, rank, place, kind, payload, seq, prev_hash, own_hash). The same run gives the same log, byte for byte."""
     return fold.linked(run_events(parts, key), key, ["rank", "place", "payload"], F.concat_ws(":", "kind", "payload"))
+
+
+def recorded_heads(parts: dict[str, DataFrame], key: str, digested: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n, kinds, head): how many events ``recorded`` has of each case, of how many kinds, and its last hash. Payloads of the kinds in digested are their SHA-256.
+
+    Events move once, by the number of their kind and with what a payload is made of; texts and digests are made where they are read, and only heads come out.
+    """
+    rows = _coded(parts, key).repartition(key)
+    if digested:
+        rows = rows.withColumn("payload", F.when(F.col("rank").isin([RUN.index(k) for k in digested]), F.sha2("payload", 256)).otherwise(F.col("payload")))
+    return fold.heads_by_kind(rows, key, ["rank", "place", "payload"], F.concat_ws(":", _kind(), "payload"), "rank")

@@ -88,3 +88,31 @@ def test_levels_and_renamed_documents(spark):
     docs = spark.createDataFrame([(1, "Año.txt", "aa"), (2, "b", "bb"), (3, "c", "cc"), (4, None, "aa")], "d int, name string, sha string")
     said = spark.createDataFrame([("AA", "ano.TXT"), ("bb", "other"), ("cc", None), (None, "x")], "sha string, name string")
     assert [(r.d, r.declared_name) for r in E.renamed(docs, "name", "sha", said).collect()] == [(2, "other")]
+
+
+def test_objections_meet_what_logs_have_before_they_are_multiplied(spark, monkeypatch):
+    from proofloom.operators import log as L
+
+    monkeypatch.setattr(L, "SLICE", 2)  # a group of many members is dealt to slices
+    members = spark.createDataFrame([(i % 2, i) for i in range(20)] + [(None, 99)], "g int, u int")
+    marked = spark.createDataFrame([(0, 4, 7), (1, 5, 8), (0, 2, 7), (3, 1, 9), (1, 1, None)], "g int, named int, e int")
+    known = spark.createDataFrame([(4, 7), (6, 7), (6, 7), (3, 8), (2, 8), (1, None)], "u int, e int")
+    rows = L.peer_events(marked, members, "g", "u", "named", "e", known)
+    has = {(r.u, r.e) for r in known.collect() if r.e is not None}
+    want = [(u, e, named == u) for g, named, e in [(0, 4, 7), (1, 5, 8), (0, 2, 7), (1, 1, None)] for u in range(g, 20, 2) if (u, e) not in has]
+    assert sorted(map(str, (tuple(r) for r in rows.select("u", "e", "direct").collect()))) == sorted(map(str, want))
+    above = str(rows._jdf.queryExecution().optimizedPlan()).split("Join Inner")[0]
+    assert "Anti" not in above  # nothing is looked up in the product
+
+
+def test_heads_of_runs_move_their_events_once(spark):
+    from proofloom.operators import log as L
+
+    one = lambda rows: spark.createDataFrame(rows, "k int, place string, payload string")
+    parts = {"case opened": one([(1, "", "O"), (2, "", "F"), (None, "", "x")]), "document registered": one([(1, "2", "a/b"), (1, "1", "c/d"), (2, "1", None)]), "verdict given": one([(1, "", "done")])}
+    made = dict(parts, **{"document registered": parts["document registered"].withColumn("payload", F.sha2("payload", 256))})
+    log = L.recorded(made, "k").collect()
+    want = {k: (len(rows), len({r.kind for r in rows}), max(rows, key=lambda r: r.seq).own_hash) for k in (1, 2, None) for rows in [[r for r in log if r.k == k]]}
+    found = L.recorded_heads(parts, "k", digested=("document registered",))
+    assert {r.k: (r.n, r.kinds, r.head) for r in found.collect()} == want
+    assert str(found._jdf.queryExecution().executedPlan()).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
