@@ -171,8 +171,8 @@ def q_contagion_events(t):
     e = t("events")
     members = e.select((c("user_id") % 10).alias("bundle"), "user_id").distinct()
     marked = e.where("event_type = 'error' and value > 190").select((c("user_id") % 10).alias("bundle"), c("user_id").alias("named"), "event_id")
-    rows = L.peer_events(marked, members, "bundle", "user_id", "named")
-    return rows.join(e.where("value < 195").select("user_id", "event_id"), ["user_id", "event_id"], "left_anti").select("user_id", "event_id", "direct")
+    known = e.where("value < 195").select("user_id", "event_id")
+    return L.peer_events(marked, members, "bundle", "user_id", "named", "event_id", known).select("user_id", "event_id", "direct")
 
 
 # ---- interpretation
