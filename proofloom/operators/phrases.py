@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +43,32 @@ def _automaton(sent):
     return _built[sent.value[0]]
 
 
+#: Characters of texts that a worker has as Python objects at once, and hits after which it hands over what it has.
+MOST_READ, MOST_HITS = 2_000_000, 20_000
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:
+    """(row, text) of a batch; no more texts than ``MOST_READ`` are Python objects together, unless a single one is longer."""
+    rows, texts = batch.column("row"), batch.column("text")
+    sizes = pc.binary_length(texts).to_pylist()
+    start = held = 0
+    for i, n in enumerate([*sizes, None]):
+        if n is None or (held + n > MOST_READ and i > start):
+            yield from zip(rows.slice(start, i - start).to_pylist(), texts.slice(start, i - start).to_pylist(), strict=True)
+            start, held = i, 0
+        held += n or 0
+
+
 def _scan(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """(row, text) to (row, phrase, at): each phrase of a text once, with the number of words before it."""
+    """(row, text) to (row, phrase, at): each phrase of a text once, with the number of words before it. Hits go out in pieces of a bounded size."""
+
+    def out(hits: list[tuple[int, str, int]]) -> pa.RecordBatch:
+        rows, phrases, places = zip(*hits, strict=True) if hits else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(phrases, pa.string()), pa.array(places, pa.int32())], ["row", "phrase", "at"])
+
     for batch in batches:
-        rows, phrases, places = [], [], []
-        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        hits: list[tuple[int, str, int]] = []
+        for row, text in _texts(batch):
             first: dict[str, int] = {}
             for end, phrase in _automaton(sent).iter(text):
                 if phrase not in first:
@@ -55,10 +77,11 @@ def _scan(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
             for phrase, start in sorted(first.items(), key=lambda x: x[1]):
                 words += text.count(" ", seen, start)
                 seen = start
-                rows.append(row)
-                phrases.append(phrase.strip())
-                places.append(words)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(phrases, pa.string()), pa.array(places, pa.int32())], ["row", "phrase", "at"])
+                hits.append((row, phrase.strip(), words))
+                if len(hits) >= MOST_HITS:
+                    yield out(hits)
+                    hits = []
+        yield out(hits)
 
 
 def found(docs: DataFrame, key: str, text: str, lexicon: DataFrame, phrase: str, most_chars: int = MOST_CHARS) -> DataFrame:

@@ -90,3 +90,20 @@ def test_the_lexicon_of_fields_is_whole(spark):
     assert len(rows) == len({(r[0], r[1]) for r in rows}) > 50 and {r[3] for r in rows} == {"number", "integer", "date", "text", "serial", "hash", "code"}
     assert {r[2] for r in rows if r[7]} == {"num_serie_motor", "num_serie_variador"}
     assert fields(spark).where("label <> lower(label)").count() == 0
+
+
+def test_texts_and_hits_are_held_in_bounded_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(P, "MOST_READ", 10)
+    monkeypatch.setattr(P, "MOST_HITS", 2)
+
+    class Sent:
+        value = ("pieces", [" a ", " b ", " c "])
+
+    texts = [" a b c ", " c ", None, " ", " b a " * 9, " a "]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array([t if t is not None else " " for t in texts])], ["row", "text"])
+    pieces = list(P._scan(iter([batch]), Sent()))
+    assert max(p.num_rows for p in pieces) <= 2
+    assert [tuple(r.values()) for p in pieces for r in p.to_pylist()] == [(0, "a", 0), (0, "b", 1), (0, "c", 2), (1, "c", 0), (4, "b", 0), (4, "a", 1), (5, "a", 0)]
+    assert [r for r, _ in P._texts(batch)] == list(range(6))
