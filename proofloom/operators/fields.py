@@ -6,6 +6,8 @@ of text by the longest word of a label. Only what no table gave is looked for in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,8 @@ from proofloom.functions import text as T
 CELLS = " | "
 #: Anchors of labels that go into the plan, so that lines are told by no other words; with more of them, all words of a line are.
 MOST_ANCHORS = 500
+#: Labels of a lexicon that is sent to all tasks.
+MOST_LABELS = 10_000
 STOP = ["de", "del", "la", "el", "los", "las", "y", "en", "con", "the", "of"]
 _MARKS = r"[ :\-–—.]+"
 
@@ -45,6 +49,27 @@ def with_islands(lines: DataFrame, doc: str, opens: Column, closes: Column) -> D
     return rows.withColumn("island", F.when(inside, F.col("__n"))).drop("__n", "__in")
 
 
+def lines_and_islands(docs: DataFrame, doc: str, text: str, opens: Callable[[Column], Column], closes: Callable[[Column], Column], *more: str) -> DataFrame:
+    """``with_islands`` of ``lines_of``, for rules that read a line alone: islands are told in each document's own row, so that no line is shuffled or sorted.
+
+    A document's lines are cut at those that open or close; the work is that of its lines, whatever the number of islands.
+    """
+    rows = docs.select(doc, *more, F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("__l"))
+    mark = F.transform("__l", lambda x, i: F.struct(i.alias("at"), F.when(opens(x), 1).when(closes(x), 0).alias("open")))
+    rows = rows.withColumn("__m", F.filter(mark, lambda m: m["open"].isNotNull()))
+    upto = lambda i: F.coalesce(F.get("__m", i)["at"], F.size("__l"))
+    cuts = F.transform("__m", lambda m, i: F.struct(m["at"].alias("at"), upto(i + 1).alias("end"), m["open"].alias("open")))
+    rows = rows.withColumn("__c", cuts).withColumn("__head", upto(F.lit(0)))
+    span = lambda at, end, island: F.struct(at.alias("at"), end.alias("end"), island.cast("long").alias("island"))
+    inside = F.transform(F.filter("__c", lambda m: m["open"] == 1), lambda m, j: span(m["at"], m["end"], j + 1))
+    outside = F.transform(F.filter("__c", lambda m: m["open"] == 0), lambda m: span(m["at"], m["end"], F.lit(None)))
+    rows = rows.select(doc, *more, "__l", F.explode(F.concat(F.array(span(F.lit(0), F.col("__head"), F.lit(None))), outside, inside)).alias("__s"))
+    at = F.col("__s.at")
+    each = F.transform(F.slice("__l", at + 1, F.col("__s.end") - at), lambda x, i: F.struct(x.alias("line"), F.get("__l", at + i + 1).alias("after")))
+    rows = rows.select(doc, *more, "__s", F.posexplode(each).alias("__i", "l"))
+    return rows.select(doc, *more, (at + F.col("__i")).alias("row"), "l.line", "l.after", F.when(F.col("__i") > 0, F.col("__s.island")).alias("island"))
+
+
 def cells(x: Column) -> Column:
     return F.transform(F.split(x, r" \| "), lambda v: F.trim(v))
 
@@ -72,8 +97,8 @@ def from_tables(lines: DataFrame, doc: str, kind: str, lexicon: DataFrame) -> Da
     return hits.select(doc, "variable", "value", "evidence", key.alias("key"), "row")
 
 
-def from_text(lines: DataFrame, doc: str, kind: str, lexicon: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc, variable, value, evidence, row): for each variable that isn't found yet, its first label that a line has all words of, with what stands after
+def from_text(lines: DataFrame, doc: str, kind: str, lexicon: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(doc, variable, value, evidence, row): for each variable that isn't in found yet, its first label that a line has all words of, with what stands after
     them in the line or else in the next one, if that converts."""
     words = T.keywords(F.col("label"), STOP)
     own = lexicon.where("in_text").select(F.col("kind").alias("__k"), "variable", "type", "evidence", "place", words.alias("words"))
@@ -87,7 +112,8 @@ def from_text(lines: DataFrame, doc: str, kind: str, lexicon: DataFrame, found:
     some = F.array_intersect("tokens", F.array(*map(F.lit, anchors))) if few else F.col("tokens")
     told = said.select(doc, kind, "row", "line", "after", "tokens", F.explode(some).alias("token"))
     hits = told.join(own, (F.col(kind) == F.col("__k")) & (F.col("token") == F.col("anchor"))).where(F.size(F.array_except("words", "tokens")) == 0)
-    hits = hits.join(found.select(F.col(doc).alias("__d"), F.col("variable").alias("__v")).distinct(), (F.col(doc) == F.col("__d")) & (F.col("variable") == F.col("__v")), "left_anti")
+    if found is not None:
+        hits = hits.join(found.select(F.col(doc).alias("__d"), F.col("variable").alias("__v")).distinct(), (F.col(doc) == F.col("__d")) & (F.col("variable") == F.col("__v")), "left_anti")
     end = F.array_max(F.transform("words", lambda w: F.length(plain) - F.instr(F.reverse(plain), F.reverse(w)) + 1))
     rest = F.regexp_replace(F.expr("substring(line, __end + 1)"), f"^{_MARKS}|{_MARKS}$", "")
     hits = hits.withColumn("__end", end).withColumn("value", F.coalesce(converted(rest, F.col("type")), converted(F.col("after"), F.col("type"))))
@@ -97,9 +123,15 @@ def from_text(lines: DataFrame, doc: str, kind: str, lexicon: DataFrame, found:
 
 
 def extracted(lines: DataFrame, doc: str, kind: str, lexicon: DataFrame) -> DataFrame:
-    """(doc, variable, value, evidence, method, key, row): facts of all documents, from tables before text. lines as ``with_islands`` gives them."""
+    """(doc, variable, value, evidence, method, key, row): facts of all documents, from tables before text. lines as ``with_islands`` gives them.
+
+    What a table gave is told from what the text did in one window over both, so that tables are read once. A lexicon of a checked size is broadcast.
+    """
+    lexicon = F.broadcast(lexicon) if lexicon.limit(MOST_LABELS + 1).count() <= MOST_LABELS else lexicon
     tables = from_tables(lines, doc, kind, lexicon)
-    text = from_text(lines, doc, kind, lexicon, tables)
-    return tables.select(doc, "variable", "value", "evidence", F.lit("table").alias("method"), "key", "row").unionByName(
+    text = from_text(lines, doc, kind, lexicon)
+    both = tables.select(doc, "variable", "value", "evidence", F.lit("table").alias("method"), "key", "row").unionByName(
         text.select(doc, "variable", "value", "evidence", F.lit("text").alias("method"), F.lit(None).cast("string").alias("key"), "row")
     )
+    first = F.min("method").over(Window.partitionBy(doc, "variable"))  # a document's facts of one variable
+    return both.withColumn("__first", first).where(F.col("method") == F.col("__first")).drop("__first")

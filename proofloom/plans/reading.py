@@ -84,9 +84,8 @@ def _papers(t):
 
 
 def _lines(t):
-    rows = D.lines_of(_papers(t), "doc_id", "text", "kind")
-    opens = c("line").startswith("Concepto" + D.CELLS) & c("line").endswith("Importe")
-    return D.with_islands(rows, "doc_id", opens, c("line").startswith("Total" + D.CELLS))
+    opens = lambda x: x.startswith("Concepto" + D.CELLS) & x.endswith("Importe")
+    return D.lines_and_islands(_papers(t), "doc_id", "text", opens, lambda x: x.startswith("Total" + D.CELLS), "kind")
 
 
 @query("""WITH o AS (SELECT o_orderkey AS o, o_custkey AS k, c_name, o_orderdate, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey),

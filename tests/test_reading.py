@@ -107,3 +107,16 @@ def test_texts_and_hits_are_held_in_bounded_pieces(monkeypatch):
     assert max(p.num_rows for p in pieces) <= 2
     assert [tuple(r.values()) for p in pieces for r in p.to_pylist()] == [(0, "a", 0), (0, "b", 1), (0, "c", 2), (1, "c", 0), (4, "b", 0), (4, "a", 1), (5, "a", 0)]
     assert [r for r, _ in P._texts(batch)] == list(range(6))
+
+
+def test_islands_are_told_in_a_documents_own_row(spark):
+    rnd = random.Random(5)
+    texts = [(i, "\n".join(rnd.choice(["o | x", "c | y", "oc", "", "a | 1 | 2", "b"]) for _ in range(rnd.randint(1, 12)))) for i in range(200)] + [(200, None), (201, ""), (202, "o | x"), (None, "o\na")]
+    docs = spark.createDataFrame(texts, "d int, text string").withColumn("kind", F.lit("k")).repartition(3)
+    opens, closes = lambda x: x.startswith("o"), lambda x: x.endswith("c") | x.startswith("c")
+    want = D.with_islands(D.lines_of(docs, "d", "text", "kind"), "d", opens(F.col("line")), closes(F.col("line")))
+    found = D.lines_and_islands(docs, "d", "text", opens, closes, "kind")
+    assert want.columns == found.columns
+    assert sorted(map(str, (tuple(r) for r in want.collect()))) == sorted(map(str, (tuple(r) for r in found.collect())))
+    alone = docs.sparkSession.createDataFrame([(1, "a", "k")], "d int, text string, kind string")
+    assert "Exchange" not in str(D.lines_and_islands(alone, "d", "text", opens, closes, "kind")._jdf.queryExecution().executedPlan())
