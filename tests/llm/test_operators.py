@@ -564,3 +564,33 @@ def test_quality_model_of_odd_tables(docs, rows, empty, spark):
     assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
     assert {r.score for r in score_quality(docs, labels.limit(0)).collect()} == {0.5}
     assert score_quality(empty, labels).count() == 0
+
+
+def test_url_rules_of_long_pages_lose_no_token(spark):
+    """Rejected by a pair of tokens that tell little alone, on pages of 30 other tokens that all tell more or are always together."""
+    from proofloom.llm.url_rules import UrlFilter, judge, mined_rules
+
+    shared = "&".join(f"q{i:02d}=1" for i in range(20))
+    some = lambda i: [f"s{k}" for k in range(10) if (i + k) % 10 < 3]
+    rows = [(i, i % 2, i // 2 % 2) for i in range(400)]
+    url = lambda i, a, b: "http://h.org/" + "/".join([*(["a"] if a else []), *(["b"] if b else []), *some(i // 4)]) + f"/?{shared}"
+    pages = spark.createDataFrame([(i, url(i, a, b)) for i, a, b in rows] + [(1000, "http://else.net/a/b/x"), (1001, "http://else.net/a/x")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not (a and b))) for i, a, b in rows], "doc_id long, quality int")
+    cfg = UrlFilter(listed=(), basket=3, min_lift=3.0)
+    rules, _, stands = mined_rules(pages, labels, cfg)
+    assert ["path:a", "path:b"] in rules and len(stands) < 40
+    mined = {r.page_id: r.mined for r in judge(pages, labels, cfg).collect()}
+    assert all(mined[i] == bool(a and b) for i, a, b in rows) and mined[1000] and not mined[1001]
+
+
+def test_url_tokens_on_the_same_pages_stand_for_each_other(spark):
+    from proofloom.llm.url_rules import UrlFilter, judge, mined_rules
+
+    words_ = [f"w{i:02d}" for i in range(24)]
+    urls = [f"http://a{i}.org/x" for i in range(60)] + ["http://b.org/" + "/".join(words_) + f"/{i}" for i in range(20)] + ["http://c.org/w23/y", "http://c.org/y"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(80)], "doc_id long, quality int")
+    rules, _, stands = mined_rules(pages, labels, UrlFilter(listed=()))
+    assert len(rules) == 1 and len({stands[f"path:{w}"] for w in words_}) == 1
+    mined = {r.page_id: r.mined for r in judge(pages, labels, UrlFilter(listed=())).collect()}
+    assert {i for i, x in mined.items() if x} == {*range(60, 80), 80}
