@@ -57,8 +57,9 @@ def names_code(reference: Column, code: Column) -> Column:
 
 
 def significant_terms(x: Column) -> Column:
-    """Distinct folded terms of four letters or more."""
-    return F.array_distinct(F.filter(F.split(fold(x), "[^a-z0-9]+"), lambda t: F.length(t) >= 4))
+    """Distinct folded terms of four letters or more. Only texts that aren't all ASCII are searched for accents, and short words never become values."""
+    plain = F.when(F.octet_length(x) == F.char_length(x), x).otherwise(F.translate(x, ACCENTED, FOLDED))
+    return F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit("[a-z0-9]{4,}"), F.lit(0)))
 
 
 def first_path(document: str, *paths: list[str]) -> Column:

@@ -107,22 +107,22 @@ def reopened(cases: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return rows.withColumn("events", F.when(F.col("refused").isNull(), two).otherwise(F.array().cast("array<string>")))
 
 
-def rarest_terms(docs: DataFrame, doc: str, terms: Column, most: int, heavy: float = 1e-3) -> DataFrame:
-    """(doc, term, df, k): the terms of each document that fewest documents have, ties by name.
+def rarest_terms(docs: DataFrame, doc: str, terms: Column, most: int, heavy: float = 3e-4, least: int = 20) -> DataFrame:
+    """(doc, term, df, k): the terms of each document (a list of distinct ones) that fewest documents have, ties by name.
 
-    Terms in more than a share ``heavy`` of the documents are few (the mean number of terms over that share, at most), so they are broadcast with
-    their counts and their rows stay where they are; only rows of lighter terms are joined by a shuffle, in which no term is hot.
+    Lists are made once and dealt by document; terms are counted and looked up from there. Terms in more than a share ``heavy`` of the documents are few
+    (the mean number of terms over that share, at most), so they are broadcast with their counts. They come after all lighter ones of their document, so
+    those that can't be among the first are dropped where they are; lighter terms, in which none is hot, and what heavy ones are left meet their counts
+    by a shuffle.
     """
-    rows = docs.select(doc, F.explode(F.array_distinct(terms)).alias("term"))
+    lists = docs.select(doc, terms.alias("terms")).repartition(doc)
+    rows = lists.select(doc, F.explode_outer("terms").alias("term")).where("term is not null")  # not explode: its filter would make each list a second time
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    least = max(docs.count() * heavy, 1000)
-    few = F.broadcast(df.where(F.col("df") > least).select("term", F.col("df").alias("__heavy")))
-    told = rows.join(few, "term", "left")
-    light = told.where("__heavy is null").drop("__heavy").join(df.where(F.col("df") <= least), "term")
-    best = F.slice(F.array_sort(F.collect_list(F.struct("df", "term"))), 1, most)
-    top = told.where("__heavy is not null").select(doc, "term", F.col("__heavy").alias("df")).unionByName(light.select(doc, "term", "df"))
-    top = top.groupBy(doc).agg(best.alias("b"))  # a document's own terms
-    return top.select(doc, F.posexplode("b").alias("i", "t")).select(doc, "t.term", "t.df", (F.col("i") + 1).alias("k"))
+    few = F.broadcast(df.where(F.col("df") > max(docs.count() * heavy, least)).select("term", F.col("df").alias("__heavy")))
+    light_first = Window.partitionBy(doc).orderBy(F.coalesce("__heavy", F.lit(0)))  # light ones are alike: all have rank 1
+    kept = rows.join(few, "term", "left").withColumn("__k", F.rank().over(light_first)).where(F.col("__k") <= most).select(doc, "term")
+    rarest = Window.partitionBy(doc).orderBy("df", "term")
+    return kept.join(df, "term").withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= most).select(doc, "term", "df", "k")
 
 
 def interpreted(reasons: DataFrame, keys: list[str], cited: DataFrame, scored_: DataFrame, item: str) -> DataFrame:

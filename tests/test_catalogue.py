@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from proofloom.functions import text as T
 from proofloom.functions import three_valued as K
 from proofloom.operators import fold
+from proofloom.operators import journal as J
 from proofloom.operators import log as L
 from proofloom.operators import lookup as U
 from proofloom.plans import catalogue
@@ -123,6 +125,38 @@ def test_no_python_in_plans(spark, sf):
         assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_rarest_terms_reads_each_text_once(spark, sf):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan shows what is used again
+    try:
+        plan = catalogue.QUERIES["q_term_weight_topk"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plan.count("FileScan") == 1 and plan.count("regexp_extract_all") == 1
+
+
+def test_rarest_terms_equals_a_plain_count(spark):
+    rnd = random.Random(5)
+    docs = [(i if i % 9 else None if i % 2 else 3, [f"t{t:02}" for t in sorted({int(rnd.expovariate(0.15)) for _ in range(rnd.randint(0, 12))})]) for i in range(1, 120)] + [(500, None), (501, ["t00"])]
+    df = Counter(t for _, terms in docs for t in terms or [])
+    own = {}
+    for doc, terms in docs:
+        own.setdefault(doc, []).extend((df[t], t) for t in terms or [])
+    want = Counter((doc, t, n, k) for doc, terms in own.items() for k, (n, t) in enumerate(sorted(terms)[:3], 1))
+    rows = spark.createDataFrame(docs, "doc_id long, terms array<string>")
+    for least in (0, 2, 10, 1000):  # all terms heavy, most, some, none
+        assert Counter(tuple(r) for r in J.rarest_terms(rows, "doc_id", F.col("terms"), 3, 0.0, least).select("doc_id", "term", "df", "k").collect()) == want
+
+
+def test_significant_terms_of_odd_texts(spark):
+    texts = ["Año ÁRBOL arbol Éclair e", "abc abcd-abcde_12345 x", "K\u212aLVIN \u0130stanbul straße señor SEÑOR", "日本語 tokyo\u00a0tower\u2003tower", "a" * 5000 + " " + "ÿ" * 10, "", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").repartition(2)
+    split = F.array_distinct(F.filter(F.split(T.fold(F.col("x")), "[^a-z0-9]+"), lambda t: F.length(t) >= 4))
+    found = {r.i: (r.got, r.want) for r in rows.select("i", T.significant_terms(F.col("x")).alias("got"), split.alias("want")).collect()}
+    assert all(got == want for got, want in found.values())
+    assert found[0][0] == ["arbol", "eclair"] and found[1][0] == ["abcd", "abcde", "12345"] and found[6][0] is None
+
+
 def test_entry_without_the_subpackage(tmp_path):
     import shutil
     import subprocess
