@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,16 @@ ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊ
 FOLDED = "aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC"
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is worked out once, whatever the number of places where f has it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def unless_empty(x: Column) -> Column:
+    """x, null if it is empty; worked out once."""
+    return F.get(F.filter(F.array(x), lambda v: v != ""), F.lit(0))
+
+
 def fold(x: Column) -> Column:
     """Without accents, lower case, blanks collapsed."""
     return F.trim(F.regexp_replace(F.lower(F.translate(x, ACCENTED, FOLDED)), r"\s+", " "))
@@ -17,7 +29,12 @@ def fold(x: Column) -> Column:
 
 def label_fold(x: Column) -> Column:
     """fold, with ordinal and degree signs as letters: how labels and titles are compared."""
-    return fold(F.translate(x, "º°", "oo"))
+    return F.trim(F.regexp_replace(label_plain(x), r"\s+", " "))
+
+
+def label_plain(x: Column) -> Column:
+    """Small letters without accents, ordinal and degree signs as letters, as long as x. Only texts that aren't all ASCII are searched for them."""
+    return F.lower(F.when(F.octet_length(x) == F.char_length(x), x).otherwise(F.translate(x, ACCENTED + "º°", FOLDED + "oo")))
 
 
 def header_fold(x: Column) -> Column:
@@ -36,9 +53,9 @@ _DAY, _ISO_DAY = r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", r"\b\d{4}-\d{2}-\d{2}\b"
 def canonical_number(x: Column) -> Column:
     """The first number of a text, as text with a decimal point: points set thousands apart, a comma is the decimal sign. Null without one, or with several commas."""
     raw = F.regexp_replace(F.regexp_extract(x, f"({_NUMERAL})", 1), "[.,]+$", "")
-    whole = F.replace(raw, F.lit("."), F.lit(""))
-    commas = F.regexp_count(raw, F.lit(","))
-    return F.when((raw != "") & (commas <= 1), F.replace(whole, F.lit(","), F.lit(".")))
+    plain = lambda n: F.replace(F.replace(n, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    commas = lambda n: F.length(n) - F.length(F.replace(n, F.lit(","), F.lit("")))
+    return once(raw, lambda n: F.when((n != "") & (commas(n) <= 1), plain(n)))
 
 
 def spanish_number(x: Column) -> Column:
@@ -97,19 +114,20 @@ def unit_of(x: Column) -> Column:
 
 def serial_of(x: Column) -> Column:
     """The first serial number, in capitals: two to four letters, then up to four parts of two to six letters or digits, between hyphens."""
-    return F.nullif(F.regexp_extract(F.upper(x), f"({_SERIAL})", 1), F.lit(""))
+    return unless_empty(F.regexp_extract(F.upper(x), f"({_SERIAL})", 1))
 
 
 def hash_of(x: Column) -> Column:
     """The first 64 hexadecimal digits that stand alone, in small letters."""
-    return F.nullif(F.lower(F.regexp_extract(x, f"({_FINGERPRINT})", 1)), F.lit(""))
+    return unless_empty(F.lower(F.regexp_extract(x, f"({_FINGERPRINT})", 1)))
 
 
 def iso_date(x: Column) -> Column:
     """A day written day/month/year as an ISO date, else one that is written so already, else null."""
-    part = lambda k: F.lpad(F.regexp_extract(x, _DAY, k), 2, "0")
-    year = F.regexp_extract(x, _DAY, 3)
-    return F.when(year != "", F.concat_ws("-", year, part(2), part(1))).otherwise(F.nullif(F.regexp_extract(x, f"({_ISO_DAY})", 1), F.lit("")))
+    part = lambda d, k: F.lpad(F.get(d, F.lit(k)), 2, "0")
+    written = lambda d: F.concat_ws("-", F.get(d, F.lit(2)), part(d, 1), part(d, 0))
+    iso = unless_empty(F.regexp_extract(x, f"({_ISO_DAY})", 1))
+    return once(F.regexp_extract(x, _DAY, 0), lambda day: F.when(day != "", once(F.split(day, "/"), written)).otherwise(iso))
 
 
 def admitted_value(x: Column, admitted: list[str]) -> Column:

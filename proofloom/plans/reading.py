@@ -83,9 +83,16 @@ def _papers(t):
     return bills.union(sheets)
 
 
+def _opens(x):
+    return x.startswith("Concepto" + D.CELLS) & x.endswith("Importe")
+
+
+def _closes(x):
+    return x.startswith("Total" + D.CELLS)
+
+
 def _lines(t):
-    opens = lambda x: x.startswith("Concepto" + D.CELLS) & x.endswith("Importe")
-    return D.lines_and_islands(_papers(t), "doc_id", "text", opens, lambda x: x.startswith("Total" + D.CELLS), "kind")
+    return D.lines_and_islands(_papers(t), "doc_id", "text", _opens, _closes, "kind")
 
 
 @query("""WITH o AS (SELECT o_orderkey AS o, o_custkey AS k, c_name, o_orderdate, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -102,7 +109,7 @@ SELECT doc_id, variable, value, method, key, row::INT AS row FROM f""")
 def q_extracted_fields(t):
     """Facts of all invoices and data sheets by the lexicon of fields: tables first, inherited keys, then labelled text for what no table gave."""
     spark = t("region").sparkSession
-    return D.extracted(_lines(t), "doc_id", "kind", fields(spark)).select("doc_id", "variable", "value", "method", "key", "row")
+    return D.facts(_papers(t), "doc_id", "kind", "text", _opens, _closes, fields(spark)).select("doc_id", "variable", "value", "method", "key", "row")
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity::INT AS q, CASE WHEN l_linenumber <> 3 THEN l_extendedprice::DECIMAL(18,2) END AS a,

@@ -120,3 +120,45 @@ def test_islands_are_told_in_a_documents_own_row(spark):
     assert sorted(map(str, (tuple(r) for r in want.collect()))) == sorted(map(str, (tuple(r) for r in found.collect())))
     alone = docs.sparkSession.createDataFrame([(1, "a", "k")], "d int, text string, kind string")
     assert "Exchange" not in str(D.lines_and_islands(alone, "d", "text", opens, closes, "kind")._jdf.queryExecution().executedPlan())
+
+
+MORE = """
+bill; part*; serial; shown; nº de serie | º
+bill; n; integer; declared; número total (de piezas) | the | amount
+bill; n; code; declared; code
+note; total; number; declared; total (all) | serial
+note; hash; hash; shown; (x)
+"""
+
+
+def test_facts_of_a_documents_own_row_are_those_of_its_lines(spark):
+    rnd = random.Random(7)
+    labels = ["amount due", "Amount", "day of issue", "serial", "SERIAL", "nº de serie", "Nº  de serie", "no de serie", "customer name", "Número total (de piezas)", "the", "code", "total (all)", "(x)", "º", "piezas de número total", ""]
+    values = ["7", "1.200,50 EUR", "3,5", "1,2,3", "1/2/2024", "2024-02-03", "MTR-1A", "VSD-22-B", "B123", "n/d", "", "  A  B ", "ab" * 32, "-5", "日本", "| 9", "4 | 5", "."]
+    others = ["Item | n | p", "Item |", "Total | 9", "Total | ", "", " ", "|", " | ", "a | | b", "\tAmount | 3\r", "amount", "due"]
+    line = lambda: rnd.choice(others) if rnd.random() < 0.2 else rnd.choice(labels) + rnd.choice([" | ", ": ", " ", " - ", "| ", " |  "]) + rnd.choice(values)
+    texts = [(i, rnd.choice(["bill", "bill", "note", "other", None]), "\n".join(line() for _ in range(rnd.randint(0, 12)))) for i in range(600)]
+    texts += [(1000, "bill", None), (1001, "note", ""), (1002, None, "Amount | 3"), (1003, "bill", "\n".join(line() for _ in range(2000)))]
+    docs = spark.createDataFrame(texts, "d int, kind string, text string").repartition(3)
+    lexicon = fields(spark, LEXICON + MORE.lstrip())
+    opens, closes = lambda x: x.startswith("Item |"), lambda x: x.startswith("Total |")
+    want = D.extracted(D.lines_and_islands(docs, "d", "text", opens, closes, "kind"), "d", "kind", lexicon)
+    told = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    found = D.facts(docs, "d", "kind", "text", opens, closes, lexicon)
+    assert found.columns == want.columns and [f.dataType for f in found.schema] == [f.dataType for f in want.schema]
+    assert told(found) == told(want) == told(D.facts(docs, "d", "kind", "text", opens, closes, lexicon, 1))
+    assert {r.method for r in found.collect()} == {"table", "text"}
+
+
+def test_facts_move_no_lines(spark):
+    docs = spark.createDataFrame([(1, "bill", "Amount | 3")], "d int, kind string, text string")
+    plan = D.facts(docs, "d", "kind", "text", lambda x: x.startswith("o"), lambda x: x.startswith("c"), fields(spark, LEXICON))
+    assert "hashpartitioning(d" not in str(plan._jdf.queryExecution().executedPlan())
+
+
+def test_ordinals_in_text_are_letters(spark):
+    docs = spark.createDataFrame([(1, "bill", "Nº: MTR-1A, the second")], "d int, kind string, text string")
+    lexicon = fields(spark, "bill; unit*; serial; shown; nº")
+    never = lambda x: x.startswith("Item |")
+    for found in (D.facts(docs, "d", "kind", "text", never, never, lexicon), D.extracted(D.lines_and_islands(docs, "d", "text", never, never, "kind"), "d", "kind", lexicon)):
+        assert [tuple(r) for r in found.collect()] == [(1, "unit", "MTR-1A", "shown", "text", None, 0)]
