@@ -22,6 +22,11 @@ def unless_empty(x: Column) -> Column:
     return F.get(F.filter(F.array(x), lambda v: v != ""), F.lit(0))
 
 
+def blanks_collapsed(x: Column) -> Column:
+    """x with one space for each run of blanks; single spaces are passed over."""
+    return F.regexp_replace(x, r"\s{2,}|[\t\n\x0B\f\r]", " ")
+
+
 def fold(x: Column) -> Column:
     """Without accents, lower case, blanks collapsed."""
     return F.trim(F.regexp_replace(F.lower(F.translate(x, ACCENTED, FOLDED)), r"\s+", " "))
@@ -29,7 +34,7 @@ def fold(x: Column) -> Column:
 
 def label_fold(x: Column) -> Column:
     """fold, with ordinal and degree signs as letters: how labels and titles are compared."""
-    return F.trim(F.regexp_replace(label_plain(x), r"\s+", " "))
+    return F.trim(blanks_collapsed(label_plain(x)))
 
 
 def label_plain(x: Column) -> Column:

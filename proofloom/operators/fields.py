@@ -30,7 +30,7 @@ def converted(raw: Column, kind: Column) -> Column:
     """raw as its type says (number, integer, date, text, serial, hash, code), as text; null if it doesn't convert."""
     number = T.canonical_number(raw)
     whole = T.once(number, lambda n: F.when(n.rlike(r"^[-+]?\d+$"), n))
-    text = T.unless_empty(F.trim(F.regexp_replace(raw, r"\s+", " ")))
+    text = T.unless_empty(F.trim(T.blanks_collapsed(raw)))
     code = T.unless_empty(F.regexp_extract(F.upper(raw), r"\b([A-Z]\d{1,9}[A-Z]?)\b", 1))
     out = F.when(kind == "number", number).when(kind == "integer", whole).when(kind == "date", T.iso_date(raw))
     return out.when(kind == "serial", T.serial_of(raw)).when(kind == "hash", T.hash_of(raw)).when(kind == "code", code).when(kind == "text", text)
@@ -191,21 +191,22 @@ def _text_hits(wanted: Column, lines: Column) -> Column:
 
     def has(plain: Column, words: Column) -> Column:
         said = F.concat(F.lit(" "), F.regexp_replace(plain, "[^a-z0-9]+", " "), F.lit(" "))
-        return F.forall(words, lambda w: plain.contains(w)) & F.forall(words, lambda w: said.contains(F.concat(F.lit(" "), w, F.lit(" "))))
+        return plain.contains(F.get(words, F.lit(0))) & F.forall(words, lambda w: said.contains(F.concat(F.lit(" "), w, F.lit(" "))))
 
     def value(line: Column, after: Column, words: Column, type_: Column) -> Column:
         end = T.once(T.label_plain(line), lambda x: F.array_max(F.transform(words, lambda w: F.length(x) - F.instr(F.reverse(x), F.reverse(w)) + 1)))
         rest = F.regexp_replace(F.substr(line, end + 1), f"^{_MARKS}|{_MARKS}$", "")
         return F.coalesce(T.once(rest, lambda x: converted(x, type_)), converted(after, type_))
 
-    def read(h: Column) -> Column:
-        x, row = h["x"], h["row"]
+    def read(x: Column, row: Column) -> Column:
         said = value(F.get(lines, row), F.get(lines, row + 1), x["words"], x["type"])
         return F.struct(x["variable"].alias("variable"), x["place"].alias("place"), F.struct(row.alias("row"), said.alias("value"), x["evidence"].alias("evidence")).alias("f"))
 
-    row = lambda plain, x: (F.array_position(F.transform(plain, lambda p: has(p, x["words"])), True) - 1).cast("int")
-    first = T.once(F.transform(lines, T.label_plain), lambda plain: F.transform(wanted, lambda x: F.struct(x.alias("x"), row(plain, x).alias("row"))))
-    return F.sort_array(F.transform(F.filter(first, lambda h: h["row"] >= 0), read))
+    def first(plain: Column, x: Column) -> Column:
+        row = F.array_position(F.transform(plain, lambda p: has(p, x["words"])), True).cast("int") - 1
+        return T.once(row, lambda i: F.when(i >= 0, read(x, i)))
+
+    return F.sort_array(F.array_compact(T.once(F.transform(lines, T.label_plain), lambda plain: F.transform(wanted, lambda x: first(plain, x)))))
 
 
 def _new(hits: Column, *names: str) -> Column:

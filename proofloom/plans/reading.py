@@ -6,6 +6,7 @@ The invoices and data sheets that are read are texts which Spark makes of ``orde
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from proofloom.functions import text as T
 from proofloom.operators import fields as D
@@ -59,7 +60,10 @@ def _papers(t):
     rows = t("lineitem").join(parts, c("l_partkey") == c("p_partkey"))
     head = F.when(c("l_partkey") % 5 == 0, "Variador de velocidad ").when(c("l_partkey") % 5 == 1, "Puesta en marcha de ").when(c("l_partkey") % 5 == 2, "Motor ").otherwise("Material ")
     line = F.concat(head, "p_name", lit(" | "), c("l_quantity").cast("int"), lit(" | "), F.when(c("l_linenumber") == 3, lit("s/n")).otherwise(money(c("l_extendedprice"))))
-    items = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice", line.alias("x")))), lambda e: e["x"]).alias("items"))
+    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", line.alias("x"))
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "x")  # an order's lines, sorted once
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    items = rows.withColumn("items", F.collect_list("x").over(whole)).withColumn("n", F.row_number().over(own)).where("n = 1").select("l_orderkey", "items")
     when = lambda n, yes, no: F.when(o % n == 0, yes).otherwise(no)
     nif = F.concat(lit("B"), k)
     lines = F.concat(
